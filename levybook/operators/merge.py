@@ -201,22 +201,22 @@ def derive_measures(measures: DataFrame, places: DataFrame, rules: DataFrame) ->
 CITE_KEY = ["claim_table", "claim_id", "source_id", "role"]
 
 
-def cite_claims(existing: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+def cite_claims(existing: DataFrame, claims: DataFrame) -> DataFrame:
     """Provenance rows to append: the primary citation plus each corroborating one.
 
-    ``claims`` has claim_table, claim_id, source_url, source_quote and
-    ``corroborating`` array<struct<url, role, observed_value>>.
+    ``claims`` has claim_table, claim_id, source_id, source_quote and
+    ``corroborating`` array<struct<source_id, role, observed_value>>; source ids
+    come from the source dimension (B11).
     """
-    prim = claims.select("claim_table", "claim_id", F.col("source_url").alias("url"), F.lit("primary").alias("role"),
+    prim = claims.select("claim_table", "claim_id", "source_id", F.lit("primary").alias("role"),
                          F.col("source_quote").alias("observed_value"), F.lit(0).alias("_pos"))
     more = claims.select("claim_table", "claim_id", F.posexplode("corroborating").alias("_pos", "_c")).select(
-        "claim_table", "claim_id", F.col("_c.url").alias("url"),
+        "claim_table", "claim_id", F.col("_c.source_id").alias("source_id"),
         F.coalesce("_c.role", F.lit("corroborating")).alias("role"),
         F.col("_c.observed_value").alias("observed_value"), (F.col("_pos") + 1).alias("_pos"))
-    rows = prim.unionByName(more).where(F.coalesce("url", F.lit("")) != "") \
-        .join(sources.select("url", F.col("id").alias("source_id")), "url") \
+    rows = prim.unionByName(more).where(F.col("source_id").isNotNull()) \
         .withColumn("agrees", F.col("role").isin("primary", "corroborating").cast("int"))
-    return insert_ignore(existing, rows, CITE_KEY, [F.col("_pos")]).drop("_pos", "url")
+    return insert_ignore(existing, rows, CITE_KEY, [F.col("_pos")]).drop("_pos")
 
 
 # -- D9, D10 ----------------------------------------------------------------
@@ -247,6 +247,7 @@ def measure_items(measures: DataFrame, places: DataFrame, work: DataFrame) -> Da
 # -- D11-D14 ----------------------------------------------------------------
 
 COVER_KEY = ["domain", "scope_type", "scope_geoid"]
+COVER_DETAIL = ["jurisdiction_kind", "period_start", "period_end"]
 
 
 def assert_coverage(existing: DataFrame, claims: DataFrame, only_if_absent: bool = False) -> DataFrame:
@@ -256,8 +257,9 @@ def assert_coverage(existing: DataFrame, claims: DataFrame, only_if_absent: bool
     """
     if only_if_absent:
         return existing.unionByName(insert_ignore(existing, claims, COVER_KEY, [F.col("asserted_seq")]))
-    newest = latest(claims, COVER_KEY, [F.col("asserted_seq")])
-    return anti(existing, newest, COVER_KEY).unionByName(newest.select(*existing.columns))
+    full = COVER_KEY + [x for x in COVER_DETAIL if x in existing.columns]
+    newest = latest(claims, full, [F.col("asserted_seq")])
+    return anti(existing, newest, full, nullsafe=True).unionByName(newest.select(*existing.columns))
 
 
 def partial_coverage(measures: DataFrame, places: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def _case(col, mapping, other=None):
 
 @derived("places", """
 SELECT *, substr(geoid,1,2) AS state_fips, CASE WHEN kind='county' THEN geoid
-  WHEN kind='place' AND CAST(substr(geoid,3) AS BIGINT)%3=0
-  THEN substr(geoid,1,2)||lpad(CAST(CAST(substr(geoid,3) AS BIGINT)%97 AS VARCHAR),5,'0') END AS county_fips
+  WHEN kind='place' AND TRY_CAST(substr(geoid,3) AS BIGINT)%3=0
+  THEN substr(geoid,1,2)||lpad(CAST(TRY_CAST(substr(geoid,3) AS BIGINT)%97 AS VARCHAR),5,'0') END AS county_fips
 FROM jurisdiction""")
 def places(t):
     n = F.substring("geoid", 3, 10).try_cast("bigint")
@@ -217,7 +217,7 @@ def rate_expired(t):
 
 @derived("rate_change", """
 SELECT geoid, category, instrument_code, change_type, rate_before, rate_after, effective_period,
-  CASE WHEN change_type='increase' AND substr(effective_period,6,2)='01' THEN CAST(substr(geoid,3) AS BIGINT)
+  CASE WHEN change_type='increase' AND substr(effective_period,6,2)='01' THEN TRY_CAST(substr(geoid,3) AS BIGINT)
        WHEN change_type='decrease' AND substr(effective_period,6,2)='02' THEN CAST(-1 AS BIGINT) END AS measure_id
 FROM (SELECT *, row_number() OVER (PARTITION BY geoid, category, instrument_code, change_type, effective_period ORDER BY arrival) AS rn
   FROM (SELECT * FROM rate_events UNION ALL SELECT * FROM rate_expired) u) x WHERE rn=1""")
@@ -226,7 +226,7 @@ def rate_change(t):
     none = t.spark.createDataFrame([], "geoid string, category string, instrument_code string, change_type string, effective_period string")
     month = F.substring("effective_period", 6, 2)
     return changes.store_events(none, ev).drop("rate_unit").withColumn(
-        "measure_id", F.when((c("change_type") == "increase") & (month == "01"), F.substring("geoid", 3, 10).cast("bigint"))
+        "measure_id", F.when((c("change_type") == "increase") & (month == "01"), F.substring("geoid", 3, 10).try_cast("bigint"))
         .when((c("change_type") == "decrease") & (month == "02"), F.lit(-1).cast("bigint")))
 
 
