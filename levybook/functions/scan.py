@@ -72,12 +72,16 @@ def flag_in(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> Da
 
 @dataclass(frozen=True)
 class Scan:
-    """One running value: ``how`` is max, min, sum or last."""
+    """One running value: ``how`` is max, min, sum or last.
+
+    ``whole`` gives the value over the whole key instead, out of the same totals.
+    """
     name: str
     how: str
     value: Column
     inclusive: bool = True
     backward: bool = False
+    whole: bool = False
 
 
 def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], scans: list[Scan]) -> DataFrame:
@@ -102,7 +106,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
     by_chunk = Window.partitionBy(*keys)
     for s in scans:
         w = by_chunk.orderBy(F.col("_chunk").desc() if s.backward else F.col("_chunk"))
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
+        w = by_chunk if s.whole else w.rowsBetween(Window.unboundedPreceding, -1)
         t = F.col(f"_t_{s.name}")
         carried = (F.last(t, ignorenulls=True) if s.how == "last"
                    else {"max": F.max, "min": F.min, "sum": F.sum}[s.how](t)).over(w)
@@ -116,7 +120,9 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
         w = in_chunk.orderBy(*cols).rowsBetween(
             Window.unboundedPreceding, Window.currentRow if s.inclusive else -1)
         v, c = F.col(f"_v_{s.name}"), F.col(f"_c_{s.name}")
-        if s.how == "last":
+        if s.whole:
+            val = c
+        elif s.how == "last":
             val = F.coalesce(F.last(v, ignorenulls=True).over(w), c)
         elif s.how == "sum":
             local = F.sum(v).over(w)

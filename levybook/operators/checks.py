@@ -64,7 +64,7 @@ def aggregator_only(t):
     return _live(t).join(_src(t).where(c("_tier") == 4), "source_id").select(_key("geoid", "instrument_code", "id").alias("key"))
 
 
-def _complete(t): return t.work_item.where(c("status") == "complete")
+def _complete(t): return t.work.where(c("status") == "complete")
 
 
 @_check("g07")

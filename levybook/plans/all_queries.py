@@ -1,3 +1,3 @@
 """Imports every query module, in inventory order."""
 
-from . import q_views, q_merge, q_spine  # noqa: F401
+from . import q_views, q_merge, q_spine, q_rules, q_checks  # noqa: F401

@@ -42,8 +42,8 @@ SELECT geoid||'/'||instrument_code||'/'||CAST(seq AS VARCHAR) AS id, geoid, cate
   geoid||'/'||instrument_code||'/'||CAST(superseded_by_seq AS VARCHAR) AS superseded_by,
   (source_id*7+seq)%200 AS archive_file_id FROM tax_instrument
 UNION ALL SELECT geoid||'/county_general_sales/1', geoid, 'sales_use', 'county_general_sales', 1, 'levied',
-  CAST(2+CAST(geoid AS BIGINT)%5 AS DOUBLE), 'percent', NULL, 'percent', '1996-01-01', NULL, 'manual', 'high',
-  'see the state code', '1998-01-01', CAST(geoid AS BIGINT)-1, NULL, 'state sales tax', NULL, CAST(geoid AS BIGINT)
+  CASE WHEN geoid='07' THEN 30.0::DOUBLE ELSE CAST(2+CAST(geoid AS BIGINT)%5 AS DOUBLE) END, 'percent', NULL, 'percent', '1996-01-01', NULL, 'manual', 'high',
+  'see the state code', CASE WHEN CAST(geoid AS BIGINT)%2=1 THEN '1996-06-01' ELSE '1998-01-01' END, CASE WHEN CAST(geoid AS BIGINT)%4=0 THEN -1 ELSE CAST(geoid AS BIGINT)-1 END, NULL, 'state sales tax', NULL, CAST(geoid AS BIGINT)
 FROM jurisdiction WHERE kind='state'""")
 def facts(t):
     s = c("seq")
@@ -60,16 +60,16 @@ def facts(t):
     st = t.jurisdiction.where(c("kind") == "state").select(
         F.concat(c("geoid"), F.lit("/county_general_sales/1")).alias("id"), "geoid", F.lit("sales_use").alias("category"),
         F.lit("county_general_sales").alias("instrument_code"), F.lit(1).cast("bigint").alias("seq"), F.lit("levied").alias("status"),
-        (2 + g % 5).cast("double").alias("rate_value"), F.lit("percent").alias("rate_unit"), null("double").alias("cap_value"),
+        F.when(c("geoid") == "07", F.lit(30.0)).otherwise((2 + g % 5).cast("double")).alias("rate_value"), F.lit("percent").alias("rate_unit"), null("double").alias("cap_value"),
         F.lit("percent").alias("cap_unit"), F.lit("1996-01-01").alias("effective_date"), null("string").alias("expiration_date"),
         F.lit("manual").alias("extraction_method"), F.lit("high").alias("confidence"), F.lit("see the state code").alias("source_quote"),
-        F.lit("1998-01-01").alias("retrieved_at"), (g - 1).alias("source_id"), null("bigint").alias("fiscal_year"),
+        F.when(g % 2 == 1, "1996-06-01").otherwise("1998-01-01").alias("retrieved_at"), F.when(g % 4 == 0, F.lit(-1)).otherwise(g - 1).alias("source_id"), null("bigint").alias("fiscal_year"),
         F.lit("state sales tax").alias("label"), null("string").alias("superseded_by"), g.alias("archive_file_id"))
     return base.unionByName(st)
 
 
 @derived("grants", """
-SELECT id, state_usps, jurisdiction_kind, category, instrument_code, permitted,
+SELECT id, CASE WHEN state_usps='21' THEN '20' ELSE state_usps END AS state_usps, jurisdiction_kind, category, instrument_code, permitted,
   CASE WHEN id%19=0 THEN NULL ELSE max_rate END AS max_rate, CASE WHEN id%17=0 THEN NULL ELSE 'percent' END AS max_rate_unit,
   CASE WHEN id%13=0 THEN ' ' ELSE 'Code 5.'||CAST(id AS VARCHAR) END AS statute_cite,
   CASE WHEN id%4=0 THEN 'stacks with state' END AS stacking_rule, effective_from, effective_to,
@@ -78,7 +78,7 @@ FROM authority_grant""")
 def grants(t):
     i = c("id")
     return t.authority_grant.select(
-        "id", "state_usps", "jurisdiction_kind", "category", "instrument_code", "permitted",
+        "id", F.when(c("state_usps") == "21", "20").otherwise(c("state_usps")).alias("state_usps"), "jurisdiction_kind", "category", "instrument_code", "permitted",
         F.when(i % 19 != 0, c("max_rate")).alias("max_rate"), F.when(i % 17 != 0, "percent").alias("max_rate_unit"),
         F.when(i % 13 == 0, " ").otherwise(F.concat(F.lit("Code 5."), i.cast("string"))).alias("statute_cite"),
         F.when(i % 4 == 0, "stacks with state").alias("stacking_rule"), "effective_from", "effective_to",
@@ -86,7 +86,7 @@ def grants(t):
 
 
 @derived("thresholds", """
-SELECT id, state_usps, jurisdiction_kind, measure_class, CASE WHEN id%6=1 THEN 'county_general_sales' END AS instrument_code,
+SELECT id, CASE WHEN state_usps='21' THEN '20' ELSE state_usps END AS state_usps, jurisdiction_kind, measure_class, CASE WHEN id%6=1 THEN 'county_general_sales' END AS instrument_code,
   CASE id%5 WHEN 0 THEN 'general' WHEN 1 THEN 'either' END AS purpose_restriction,
   CASE WHEN id%23=0 THEN CAST(0.6667 AS DOUBLE) ELSE threshold_value END AS threshold_value,
   CASE WHEN id%7=0 THEN 'registered_voters' ELSE 'votes_cast' END AS threshold_basis,
@@ -96,7 +96,7 @@ FROM threshold_rule""")
 def thresholds(t):
     i = c("id")
     return t.threshold_rule.select(
-        "id", "state_usps", "jurisdiction_kind", "measure_class", F.when(i % 6 == 1, "county_general_sales").alias("instrument_code"),
+        "id", F.when(c("state_usps") == "21", "20").otherwise(c("state_usps")).alias("state_usps"), "jurisdiction_kind", "measure_class", F.when(i % 6 == 1, "county_general_sales").alias("instrument_code"),
         _case(i % 5, {0: "general", 1: "either"}).alias("purpose_restriction"),
         F.when(i % 23 == 0, F.lit(0.6667)).otherwise(c("threshold_value")).alias("threshold_value"),
         F.when(i % 7 == 0, "registered_voters").otherwise("votes_cast").alias("threshold_basis"),
@@ -259,12 +259,12 @@ def archive_text(t):
 
 
 @derived("work", """
-SELECT w.geoid, w.category, w.status, w.attempts,
+SELECT w.geoid, w.category, CASE WHEN w.category='framework' AND TRY_CAST(w.geoid AS BIGINT)%3=0 THEN 'complete' ELSE w.status END AS status, w.attempts,
   CAST(floor(CASE j.kind WHEN 'state' THEN 1000 WHEN 'county' THEN 100 WHEN 'place' THEN 10 WHEN 'mcd' THEN 5 WHEN 'school' THEN 20 ELSE 1 END
     * pow(log10(CAST(coalesce(j.population,0)+10 AS DOUBLE)),2)) AS BIGINT) AS priority,
   CASE WHEN coalesce(j.population,0)%11=0 THEN 'HTTP 403' END AS last_error,
-  CASE WHEN w.status='in_progress' THEN TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(coalesce(j.population,0)%72 AS INT)) END AS claimed_at,
-  CASE WHEN w.status IN ('complete','no_data') THEN TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(coalesce(j.population,0)%800 AS INT)) END AS completed_at,
+  CASE WHEN w.status='in_progress' AND w.category<>'framework' THEN TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(coalesce(j.population,0)%72 AS INT)) END AS claimed_at,
+  CASE WHEN w.status IN ('complete','no_data') OR (w.category='framework' AND TRY_CAST(w.geoid AS BIGINT)%3=0) THEN TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(coalesce(j.population,0)%800 AS INT)) END AS completed_at,
   TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(coalesce(j.population,0)%500 AS INT)) AS updated_at
 FROM work_item w JOIN jurisdiction j ON j.geoid=w.geoid""")
 def work(t):
@@ -272,6 +272,8 @@ def work(t):
     now = F.lit("2024-01-31 00:00:00").cast(NTZ)
     back = lambda n, unit: now - F.make_dt_interval(**{unit: n.cast("int")})
     w = t.work_item.join(t.jurisdiction.select("geoid", "kind", "population"), "geoid")
+    filed = (c("category") == "framework") & (c("geoid").try_cast("bigint") % 3 == 0)
+    w = w.withColumn("status", F.when(filed, "complete").otherwise(c("status")))
     return w.select("geoid", "category", "status", "attempts", ledger.priority(c("kind"), c("population")).alias("priority"),
                     F.when(pop % 11 == 0, "HTTP 403").alias("last_error"),
                     F.when(c("status") == "in_progress", back(pop % 72, "hours")).alias("claimed_at"),

@@ -71,13 +71,18 @@ class Tables:
 
 def rate_history(t: Tables) -> DataFrame:
     """Every rate version, numbered per place and instrument in date order."""
+    return _numbered(t).drop("top_seq")
+
+
+def _numbered(t: Tables) -> DataFrame:
+    """The history with each key's number of versions."""
     line = t.lineitem.select("l_suppkey", "l_linenumber", "l_shipdate", "l_orderkey", "l_partkey",
                              "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                              "l_returnflag", "l_linestatus")
     order = ["l_shipdate", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     num = running(line, ["l_suppkey", "l_linenumber"], F.trunc(F.col("l_shipdate").cast("date"), "month"),
-                  order, [Scan("seq", "sum", F.lit(1).cast("long"))])
+                  order, [Scan("seq", "sum", F.lit(1).cast("long")), Scan("top_seq", "sum", F.lit(1).cast("long"), whole=True)])
     n = F.col("l_linenumber")
     sup = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return num.join(sup, "l_suppkey").select(
@@ -92,16 +97,14 @@ def rate_history(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "repealed").when(F.col("l_returnflag") == "A", "authorized_not_levied")
         .otherwise("levied").alias("status"),
         F.round(F.col("l_tax") * 100).cast("long").alias("rate_pct"),
-        F.col("l_shipdate").cast("date").cast("string").alias("effective_date"))
+        F.col("l_shipdate").cast("date").cast("string").alias("effective_date"), F.col("top_seq").cast("long").alias("top_seq"))
 
 
 def tax_instrument(t: Tables) -> DataFrame:
     """Facts with deliberate defects; the newest version of a key is the live row."""
     keys = ["geoid", "category", "instrument_code"]
-    h = t.rate_history
-    newest = h.groupBy(*keys).agg(F.max("seq").alias("top_seq"))
     s = F.col("seq")
-    return h.join(newest, keys).select(
+    return _numbered(t).select(
         *keys, "seq", "status",
         F.when(~((F.col("status") == "levied") & (s % 17 == 0)), F.col("rate_pct").cast("double")).alias("rate_value"),
         F.when(s % 9 == 0, "mills").when(s % 9 != 1, "percent").alias("rate_unit"),
