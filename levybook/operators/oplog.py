@@ -209,7 +209,7 @@ def spend_checkpoints(priced: DataFrame, step: float, unit: str = "day") -> Data
     it is a fold.  Spend is summed per period first; the fold then runs over the
     calendar only, whatever the number of responses.
     """
-    per = priced.groupBy(F.date_trunc(unit, c("ts").cast("timestamp_ntz")).alias("period")).agg(F.sum("usd").alias("usd"))
+    per = priced.groupBy(F.date_trunc(unit, c("ts")).cast("timestamp_ntz").alias("period")).agg(F.sum("usd").alias("usd"))
     days = per.agg(F.array_sort(F.collect_list(F.struct("period", "usd"))).alias("days"))
     start = F.expr("named_struct('total', 0D, 'acked', 0D, 'out', cast(array() as "
                    "array<struct<period:timestamp_ntz,usd:double,total:double,stopped:boolean>>))")

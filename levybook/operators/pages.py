@@ -155,10 +155,9 @@ def classify_hosts(rows: DataFrame, url: str = "url") -> DataFrame:
     """L4: adds host, gov, blocked, own_site and official; rows carry the place's name and state."""
     host = F.rtrim(url_host(c(url)), F.lit("."))
     r = rows.withColumn("host", host)
-    gov, blocked = is_gov_host(c("host")), is_blocked_host(c("host"))
     own = F.coalesce(looks_like_place_host(c("host"), c("name"), c("state")), F.lit(False))
-    return r.withColumn("gov", gov).withColumn("blocked", blocked).withColumn("own_site", own) \
-        .withColumn("official", (c("host") != "") & ~blocked & (gov | own))
+    return r.withColumn("gov", is_gov_host(c("host"))).withColumn("blocked", is_blocked_host(c("host"))).withColumn("own_site", own) \
+        .withColumn("official", (c("host") != "") & ~c("blocked") & (c("gov") | c("own_site")))
 
 
 def allowed_hosts(classified: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -178,7 +177,11 @@ def allowed_hosts(classified: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def keep_results(results: DataFrame, n: int = 12) -> DataFrame:
     """The first n official results per item, each URL once, in (query, rank) order."""
-    official = classify_hosts(results).where("official")
+    # Hosts repeat far more than URLs do: classify each (host, place) once.
+    named = results.withColumn("_host", url_host(c("url")))
+    who = ["_host", "name", "state"]
+    hosts = classify_hosts(named.select(*who).distinct().withColumn("_u", F.concat(F.lit("http://"), c("_host"))), "_u")
+    official = named.join(hosts.where("official").select(*who), who, "left_semi")
     once = official.groupBy(*ITEM, "url").agg(F.min(F.struct("query_pos", "rank", "query")).alias("_at"))
     return first_rows(once, ITEM, [c("_at.query_pos"), c("_at.rank"), c("url")], n, "kept_rank") \
         .select(*ITEM, "url", c("_at.query").alias("query"), c("kept_rank").cast("long").alias("kept_rank"))
