@@ -1,7 +1,9 @@
 """Integrity checks.
 
-Each check yields (check_id, key) rows; ``run`` unions them and ``summary`` counts
-them and keeps eight example keys per check.
+Each check yields keys of offending rows.  Checks that look at one row (and its
+source) are predicates, so ``run`` tests all of them in one pass over the facts,
+one over the measures and one per rule table; the others are joins.  ``summary``
+counts per check and keeps eight example keys.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from ..functions.expr import blank, lenient_date, squash
 from ..functions.scan import anti, first_rows
 
 c = F.col
-CHECKS: dict[str, Callable] = {}
+#: Checks that need joins between tables: code -> function of the tables.
+JOINED: dict[str, Callable] = {}
 
 
 def _check(code: str):
     def deco(fn):
-        CHECKS[code] = fn
+        JOINED[code] = fn
         return fn
     return deco
 
@@ -31,37 +34,56 @@ def _key(*cols: str) -> Column:
 
 
 def _live(t): return t.facts.where(c("superseded_by").isNull())
-def _facts(t, cond, *cols): return _live(t).where(cond).select(_key(*(cols or ("geoid", "instrument_code", "id"))).alias("key"))
 def _src(t): return t.source.select(c("id").alias("source_id"), c("url").alias("_url"), c("authority_tier").alias("_tier"))
 
 
-@_check("g01")
-def no_source_url(t):
-    """Live row whose source has no URL."""
-    j = _live(t).join(_src(t), "source_id", "left")
-    return j.where(F.coalesce("_url", F.lit("")) == "").select(_key("geoid", "instrument_code", "id").alias("key"))
+def fact_rules(as_of: str) -> dict[str, Column]:
+    """On a live fact with its source's ``_url`` and ``_tier``."""
+    rate, unit, exp = c("rate_value"), c("rate_unit"), c("expiration_date")
+    edge = F.date_format(F.date_sub(F.lit(as_of).cast("date"), 400), "yyyy-MM-dd")
+    return {
+        "g01": F.coalesce("_url", F.lit("")) == "",
+        "g02": (c("status") == "levied") & rate.isNull(),
+        "g03": rate.isNotNull() & unit.isNull(),
+        "g04": (unit == "percent") & ((rate < 0) | (rate > 25)),
+        "g05": unit.eqNullSafe(c("cap_unit")) & (rate > c("cap_value")),
+        "g06": c("_tier") == 4,
+        "g10": c("retrieved_at") < edge,
+        "g11": exp.isNotNull() & lenient_date(exp).isNull(),
+        "g25": (c("extraction_method") == "agent_research") & blank(c("source_quote")),
+    }
 
 
-@_check("g02")
-def levied_no_rate(t): return _facts(t, (c("status") == "levied") & c("rate_value").isNull())
+def measure_rules() -> dict[str, Column]:
+    """G12, G13, G19-G21."""
+    now, pct, need = c("superseded_by").isNull(), c("pct_yes"), c("threshold_required")
+    share = F.when(c("votes_total") > 0, 100.0 * c("votes_yes") / c("votes_total"))
+    return {
+        "g12": (c("outcome") == "passed") & (c("margin_vs_threshold") < 0),
+        "g13": F.abs(pct - share) > 0.15,
+        "g19": now & pct.isNotNull() & need.isNull(),
+        "g20": F.abs(c("margin_vs_threshold") - (pct - need)) > 0.05,
+        "g21": now & c("votes_total").isNull() & pct.isNull(),
+    }
 
 
-@_check("g03")
-def rate_no_unit(t): return _facts(t, c("rate_value").isNotNull() & c("rate_unit").isNull())
+def threshold_rules() -> dict[str, Column]:
+    """G16, G17."""
+    return {"g16": c("threshold_value") <= 1.0, "g17": blank(c("statute_cite"))}
 
 
-@_check("g04")
-def percent_range(t): return _facts(t, (c("rate_unit") == "percent") & ((c("rate_value") < 0) | (c("rate_value") > 25)))
+def grant_rules() -> dict[str, Column]:
+    """G17, G18."""
+    return {"g17": blank(c("statute_cite")), "g18": c("max_rate").isNotNull() & (F.coalesce("max_rate_unit", F.lit("")) == "")}
 
 
-@_check("g05")
-def above_own_cap(t):
-    return _facts(t, c("rate_unit").eqNullSafe(c("cap_unit")) & (c("rate_value") > c("cap_value")))
-
-
-@_check("g06")
-def aggregator_only(t):
-    return _live(t).join(_src(t).where(c("_tier") == 4), "source_id").select(_key("geoid", "instrument_code", "id").alias("key"))
+def _one_pass(df: DataFrame, rules: dict[str, Column], key: Callable[[str], Column], only) -> DataFrame | None:
+    """(check_id, key) of every rule that fires, by one scan."""
+    picked = {k: p for k, p in rules.items() if not only or k in only}
+    if not picked:
+        return None
+    hits = F.array_compact(F.array(*[F.when(p, F.struct(F.lit(k).alias("check_id"), key(k).alias("key"))) for k, p in picked.items()]))
+    return df.select(F.explode(hits).alias("h")).select("h.check_id", "h.key")
 
 
 def _complete(t): return t.work.where(c("status") == "complete")
@@ -92,28 +114,6 @@ def _covered(t):
     return t.coverage_assertion.where(c("domain") == "ballot_measure").select(c("scope_geoid").alias("geoid"))
 
 
-@_check("g10")
-def stale(t):
-    edge = F.date_format(F.date_sub(F.lit(t.as_of).cast("date"), 400), "yyyy-MM-dd")
-    return _facts(t, c("retrieved_at") < edge)
-
-
-@_check("g11")
-def expiration_unreadable(t):
-    return _facts(t, c("expiration_date").isNotNull() & lenient_date(c("expiration_date")).isNull())
-
-
-@_check("g12")
-def passed_below(t):
-    return t.measures.where((c("outcome") == "passed") & (c("margin_vs_threshold") < 0)).select(_key("id").alias("key"))
-
-
-@_check("g13")
-def share_off(t):
-    off = F.abs(c("pct_yes") - 100.0 * c("votes_yes") / c("votes_total")) > 0.15
-    return t.measures.where((c("votes_total") > 0)).where(off).select(_key("id").alias("key"))
-
-
 @_check("g14")
 def event_orphan(t):
     e = t.rate_change.where(c("measure_id").isNotNull())
@@ -129,41 +129,9 @@ def weak_and_alone(t):
     return anti(weak, backed, ["id"]).select(_key("id").alias("key"))
 
 
-@_check("g16")
-def threshold_fraction(t): return t.thresholds.where(c("threshold_value") <= 1.0).select(_key("id").alias("key"))
-
-
-@_check("g17")
-def rule_without_cite(t):
-    a = t.thresholds.where(blank(c("statute_cite"))).select(F.concat(F.lit("threshold|"), c("id").cast("string")).alias("key"))
-    b = t.grants.where(blank(c("statute_cite"))).select(F.concat(F.lit("grant|"), c("id").cast("string")).alias("key"))
-    return a.unionByName(b)
-
-
-@_check("g18")
-def cap_no_unit(t):
-    return t.grants.where(c("max_rate").isNotNull() & (F.coalesce("max_rate_unit", F.lit("")) == "")).select(_key("id").alias("key"))
-
-
 def _live_m(t): return t.measures.where(c("superseded_by").isNull())
 
 
-@_check("g19")
-def result_no_threshold(t):
-    return _live_m(t).where(c("pct_yes").isNotNull() & c("threshold_required").isNull()).select(_key("id").alias("key"))
-
-
-@_check("g20")
-def margin_off(t):
-    off = F.abs(c("margin_vs_threshold") - (c("pct_yes") - c("threshold_required"))) > 0.05
-    return t.measures.where(off).select(_key("id").alias("key"))
-
-
-@_check("g21")
-def no_counts(t):
-    return _live_m(t).where(c("votes_total").isNull() & c("pct_yes").isNull()).select(_key("id").alias("key"))
-
-
 def _states_of(t, rows): return rows.select("geoid").distinct().join(t.jurisdiction.select("geoid", "state_usps"), "geoid").select("state_usps").distinct()
 
 
@@ -181,11 +149,6 @@ def measured_uncovered(t):
     return anti(t.measures.select("geoid").distinct(), _covered(t), ["geoid"]).select(c("geoid").alias("key"))
 
 
-@_check("g25")
-def research_no_quote(t):
-    return _facts(t, (c("extraction_method") == "agent_research") & blank(c("source_quote")), "id")
-
-
 @_check("g26")
 def quote_not_archived(t):
     """Quotes absent from the archived text, spaces aside; text is normalised once per file."""
@@ -197,12 +160,23 @@ def quote_not_archived(t):
 
 def run(t, only: list[str] | None = None) -> DataFrame:
     """All checks (or some) as one frame of (check_id, key)."""
+    facts = _live(t)
+    if not only or {"g01", "g06"} & set(only):
+        facts = facts.join(_src(t), "source_id", "left")
+    else:
+        facts = facts.withColumn("_url", F.lit("-")).withColumn("_tier", F.lit(0))
+    by_id = lambda label: (lambda k: F.concat(F.lit(label if k == "g17" else ""), c("id").cast("string")))
+    parts = [
+        _one_pass(facts, fact_rules(t.as_of), lambda k: c("id") if k == "g25" else _key("geoid", "instrument_code", "id"), only),
+        _one_pass(t.measures, measure_rules(), by_id(""), only),
+        _one_pass(t.thresholds, threshold_rules(), by_id("threshold|"), only),
+        _one_pass(t.grants, grant_rules(), by_id("grant|"), only),
+    ]
+    parts += [fn(t).select(F.lit(code).alias("check_id"), "key") for code, fn in JOINED.items() if not only or code in only]
     out = None
-    for code, fn in CHECKS.items():
-        if only and code not in only:
-            continue
-        one = fn(t).select(F.lit(code).alias("check_id"), "key")
-        out = one if out is None else out.unionByName(one)
+    for p in parts:
+        if p is not None:
+            out = p if out is None else out.unionByName(p)
     return out
 
 

@@ -51,7 +51,7 @@ NAMES = {
     "g24": "measured_uncovered", "g25": "research_no_quote", "g26": "quote_not_archived"}
 
 for _g, _sql in ORACLES.items():
-    query(f"{_g}_{NAMES[_g]}", _sql)(lambda t, g=_g: checks.CHECKS[g](t))
+    query(f"{_g}_{NAMES[_g]}", _sql)(lambda t, g=_g: checks.run(t, [g]).select("key"))
 
 ALL = " UNION ALL ".join(f"SELECT '{g}' AS check_id, key FROM ({sql}) x" for g, sql in ORACLES.items())
 SQL["all_checks"] = ALL

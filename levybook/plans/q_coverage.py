@@ -192,7 +192,7 @@ def _agg(v, o): return f"string_agg({v}, '; ' ORDER BY {o})"
 
 
 SQL["statute_hits"] = " UNION ALL ".join(
-    f"SELECT state_usps, '{k}' AS category, citation, section_title, doc_id, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statute_section WHERE "
+    f"SELECT state_usps, '{k}' AS category, citation, section_title, doc_id, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statutes WHERE "
     + " OR ".join(f"{f} ILIKE '%{w}%'" for w in v for f in ("section_title", "text", "citation")) for k, v in fixed.STATUTE_TERMS.items())
 SRC3 = """(SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY authority_tier, id) AS rn FROM (SELECT DISTINCT p.geoid, s.id, s.url, s.authority_tier FROM places p JOIN source s ON s.scope_geoid IN (p.geoid, p.state_fips, p.county_fips)) q)"""
 
@@ -205,7 +205,7 @@ LEFT JOIN (SELECT geoid, {_agg("base_type||'='||CAST(base_value AS VARCHAR)", 'b
 LEFT JOIN (SELECT state_usps, category, {_agg('citation', 'rn')} AS txt FROM statute_hits WHERE rn<=8 GROUP BY 1,2) h ON h.state_usps=j.state_usps AND h.category=w.category
 LEFT JOIN state_profile pr ON pr.state_usps=j.state_usps WHERE w.category NOT IN ('framework','elections')""")
 def j15(t):
-    hits = pages.statutes_by_category(t.statute_section)
+    hits = pages.statutes_by_category(t.statutes)
     hits = hits.groupBy("state_usps", "category").agg(F.array_sort(F.collect_list(F.struct("citation", "doc_id"))).alias("l")) \
         .select("state_usps", "category", F.transform("l", lambda x: x["citation"]).alias("statutes"))
     r = coverage.research_context(t.work.select("geoid", "category"), t.places, t.facts, t.source, t.base_rows.where(c("fiscal_year") == 1998), hits, t.state_profile)

@@ -132,9 +132,20 @@ def l7(t):
     return pages.content_relevant(t.doc_pages, "mill rate").select("doc_id", "is_document", "relevant")
 
 
+STATUTE_TAILS = {0: " Sales Tax", 1: " lodging", 2: " special election", 3: " Franchise", 4: " home rule"}
+
+
+@derived("statutes", "SELECT doc_id, state_usps, snapshot, citation, section_title, text||CASE doc_id%9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in STATUTE_TAILS.items()) + " ELSE '' END AS text FROM statute_section")
+def statutes(t):
+    tail = None
+    for k, v in STATUTE_TAILS.items():
+        tail = F.when(c("doc_id") % 9 == k, v) if tail is None else tail.when(c("doc_id") % 9 == k, v)
+    return t.statute_section.withColumn("text", F.concat("text", tail.otherwise("")))
+
+
 @query("l8_statutes_by_category", "SELECT state_usps, category, citation, section_title, doc_id FROM statute_hits WHERE rn<=8")
 def l8(t):
-    return pages.statutes_by_category(t.statute_section)
+    return pages.statutes_by_category(t.statutes)
 
 
 @query("l9_page_signal", f"""SELECT geoid, category, bool_or((is_document AND length(text)>0 AND error IS NULL) OR (length(text)>400 AND regexp_matches(text,'(?i){fixed.TAX_PAGE_PATTERN}'))) AS has_signal,
@@ -167,7 +178,7 @@ def l12(t):
     return pages.search_statutes(t.statute_section, None, ["the", "sec. 1", "src3"])
 
 
-@query("l12_default_terms", f"""SELECT state_usps, citation, section_title, substr(text,1,800) AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statute_section
+@query("l12_default_terms", f"""SELECT state_usps, citation, section_title, substr(text,1,800) AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statutes
  WHERE {' OR '.join(_like(w) for w in fixed.DEFAULT_STATUTE_TERMS)}) x WHERE rn<=25""")
 def l12b(t):
-    return pages.search_statutes(t.statute_section, None)
+    return pages.search_statutes(t.statutes, None)
