@@ -90,9 +90,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
     ``chunk`` must not decrease along ``order``.  ``last`` carries the previous
     non-null value, i.e. an exclusive ``last`` is a lag.
     """
-    src = df.withColumn("_chunk", chunk)
-    for s in scans:
-        src = src.withColumn(f"_v_{s.name}", s.value)
+    src = df.select("*", chunk.alias("_chunk"), *[s.value.alias(f"_v_{s.name}") for s in scans])
 
     def part(s):
         v = F.col(f"_v_{s.name}")
@@ -104,35 +102,35 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
 
     totals = src.groupBy(*keys, "_chunk").agg(*[part(s).alias(f"_t_{s.name}") for s in scans])
     by_chunk = Window.partitionBy(*keys)
-    for s in scans:
+
+    def carried(s):
         w = by_chunk.orderBy(F.col("_chunk").desc() if s.backward else F.col("_chunk"))
         w = by_chunk if s.whole else w.rowsBetween(Window.unboundedPreceding, -1)
         t = F.col(f"_t_{s.name}")
-        carried = (F.last(t, ignorenulls=True) if s.how == "last"
-                   else {"max": F.max, "min": F.min, "sum": F.sum}[s.how](t)).over(w)
-        totals = totals.withColumn(f"_c_{s.name}", carried)
-    carry = totals.select(*keys, "_chunk", *[f"_c_{s.name}" for s in scans])
+        if s.how == "last":
+            return F.last(t, ignorenulls=True).over(w)
+        return {"max": F.max, "min": F.min, "sum": F.sum}[s.how](t).over(w)
 
-    out = src.join(carry, [*keys, "_chunk"])
+    carry = totals.select(*keys, "_chunk", *[carried(s).alias(f"_c_{s.name}") for s in scans])
     in_chunk = Window.partitionBy(*keys, "_chunk")
-    for s in scans:
+
+    def value(s):
         cols = [F.col(o).desc() if s.backward else F.col(o) for o in order]
         w = in_chunk.orderBy(*cols).rowsBetween(
             Window.unboundedPreceding, Window.currentRow if s.inclusive else -1)
         v, c = F.col(f"_v_{s.name}"), F.col(f"_c_{s.name}")
         if s.whole:
-            val = c
-        elif s.how == "last":
-            val = F.coalesce(F.last(v, ignorenulls=True).over(w), c)
-        elif s.how == "sum":
+            return c
+        if s.how == "last":
+            return F.coalesce(F.last(v, ignorenulls=True).over(w), c)
+        if s.how == "sum":
             local = F.sum(v).over(w)
-            val = F.when(local.isNull() & c.isNull(), F.lit(None)).otherwise(
-                F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0)))
-        else:
-            pick = F.greatest if s.how == "max" else F.least
-            val = pick(c, {"max": F.max, "min": F.min}[s.how](v).over(w))
-        out = out.withColumn(s.name, val)
-    return out.drop("_chunk", *[f"_v_{s.name}" for s in scans], *[f"_c_{s.name}" for s in scans])
+            return F.when(local.isNotNull() | c.isNotNull(), F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0)))
+        pick = F.greatest if s.how == "max" else F.least
+        return pick(c, {"max": F.max, "min": F.min}[s.how](v).over(w))
+
+    joined = src.join(carry, [*keys, "_chunk"])
+    return joined.select(*df.columns, *[value(s).alias(s.name) for s in scans])
 
 
 def coalescing_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], cols: list[str],

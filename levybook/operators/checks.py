@@ -77,11 +77,12 @@ def grant_rules() -> dict[str, Column]:
     return {"g17": blank(c("statute_cite")), "g18": c("max_rate").isNotNull() & (F.coalesce("max_rate_unit", F.lit("")) == "")}
 
 
-def _one_pass(df: DataFrame, rules: dict[str, Column], key: Callable[[str], Column], only) -> DataFrame | None:
+def _one_pass(df: Callable[[], DataFrame], rules: dict[str, Column], key: Callable[[str], Column], only) -> DataFrame | None:
     """(check_id, key) of every rule that fires, by one scan."""
     picked = {k: p for k, p in rules.items() if not only or k in only}
     if not picked:
         return None
+    df = df()
     hits = F.array_compact(F.array(*[F.when(p, F.struct(F.lit(k).alias("check_id"), key(k).alias("key"))) for k, p in picked.items()]))
     return df.select(F.explode(hits).alias("h")).select("h.check_id", "h.key")
 
@@ -160,17 +161,17 @@ def quote_not_archived(t):
 
 def run(t, only: list[str] | None = None) -> DataFrame:
     """All checks (or some) as one frame of (check_id, key)."""
-    facts = _live(t)
-    if not only or {"g01", "g06"} & set(only):
-        facts = facts.join(_src(t), "source_id", "left")
-    else:
-        facts = facts.withColumn("_url", F.lit("-")).withColumn("_tier", F.lit(0))
+    def facts():
+        if not only or {"g01", "g06"} & set(only):
+            return _live(t).join(_src(t), "source_id", "left")
+        return _live(t).withColumn("_url", F.lit("-")).withColumn("_tier", F.lit(0))
+
     by_id = lambda label: (lambda k: F.concat(F.lit(label if k == "g17" else ""), c("id").cast("string")))
     parts = [
         _one_pass(facts, fact_rules(t.as_of), lambda k: c("id") if k == "g25" else _key("geoid", "instrument_code", "id"), only),
-        _one_pass(t.measures, measure_rules(), by_id(""), only),
-        _one_pass(t.thresholds, threshold_rules(), by_id("threshold|"), only),
-        _one_pass(t.grants, grant_rules(), by_id("grant|"), only),
+        _one_pass(lambda: t.measures, measure_rules(), by_id(""), only),
+        _one_pass(lambda: t.thresholds, threshold_rules(), by_id("threshold|"), only),
+        _one_pass(lambda: t.grants, grant_rules(), by_id("grant|"), only),
     ]
     parts += [fn(t).select(F.lit(code).alias("check_id"), "key") for code, fn in JOINED.items() if not only or code in only]
     out = None

@@ -140,48 +140,69 @@ def margin(m: DataFrame) -> DataFrame:
 
 
 RULE_SCOPE = ["state_usps", "measure_class", "jurisdiction_kind", "instrument_code", "purpose_restriction"]
+_FOREVER = "~"  # sorts after every date text
+
+
+def rule_timeline(rules: DataFrame) -> DataFrame:
+    """For each scope, which rule is in force from which day on (``at``), until the next row.
+
+    Of the rules covering a day the latest start wins, then the highest id; a gap
+    has a null winner.  Rules are reduced to one per scope and validity range
+    first, so the work per scope depends on the calendar, not on the rule count.
+    """
+    c = F.col
+    key = [F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(RULE_SCOPE)]
+    ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
+    r = rules.select(*key, F.coalesce("effective_from", F.lit("0000")).alias("start"),
+                     F.coalesce("effective_to", F.lit(_FOREVER)).alias("end"), "id", "threshold_value", "threshold_basis")
+    r = latest(r, [*ks, "start", "end"], [c("id")], ["id", "threshold_value", "threshold_basis"])
+    # The day after an inclusive end is written as the end plus a mark that sorts right behind it.
+    at = F.explode(F.array_compact(F.array(c("start"), F.when(c("end") != _FOREVER, F.concat("end", F.lit(_FOREVER))))))
+    cuts = r.select(*ks, at.alias("at")).distinct()
+    inside = (c("start") <= c("at")) & (c("end") >= c("at"))
+    span = cuts.join(r, ks).withColumn("_pos", F.when(inside, F.struct("start", "id")))
+    win = F.max_by(F.struct("id", "threshold_value", "threshold_basis"), "_pos")
+    return span.groupBy(*ks, "at").agg(win.alias("win"))
 
 
 def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule in force on each measure's election day, most specific first.
 
     Own kind beats statewide, own instrument beats general, own purpose beats
-    'either' beats none; then the latest start, then the highest id.
-
-    Both sides are reduced before they meet: rules to one per scope and validity
-    range, measures to distinct questions (state, class, kind, instrument,
-    purpose, day).  Both counts are bounded by vocabularies and the calendar, so
-    the range join does not grow with the number of measures or of rules.
+    'either' beats none.  A measure asks one question per scope it may fall under
+    (at most twelve); questions and the scopes' timelines are laid out by date and
+    each question takes the last timeline row before it.  That is a sort, not a
+    range join: no measure meets more than one row of a timeline.  Equal
+    questions are asked once.
     """
     c = F.col
-    asked = measures.join(places.select("geoid", c("state_usps").alias("_state"), c("kind").alias("_kind")), "geoid", "left")
-    q = ["_state", "_kind", "measure_class", "instrument_code", "_purpose", "election_date"]
-    asked = asked.withColumn("_purpose", F.when(c("purpose_type").isin("general", "special"), c("purpose_type")))
-    questions = asked.where(c("_state").isNotNull() & c("election_date").isNotNull()).select(*q).distinct()
-    value = ["threshold_value", "threshold_basis"]
-    ranges = latest(rules, [*RULE_SCOPE, "effective_from", "effective_to"], [c("id")], ["id", *value])
-    r = ranges.select(*[c(k).alias(f"r_{k}") for k in [*RULE_SCOPE, "effective_from", "effective_to", "id", *value]])
-    fits = ((c("_state") == c("r_state_usps")) & (c("measure_class") == c("r_measure_class"))
-            & (c("r_jurisdiction_kind").isNull() | (c("r_jurisdiction_kind") == c("_kind")))
-            & (c("r_instrument_code").isNull() | (c("r_instrument_code") == c("instrument_code")))
-            & (c("r_purpose_restriction").isNull() | (c("r_purpose_restriction") == "either")
-               | (c("r_purpose_restriction") == c("_purpose")))
-            & (c("r_effective_from").isNull() | (c("r_effective_from") <= c("election_date")))
-            & (c("r_effective_to").isNull() | (c("r_effective_to") >= c("election_date"))))
-    purpose_rank = F.when(c("r_purpose_restriction") == c("_purpose"), 2).when(
-        c("r_purpose_restriction") == "either", 1).otherwise(0)
-    best = latest(questions.join(r, fits), q,
-                  [c("r_jurisdiction_kind").isNotNull(), c("r_instrument_code").isNotNull(), purpose_rank,
-                   F.coalesce("r_effective_from", F.lit("0000")), c("r_id")],
-                  ["r_id", "r_threshold_value", "r_threshold_basis"])
-    b = best.select(*[c(k).alias(f"b_{k}") for k in q], "r_id", "r_threshold_value", "r_threshold_basis")
-    cond = None
-    for k in q:
-        part = asked[k].eqNullSafe(b[f"b_{k}"])
-        cond = part if cond is None else cond & part
-    return asked.join(b, cond, "left").drop("_state", "_kind", "_purpose", *[f"b_{k}" for k in q]) \
-        .withColumnRenamed("r_id", "rule_id").withColumnRenamed("r_threshold_value", "rule_value") \
-        .withColumnRenamed("r_threshold_basis", "rule_basis")
+    own = places.select("geoid", c("state_usps").alias("_s"), c("kind").alias("_kd"))
+    asked = measures.join(own, "geoid", "left").select(
+        "*", F.coalesce("instrument_code", F.lit("")).alias("_in"), F.coalesce("measure_class", F.lit("")).alias("_mc"),
+        F.when(c("purpose_type").isin("general", "special"), c("purpose_type")).otherwise("").alias("_pu"),
+        c("election_date").alias("_day"))
+    q = ["_s", "_mc", "_kd", "_in", "_pu", "_day"]
+    lines = rule_timeline(rules)
+    ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
+    scope = lambda k, i, p, rank: F.struct(k.alias("k2"), i.alias("k3"), p.alias("k4"), F.lit(rank).alias("rank"))
+    none = F.lit("")
+    options = F.array(*[scope(k, i, p, 100 * a + 10 * b + d) for a, k in ((1, c("_kd")), (0, none))
+                        for b, i in ((1, c("_in")), (0, none)) for d, p in ((2, c("_pu")), (1, F.lit("either")), (0, none))])
+    real = F.filter(options, lambda o: ((o["rank"] % 100 < 10) | (o["k3"] != "")) & ((o["rank"] % 10 < 2) | (o["k4"] != "")))
+    asks = asked.where(c("_s").isNotNull() & c("_day").isNotNull()).select(*q).distinct() \
+        .select(c("_s").alias("k0"), c("_mc").alias("k1"), *q, F.explode(real).alias("o")).select("k0", "k1", "o.*", *q)
+    asks = semi(asks, lines.select(*ks).distinct(), ks)
+    empty = F.lit(None).cast("struct<id:bigint,threshold_value:double,threshold_basis:string>")
+    at = lines.select(*ks, c("at").alias("pos"), F.lit(0).alias("is_q"), F.coalesce("win", F.struct(
+        F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("threshold_value"),
+        F.lit(None).cast("string").alias("threshold_basis"))).alias("win"), F.lit(None).cast("int").alias("rank"), *[none.alias(x) for x in q])
+    both = at.unionByName(asks.select(*ks, c("_day").alias("pos"), F.lit(1).alias("is_q"), empty.alias("win"), "rank", *q))
+    seen = running(both, ks, F.substring("pos", 1, 4), ["pos", "is_q", "_kd", "_in", "_pu"], [Scan("held", "last", c("win"))])
+    hits = seen.where((c("is_q") == 1) & c("held.id").isNotNull())
+    best = latest(hits, q, [c("rank")], ["held"])
+    out = asked.join(best, q, "left")
+    return out.select(*measures.columns, c("held.id").alias("rule_id"), c("held.threshold_value").alias("rule_value"),
+                      c("held.threshold_basis").alias("rule_basis"))
 
 
 def derive_measures(measures: DataFrame, places: DataFrame, rules: DataFrame) -> DataFrame:
