@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose, text_year
+from ..functions.shared import cut
 from ..functions.scan import (Scan, anti, coalescing_upsert, first_rows, flag_in, insert_ignore, latest,
                               running, semi)
 
@@ -32,36 +33,39 @@ def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arriva
       the earlier maximum is history;
     * among rows of the maximal year, a bare-year row always wins and opens a new
       *stretch*, and inside a stretch the live date is the running maximum.
-    Each step is a ``running`` scan, cut into chunks of ``chunk_rows`` arrivals.
+    Each step is a ``running`` scan in chunks of ``chunk_rows`` arrivals, so a key
+    with any number of versions is spread over tasks; between steps the lineage is
+    cut, and only keys, order and dates are carried through them.
     ``bare_years=False`` is the shorter plan for sources whose rows all carry full
     dates.  An effective date that does not start with a year counts as missing.
     """
-    keys = keys or FACT_KEY
-    chunk = F.floor(F.col(seq) / chunk_rows)
-    day = F.when(text_year(F.col("effective_date")).isNotNull(), F.substring("effective_date", 1, 10))
-    r = rows.withColumn("_day", day)
+    keys, c = keys or FACT_KEY, F.col
+    chunk = F.floor(c(seq) / chunk_rows)
+    day = F.when(text_year(c("effective_date")).isNotNull(), F.substring("effective_date", 1, 10))
     if not bare_years:
-        r = running(r, keys, chunk, [seq], [Scan("_top", "max", F.col("_day"), inclusive=False)])
-        live = F.col("_top").isNull() | (F.col("_day") >= F.col("_top"))
-        r = r.withColumn("became_live", live).drop("_top")
+        r = cut(rows.select(*keys, seq, day.alias("_day")))
+        r = running(r, keys, chunk, [seq], [Scan("_top", "max", c("_day"), inclusive=False)])
+        live = c("_top").isNull() | (c("_day") >= c("_top"))
     else:
-        year = F.coalesce(text_year(F.col("_day")), F.col("fiscal_year").cast("int"))
-        r = r.withColumn("_year", year)
-        r = running(r, keys, chunk, [seq], [Scan("_era", "sum", F.col("_year").isNull().cast("int"))])
-        r = running(r, [*keys, "_era"], chunk, [seq], [Scan("_topyear", "max", F.col("_year"), inclusive=False)])
-        cand = F.col("_year").isNull() | F.col("_topyear").isNull() | (F.col("_year") >= F.col("_topyear"))
-        r = r.withColumn("_cand", cand)
-        # Rows outside the candidates take no part; a group value of their own keeps them aside.
-        r = r.withColumn("_yk", F.when(F.col("_cand"), F.coalesce("_year", F.lit(-1))).otherwise(F.lit(-2)))
-        r = running(r, [*keys, "_era", "_yk"], chunk, [seq], [Scan("_stretch", "sum", F.col("_day").isNull().cast("int"))])
-        r = running(r, [*keys, "_era", "_yk", "_stretch"], chunk, [seq], [Scan("_topday", "max", F.col("_day"), inclusive=False)])
-        live = F.col("_cand") & (F.col("_day").isNull() | F.col("_topday").isNull() | (F.col("_day") >= F.col("_topday")))
-        r = r.withColumn("became_live", live).drop("_year", "_era", "_topyear", "_cand", "_yk", "_stretch", "_topday")
-    won = F.when(F.col("became_live"), F.col(seq))
+        r = rows.select(*keys, seq, day.alias("_day"), "fiscal_year") \
+            .select(*keys, seq, "_day", F.coalesce(text_year(c("_day")), c("fiscal_year").cast("int")).alias("_year"))
+        r = cut(running(cut(r), keys, chunk, [seq], [Scan("_era", "sum", c("_year").isNull().cast("int"))]))
+        r = running(r, [*keys, "_era"], chunk, [seq], [Scan("_topyear", "max", c("_year"), inclusive=False)])
+        cand = c("_year").isNull() | c("_topyear").isNull() | (c("_year") >= c("_topyear"))
+        # Rows below the top year take no part further on; a group value of their own keeps them aside.
+        group = F.when(cand, F.coalesce("_year", F.lit(-1))).otherwise(F.lit(-2))
+        r = cut(r.select(*keys, seq, "_day", "_era", cand.alias("_cand"), group.alias("_grp")))
+        r = cut(running(r, [*keys, "_era", "_grp"], chunk, [seq], [Scan("_stretch", "sum", c("_day").isNull().cast("int"))]))
+        r = running(r, [*keys, "_era", "_grp", "_stretch"], chunk, [seq], [Scan("_topday", "max", c("_day"), inclusive=False)])
+        live = c("_cand") & (c("_day").isNull() | c("_topday").isNull() | (c("_day") >= c("_topday")))
+    r = cut(r.select(*keys, seq, live.alias("became_live")))
+    won = F.when(c("became_live"), c(seq))
     r = running(r, keys, chunk, [seq], [Scan("_before", "max", won, inclusive=False),
                                         Scan("_after", "min", won, inclusive=False, backward=True)])
-    return r.withColumn("superseded_by", F.when(F.col("became_live"), F.col("_after")).otherwise(F.col("_before"))) \
-        .drop("_day", "_before", "_after")
+    link = F.when(c("became_live"), c("_after")).otherwise(c("_before"))
+    links = r.select(*keys, seq, "became_live", link.alias("superseded_by"))
+    rest = [x for x in rows.columns if x not in (*keys, seq)]
+    return rows.join(links, [*keys, seq]).select(*keys, seq, *rest, "became_live", "superseded_by")
 
 
 # -- D2-D5 ------------------------------------------------------------------
