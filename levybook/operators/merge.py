@@ -174,10 +174,9 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
 
     Own kind beats statewide, own instrument beats general, own purpose beats
     'either' beats none.  A measure asks one question per scope it may fall under
-    (at most twelve); questions and the scopes' timelines are laid out by date and
-    each question takes the last timeline row before it.  That is a sort, not a
-    range join: no measure meets more than one row of a timeline.  Equal
-    questions are asked once.
+    (at most twelve) and looks its day up in that scope's timeline, an array with
+    at most two entries per calendar day.  So measures meet scopes by equality,
+    never rules by range, and equal questions are asked once.
     """
     c = F.col
     own = places.select("geoid", c("state_usps").alias("_s"), c("kind").alias("_kd"))
@@ -188,21 +187,18 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
     q = ["_s", "_mc", "_kd", "_in", "_pu", "_day"]
     lines = rule_timeline(rules)
     ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
-    scope = lambda k, i, p, rank: F.struct(k.alias("k2"), i.alias("k3"), p.alias("k4"), F.lit(rank).alias("rank"))
     none = F.lit("")
-    options = F.array(*[scope(k, i, p, 100 * a + 10 * b + d) for a, k in ((1, c("_kd")), (0, none))
-                        for b, i in ((1, c("_in")), (0, none)) for d, p in ((2, c("_pu")), (1, F.lit("either")), (0, none))])
-    real = F.filter(options, lambda o: ((o["rank"] % 100 < 10) | (o["k3"] != "")) & ((o["rank"] % 10 < 2) | (o["k4"] != "")))
-    asks = asked.where(c("_s").isNotNull() & c("_day").isNotNull()).select(*q).distinct() \
-        .select(c("_s").alias("k0"), c("_mc").alias("k1"), *q, F.explode(real).alias("o")).select("k0", "k1", "o.*", *q)
-    asks = semi(asks, lines.select(*ks).distinct(), ks)
-    empty = F.lit(None).cast("struct<id:bigint,threshold_value:double,threshold_basis:string>")
-    at = lines.select(*ks, c("at").alias("pos"), F.lit(0).alias("is_q"), F.coalesce("win", F.struct(
-        F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("threshold_value"),
-        F.lit(None).cast("string").alias("threshold_basis"))).alias("win"), F.lit(None).cast("int").alias("rank"), *[none.alias(x) for x in q])
-    both = at.unionByName(asks.select(*ks, c("_day").alias("pos"), F.lit(1).alias("is_q"), empty.alias("win"), "rank", *q))
-    seen = running(both, ks, F.substring("pos", 1, 4), ["pos", "is_q", "_kd", "_in", "_pu"], [Scan("held", "last", c("win"))])
-    hits = seen.where((c("is_q") == 1) & c("held.id").isNotNull())
+    asks = asked.where(c("_s").isNotNull() & c("_day").isNotNull()).select(*q).distinct()
+    or_none = lambda x: F.when(c(x) != "", F.array(c(x), none)).otherwise(F.array(none))
+    purposes = F.when(c("_pu") != "", F.array(c("_pu"), F.lit("either"), none)).otherwise(F.array(F.lit("either"), none))
+    for name, choice in (("k2", or_none("_kd")), ("k3", or_none("_in")), ("k4", purposes)):
+        asks = asks.withColumn(name, F.explode(choice))
+    rank = (F.when(c("k2") != "", 100).otherwise(0) + F.when(c("k3") != "", 10).otherwise(0)
+            + F.when(c("k4") == "either", 1).when(c("k4") != "", 2).otherwise(0))
+    asks = asks.select(c("_s").alias("k0"), c("_mc").alias("k1"), "k2", "k3", "k4", rank.alias("rank"), *q)
+    line = lines.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("at", "win"))).alias("line"))
+    held = F.try_element_at(F.filter("line", lambda x: x["at"] <= c("_day")), F.lit(-1))["win"]
+    hits = asks.join(line, ks).select(*q, "rank", held.alias("held")).where(c("held").isNotNull())
     best = latest(hits, q, [c("rank")], ["held"])
     out = asked.join(best, q, "left")
     return out.select(*measures.columns, c("held.id").alias("rule_id"), c("held.threshold_value").alias("rule_value"),

@@ -19,6 +19,9 @@ from ..functions.scan import Scan, running
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+#: Tables worth spreading over the cores when they come in few splits.
+LARGE = {"lineitem", "orders", "events", "documents", "pages"}
+
 AS_OF = "1998-06-30"
 AS_OF_TS = "2024-01-31 00:00:00"
 
@@ -54,7 +57,8 @@ class Tables:
 
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            return spread(scan) if name in LARGE else scan
         if name == "rate_history":
             return rate_history(self)
         if name == "tax_instrument":
@@ -69,6 +73,16 @@ class Tables:
         return self.spark.sql(sql, **deps)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, spread over them by its key.
+
+    Large tables have splits enough and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = scan.rdd.getNumPartitions() < cores
+    return scan.repartition(cores, scan.columns[0]) if few else scan
+
+
 def rate_history(t: Tables) -> DataFrame:
     """Every rate version, numbered per place and instrument in date order."""
     return _numbered(t).drop("top_seq")
