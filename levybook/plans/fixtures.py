@@ -55,6 +55,10 @@ class Tables:
             self._memo[name] = self._build(name)
         return self._memo[name]
 
+    def keep(self, name: str, df: DataFrame) -> None:
+        """Use this frame for a view from now on."""
+        self._memo[name] = df
+
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
             scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -4,6 +4,6 @@ from pyspark.sql import SparkSession
 def session(cores: str = "8") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").appName("levybook-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
