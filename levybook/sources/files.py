@@ -90,8 +90,13 @@ def listing_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finance_records(spark: SparkSession, path: str) -> DataFrame:
+    """A4: a finance file."""
+    return parse_finance_lines(spark.read.text(path))
+
+
+def parse_finance_lines(lines: DataFrame) -> DataFrame:
     """A4: 32-character finance lines; short lines and unreadable amounts are left out."""
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path).where(F.length("value") >= 32)
+    raw = lines.where(F.length("value") >= 32)
     amt = F.trim(F.substring("value", 16, 12))
     rows = raw.select(
         F.substring("value", 1, 12).alias("unit_id"), F.substring("value", 1, 2).alias("id_state"),
@@ -102,8 +107,13 @@ def finance_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finance_directory(spark: SparkSession, path: str) -> DataFrame:
-    """A5: the unit directory; the later line wins a repeated id."""
-    raw = spark.read.text(path).withColumn("_file_pos", F.monotonically_increasing_id()).where(F.length("value") >= 116)
+    """A5: the unit directory file."""
+    return parse_directory_lines(spark.read.text(path).withColumn("_file_pos", F.monotonically_increasing_id()))
+
+
+def parse_directory_lines(lines: DataFrame) -> DataFrame:
+    """A5: directory lines (value, _file_pos); the later line wins a repeated id."""
+    raw = lines.where(F.length("value") >= 116)
     rows = raw.select(F.substring("value", 1, 12).alias("unit_id"), F.trim(F.substring("value", 13, 64)).alias("name"),
                       F.trim(F.substring("value", 77, 35)).alias("county_name"),
                       F.trim(F.substring("value", 112, 5)).alias("place_code"), "_file_pos")
