@@ -64,9 +64,10 @@ def project_progress(work: DataFrame, places: DataFrame) -> DataFrame:
     s = places.where(c("kind") == "state").agg(F.count("*").alias("states_total"))
     f = semi(work.where((c("category") == fixed.STATE_PASS) & (c("status") == "complete")), places, ["geoid"]) \
         .agg(F.count("*").alias("states_done"))
-    one = lambda d: d.withColumn("_k", F.lit(1))  # noqa: E731  one-row frames meet on a constant
-    return one(p).join(one(s), "_k").join(one(f), "_k").drop("_k").withColumn(
-        "pop_pct", F.when(c("pop_total") > 0, F.round(100.0 * c("pop_done") / c("pop_total"), 1)).otherwise(0.0))
+    # Three one-row frames side by side: stacked, then folded into one row.
+    stacked = p.unionByName(s, allowMissingColumns=True).unionByName(f, allowMissingColumns=True)
+    one = stacked.agg(*[F.max(x).alias(x) for x in stacked.columns])
+    return one.withColumn("pop_pct", F.when(c("pop_total") > 0, F.round(100.0 * c("pop_done") / c("pop_total"), 1)).otherwise(0.0))
 
 
 def coverage_for(asked: DataFrame, assertions: DataFrame, domain: str = "ballot_measure") -> DataFrame:

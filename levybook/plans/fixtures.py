@@ -1,9 +1,9 @@
 """Ledger tables shaped from the driver's synthetic tables.
 
 ``SQL`` holds each view in the dialect both engines share (see FIXTURES.md): the
-oracle prefixes these as CTEs, Spark runs the same text, except for the two views
-whose ``row_number`` would put a hot key into one task; Spark builds those with
-the two-level scan.
+oracle prefixes these as CTEs and Spark runs the same text, except where a
+``row_number`` would put a hot key into one task (built with the two-level scan)
+or a cross join stands for a fixed list (exploded).
 """
 
 from __future__ import annotations
@@ -69,6 +69,8 @@ class Tables:
             return tax_instrument(self)
         if name == "rate_arrival":
             return rate_arrival(self)
+        if name == "work_item":
+            return work_item(self)
         if name in DERIVED:
             return DERIVED[name](self)
         deps = {d: getattr(self, d) for d in NEEDS[name]}
@@ -140,6 +142,21 @@ def tax_instrument(t: Tables) -> DataFrame:
         F.substring("geoid", 3, 10).cast("long").alias("source_id"))
 
 
+def work_item(t: Tables) -> DataFrame:
+    """Items per place and category; the categories are exploded, not cross joined."""
+    cats = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("category")) for i, k in
+                     enumerate(["property", "sales_use", "lodging_meals", "elections", "framework"], start=1)])
+    pop = F.coalesce("population", F.lit(0))
+    rows = t.jurisdiction.select("geoid", "kind", "name", "population", F.explode(cats).alias("k")) \
+        .select("geoid", "kind", "name", "population", "k.i", "k.category")
+    fits = F.when(F.col("category") == "framework", F.col("kind") == "state") \
+        .when(F.col("category") == "elections", F.col("kind") == "county").otherwise(F.col("kind").isin("county", "place"))
+    turn = (F.length("name") + pop + F.col("i")) % 7
+    names = ["pending", "in_progress", "needs_review", "complete", "no_data", "blocked", "awaiting_ai"]
+    status = F.element_at(F.array(*[F.lit(x) for x in names]), turn.cast("int") + 1)
+    return rows.where(fits).select("geoid", "category", status.alias("status"), ((pop + F.col("i")) % 6).cast("bigint").alias("attempts"))
+
+
 def rate_arrival(t: Tables) -> DataFrame:
     """The history in a shuffled order of arrival."""
     h = t.rate_history.withColumn("_mix", (F.col("seq") * 7919) % 10007)
