@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose
-from ..functions.scan import anti, flag_in, latest, semi
+from ..functions.scan import anti, flag_in, semi
 from .merge import bulk_answered
 
 c = F.col

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose, text_year
 from ..functions.shared import cut
-from ..functions.scan import (Scan, anti, coalescing_upsert, first_rows, flag_in, insert_ignore, latest,
+from ..functions.scan import (Scan, anti, coalescing_upsert, flag_in, insert_ignore, latest,
                               running, semi)
 
 FACT_KEY = ["geoid", "category", "instrument_code"]

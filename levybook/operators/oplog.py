@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose
-from ..functions.scan import anti, first_rows, flag_in, latest, semi
+from ..functions.scan import anti, first_rows, flag_in, semi
 from .coverage import newest_verdicts
 
 c = F.col

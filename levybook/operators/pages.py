@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.expr import (alnum, any_of, contains_any, is_document_url, keyword_pattern, lit_dim, path_ext,
+from ..functions.expr import (alnum, any_of, contains_any, is_document_url, keyword_pattern, path_ext,
                               url_host, url_path, url_query, url_scheme)
-from ..functions.scan import Scan, first_rows, latest, running, semi
+from ..functions.scan import Scan, first_rows, running
 
 c = F.col
 ITEM = ["geoid", "category"]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.expr import any_of, iso_shaped, lit_dim
-from ..functions.scan import flag_in, semi
+from ..functions.expr import any_of, iso_shaped
+from ..functions.scan import flag_in
 
 Rule = tuple[str, Column]
 c = F.col

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import alnum, lit_dim, place_key, url_host
-from ..functions.scan import anti, first_rows, insert_ignore, latest
+from ..functions.scan import anti, insert_ignore
 
 
 def state_dim(spark) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import coverage, flags, pages, views
+from ..operators import coverage, pages, views
 from .fixtures import AS_OF, AS_OF_TS, SQL, derived
 from .registry import query
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.expr import lit_dim, loose
+from ..functions.expr import loose
 from ..operators import flags
-from .fixtures import AS_OF, SQL, derived
+from .fixtures import AS_OF, SQL
 from .registry import query
 
 c = F.col

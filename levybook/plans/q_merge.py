@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scan import semi
 from ..operators import merge
 from .fixtures import SQL, derived
 from .registry import query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.scan import Scan, running
 from ..operators import oplog
 from .fixtures import AS_OF_TS, SQL, derived
 from .registry import query
@@ -121,10 +122,8 @@ def k7(t):
 
 @derived("query_plan", "SELECT geoid, category, query, row_number() OVER (PARTITION BY geoid, category ORDER BY query) AS pos FROM (SELECT DISTINCT geoid, category, query FROM search_round) x")
 def query_plan(t):
-    # Position is the rank of the user number in the query text: distinct per item by construction.
     q = t.search_round.select("geoid", "category", "query").distinct()
-    from pyspark.sql import Window
-    return q.withColumn("pos", F.row_number().over(Window.partitionBy("geoid", "category").orderBy("query")).cast("bigint"))
+    return running(q, ["geoid", "category"], F.substring("query", 1, 2), ["query"], [Scan("pos", "sum", F.lit(1).cast("bigint"))])
 
 
 FRESH = f"SELECT geoid, category, query, from_json(results,'[\"VARCHAR\"]') AS urls FROM log WHERE last_tried_at >= {NOW} - INTERVAL 7 DAY AND results IS NOT NULL"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scan import anti, first_rows
+from ..functions.scan import anti
 from ..operators.coverage import coverage_pivot
 from ..operators.views import headroom, live
 
