@@ -143,11 +143,13 @@ def k8b(t):
 SQL["round_log"] = "SELECT geoid, category, query, source, CASE WHEN CAST(substr(query,2) AS BIGINT)%5=0 THEN 0 ELSE tries END AS tries, last_outcome, CAST(substr(query,2) AS BIGINT) AS log_id FROM log"
 
 
-@query("k9_plan_round", """SELECT geoid, category, query, tier, row_number() OVER (PARTITION BY geoid, category ORDER BY tier, pos, query) AS rank FROM (
- SELECT geoid, category, query, min(tier) AS tier, arg_min(pos, tier) AS pos FROM (SELECT geoid, category, query, 0 AS tier, log_id AS pos FROM round_log WHERE source='ai' AND tries=0
+@query("k9_plan_round", """WITH candidates AS (SELECT geoid, category, query, 0 AS tier, log_id AS pos FROM round_log WHERE source='ai' AND tries=0
   UNION ALL SELECT geoid, category, query, 1, pos FROM query_plan p WHERE NOT EXISTS (SELECT 1 FROM round_log d WHERE d.last_outcome='nothing' AND d.geoid=p.geoid AND d.category=p.category AND d.query=p.query)
-  UNION ALL SELECT geoid, category, query, 2, log_id FROM round_log WHERE source='ai' AND tries>0 AND last_outcome IN ('found','blocked')) u GROUP BY 1,2,3) x
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL WHERE FALSE QUALIFY rank<=8""".replace("UNION ALL SELECT NULL, NULL, NULL, NULL, NULL WHERE FALSE QUALIFY", "QUALIFY"))
+  UNION ALL SELECT geoid, category, query, 2, log_id FROM round_log WHERE source='ai' AND tries>0 AND last_outcome IN ('found','blocked'))
+SELECT geoid, category, query, tier, row_number() OVER (PARTITION BY geoid, category ORDER BY tier, pos, query) AS rank FROM (
+ SELECT geoid, category, query, min(tier) AS tier, arg_min(pos, tier) AS pos FROM (SELECT * FROM candidates
+  UNION ALL SELECT geoid, category, query, 3, pos FROM query_plan p WHERE NOT EXISTS (SELECT 1 FROM candidates k WHERE k.geoid=p.geoid AND k.category=p.category)) u GROUP BY 1,2,3) x
+QUALIFY rank<=8""")
 def k9(t):
     lg = t.search_log.withColumn("log_id", F.substring("query", 2, 20).cast("bigint")) \
         .withColumn("tries", F.when(F.substring("query", 2, 20).cast("bigint") % 5 == 0, 0).otherwise(c("tries")))
