@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_templates, merkle, sentencepiece_codec, token_counts
+from . import decontaminate, html_templates, language_id, merkle, minhash, sentencepiece_codec, token_counts, toxicity
 from .common import table
 
 #: Files of public tokenizers; the folder is a parameter of the queries.
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BPE_FILE))
 
@@ -34,10 +38,23 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_all(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle)}
+    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity,
+                                   op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the same rows, where SQL can express the operator on whole tables."""
-    return {"op6_merkle": merkle.ORACLE_SQL}
+    return {"op1_minhash": minhash.ORACLE_SQL, "op6_merkle": merkle.ORACLE_SQL}
