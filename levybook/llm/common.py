@@ -19,8 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table in the shared folder: lineage is cut and survives lost executors."""
+    """The same rows read back from a table in the shared folder: lineage is cut and survives lost executors.
+
+    Shuffle files of such a step serve nobody once its table is written, so Spark is told to drop them then."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

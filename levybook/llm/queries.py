@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_templates, language_id, merkle, minhash, sentencepiece_codec, token_counts, toxicity
+from . import decontaminate, html_templates, language_id, merkle, minhash, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Files of public tokenizers; the folder is a parameter of the queries.
@@ -22,6 +22,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BPE_FILE))
 
@@ -51,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity,
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity,
                                    op10_decontaminate)}
 
 
