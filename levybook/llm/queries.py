@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_templates, language_id, merkle, minhash, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import decontaminate, html_templates, language_id, lm_scoring, merkle, minhash, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Files of public tokenizers; the folder is a parameter of the queries.
@@ -50,12 +50,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity,
+    return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity, op9_lm_scoring,
                                    op10_decontaminate)}
 
 
