@@ -231,7 +231,7 @@ def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) ->
     sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     often = exploded.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     template = often.join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(min_share)).select("host", "subtree")
-    hits = exploded.join(template, ["host", "subtree"], "left_semi").groupBy("page_key").agg(F.collect_set("subtree").alias("template"))
+    hits = stored(exploded.join(template, ["host", "subtree"], "left_semi").groupBy("page_key").agg(F.collect_set("subtree").alias("template")), "template-hits")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
