@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = known.join(repeated, "doc_id", "left_semi").join(same, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionAll(further).unionAll(ties))
-    rows = labelled(all_sets.select("doc_id", "n_shingles", "same").join(same, "same", "left").withColumn("rep", F.coalesce("rep", "doc_id")), final, "rep")
+    rows = labelled(all_sets.select("doc_id", "n_shingles", "same").join(same, "same", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))), final, "rep")
     return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
