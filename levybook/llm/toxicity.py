@@ -20,7 +20,9 @@ from .language_id import folded
 #: Training rows of each label at most; a documented bound of the fitted sample.
 TRAIN_ROWS = 4000
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2, passes, and documents a feature must occur in.
-ALPHA, BETA, L1, L2, PASSES, LEAST_DOCS = 1.0, 1.0, 6.0, 0.1, 6, 3
+ALPHA, BETA, L1, L2, PASSES, LEAST_DOCS = 2.0, 1.0, 12.0, 0.1, 8, 2
+#: The most that one row of the rarer label weighs.
+MOST_SHARE = 10.0
 #: Odd multipliers that tell the kinds of features apart.
 KINDS = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -42,9 +44,9 @@ class Ftrl:
         l1 = np.where(np.asarray(at) == 0, 0.0, L1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    def learn(self, at: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, label: int, share: float) -> None:
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * share
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
@@ -62,10 +64,13 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.nd
         hit = at < len(kinds)
         hit[hit] = kinds[at[hit]] == d[hit]
         places.append(np.concatenate(([0], at[hit] + 1)))
+    # both labels weigh the same in all, whichever is rarer
+    n = np.bincount(labels, minlength=2) if labels else np.ones(2)
+    share = np.clip(n.max() / np.maximum(n, 1), 1, MOST_SHARE)
     model, order = Ftrl(len(kinds) + 1), np.random.default_rng(0)
     for _ in range(PASSES):
         for i in order.permutation(len(docs)):
-            model.learn(places[i], labels[i])
+            model.learn(places[i], labels[i], share[labels[i]])
     w = model.weights(np.arange(len(kinds) + 1))
     return kinds[w[1:] != 0], w[1:][w[1:] != 0], float(w[0])
 
