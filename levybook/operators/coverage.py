@@ -268,22 +268,23 @@ def _scopes(items: DataFrame) -> DataFrame:
 
 
 def research_context(items: DataFrame, places: DataFrame, facts: DataFrame, sources: DataFrame, bases: DataFrame,
-                     statute_hits: DataFrame, profiles: DataFrame) -> DataFrame:
+                     statute_hits: DataFrame, profiles: DataFrame, n_facts: int = 60, n_sources: int = 25) -> DataFrame:
     """What is known for each tax item, in one nested row.
 
-    At most 60 facts, 25 sources by tier over three scopes, current collections,
-    and the state's statute hits (already at most 8 per state and category).
+    Facts and sources by tier over three scopes are listings of ``n_facts`` and
+    ``n_sources``; collections and the state's statute hits are given whole.
     """
     it = items.where(c("category").isin(fixed.TAX_CATEGORIES)).join(
         places.select("geoid", "state_usps", "state_fips", "county_fips"), "geoid")
     fact = F.concat_ws(" ", "instrument_code", "status", c("rate_value").cast("string"), "rate_unit")
-    known = _top(live(facts), ITEM, [c("instrument_code"), c("id")], 60, fact, "known")
+    known = _top(live(facts), ITEM, [c("instrument_code"), c("id")], n_facts, fact, "known")
     # Sources depend on the place only: rank them once per place.
     scoped = _scopes(it.select("geoid", "county_fips", "state_fips").distinct()).join(
-        first_rows(sources.where(c("scope_geoid").isNotNull()), ["scope_geoid"], [c("authority_tier"), c("id")], 25), "scope_geoid")
-    src = _top(scoped, ["geoid"], [c("authority_tier"), c("id")], 25, c("url"), "sources")
-    prior = _top(bases, ["geoid"], [c("base_type")], len(fixed.FINANCE_ITEMS) * 8,
-                 F.concat_ws("=", "base_type", c("base_value").cast("string")), "priors")
+        first_rows(sources.where(c("scope_geoid").isNotNull()), ["scope_geoid"], [c("authority_tier"), c("id")], n_sources), "scope_geoid")
+    src = _top(scoped, ["geoid"], [c("authority_tier"), c("id")], n_sources, c("url"), "sources")
+    # one row per place, year and type: as many as the place has reported
+    prior = bases.groupBy("geoid").agg(F.array_sort(F.collect_list(F.struct("fiscal_year", "base_type", "base_value"))).alias("_l")) \
+        .select("geoid", F.transform("_l", lambda b: F.concat_ws("=", F.concat_ws(" ", b["fiscal_year"].cast("string"), b["base_type"]), b["base_value"].cast("string"))).alias("priors"))
     prof = profiles.select("state_usps", c("home_rule_doctrine").alias("doctrine"))
     empty = F.array().cast("array<string>")
     return it.join(known, ITEM, "left").join(src, ["geoid"], "left").join(prior, ["geoid"], "left") \
@@ -291,15 +292,16 @@ def research_context(items: DataFrame, places: DataFrame, facts: DataFrame, sour
         .select(*ITEM, "state_usps", "doctrine", *[F.coalesce(x, empty).alias(x) for x in ("known", "sources", "priors", "statutes")])
 
 
-def framework_context(items: DataFrame, places: DataFrame, thresholds: DataFrame, grants: DataFrame, sources: DataFrame) -> DataFrame:
-    """State items with 40 thresholds, 40 grants and 30 sources."""
+def framework_context(items: DataFrame, places: DataFrame, thresholds: DataFrame, grants: DataFrame, sources: DataFrame,
+                      n_rules: int = 40, n_sources: int = 30) -> DataFrame:
+    """State items with listings of ``n_rules`` thresholds and grants and ``n_sources`` sources, and the full counts."""
     it = items.where(c("category") == fixed.STATE_PASS).join(places.where(c("kind") == "state").select("geoid", "state_usps"), "geoid")
-    th = _top(thresholds, ["state_usps"], [c("measure_class"), c("id")], 40,
+    th = _top(thresholds, ["state_usps"], [c("measure_class"), c("id")], n_rules,
               F.concat_ws(" ", "measure_class", F.coalesce("jurisdiction_kind", F.lit("any")), c("threshold_value").cast("string")), "thresholds")
-    gr = _top(grants, ["state_usps"], [c("category"), c("id")], 40,
+    gr = _top(grants, ["state_usps"], [c("category"), c("id")], n_rules,
               F.concat_ws(" ", "category", "instrument_code", "permitted"), "grants")
     sr = _top(sources.where(c("scope_geoid").isNotNull()).withColumnRenamed("scope_geoid", "geoid"), ["geoid"],
-              [c("authority_tier"), c("id")], 30, c("url"), "sources")
+              [c("authority_tier"), c("id")], n_sources, c("url"), "sources")
     n_t = thresholds.groupBy("state_usps").agg(F.count("*").alias("n_thresholds"))
     n_g = grants.groupBy("state_usps").agg(F.count("*").alias("n_grants"))
     j = it.join(th, "state_usps", "left").join(gr, "state_usps", "left").join(sr, "geoid", "left") \
@@ -309,16 +311,17 @@ def framework_context(items: DataFrame, places: DataFrame, thresholds: DataFrame
                     *[F.coalesce(x, empty).alias(x) for x in ("thresholds", "grants", "sources")])
 
 
-def elections_context(items: DataFrame, places: DataFrame, measures: DataFrame, live_rules: DataFrame, sources: DataFrame) -> DataFrame:
-    """County items with 40 measures, the state's 40 live thresholds and 20 sources."""
+def elections_context(items: DataFrame, places: DataFrame, measures: DataFrame, live_rules: DataFrame, sources: DataFrame,
+                      n_measures: int = 40, n_rules: int = 40, n_sources: int = 20) -> DataFrame:
+    """County items with listings of measures, the state's live thresholds, and sources."""
     it = items.where(c("category") == fixed.COUNTY_PASS).join(places.select("geoid", "state_usps", "state_fips"), "geoid")
-    ms = _top(live(measures), ["geoid"], [c("election_date").desc(), c("id").desc()], 40,
+    ms = _top(live(measures), ["geoid"], [c("election_date").desc(), c("id").desc()], n_measures,
               F.concat_ws(" ", "election_date", "measure_class", "outcome"), "measures")
-    th = _top(live_rules, ["state_usps"], [c("measure_class"), c("id")], 40,
+    th = _top(live_rules, ["state_usps"], [c("measure_class"), c("id")], n_rules,
               F.concat_ws(" ", "measure_class", c("threshold_value").cast("string")), "thresholds")
-    per = first_rows(sources.where(c("scope_geoid").isNotNull()), ["scope_geoid"], [c("authority_tier"), c("id")], 20)
+    per = first_rows(sources.where(c("scope_geoid").isNotNull()), ["scope_geoid"], [c("authority_tier"), c("id")], n_sources)
     two = it.select("geoid", F.explode(F.array("geoid", "state_fips")).alias("scope_geoid")).join(per, "scope_geoid")
-    sr = _top(two, ["geoid"], [c("authority_tier"), c("id")], 20, c("url"), "sources")
+    sr = _top(two, ["geoid"], [c("authority_tier"), c("id")], n_sources, c("url"), "sources")
     empty = F.array().cast("array<string>")
     return it.join(ms, "geoid", "left").join(th, "state_usps", "left").join(sr, "geoid", "left") \
         .select("geoid", "state_usps", *[F.coalesce(x, empty).alias(x) for x in ("measures", "thresholds", "sources")])

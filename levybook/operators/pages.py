@@ -24,91 +24,111 @@ ITEM = ["geoid", "category"]
 
 # -- L1, L2 -----------------------------------------------------------------
 
-_DROPPED = {"script", "style", "noscript", "svg", "iframe", "nav", "footer", "header", "form", "aside", "button"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MAX_TABLES, MAX_TABLE_ROWS, MAX_ANCHOR = 12, 80, 200
 _WS = " "
 
 
 class _Page(HTMLParser):
-    """Collects title, text lines, table rows and links of one page."""
+    """The page's tags and texts in order, and which start tags have an end tag of their own."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip, self.title, self.lines, self.links = 0, [], [], []
-        self.in_title, self.anchor, self.tables, self.cell = False, None, [], None
-        self.open_tables: list[list] = []
+        self.events: list[tuple] = []
+        self.open: list[tuple[str, int]] = []
+        self.closed: set[int] = set()
 
     def handle_starttag(self, tag, attrs):
-        if tag in _DROPPED:
-            self.skip += tag not in _VOID
-        if tag == "title" and not self.title:
-            self.in_title = True
-        if tag == "a":
-            href = dict(attrs).get("href")
-            self.anchor = [href, []] if href is not None else None
-        if self.skip:
-            return
-        if tag == "table":
-            self.open_tables.append([])
-            self.tables.append(self.open_tables[-1])
-        elif tag == "tr" and self.open_tables:
-            self.open_tables[-1].append([])
-        elif tag in ("td", "th") and self.open_tables and self.open_tables[-1]:
-            self.cell = []
-            self.open_tables[-1][-1].append(self.cell)
+        if tag not in fixed.VOID_TAGS:
+            self.open.append((tag, len(self.events)))
+        self.events.append(("start", tag, dict(attrs)))
+
+    def handle_startendtag(self, tag, attrs):
+        self.events.append(("start", tag, dict(attrs)))
+        self.events.append(("end", tag, None))
 
     def handle_endtag(self, tag):
-        if tag in _DROPPED:
-            self.skip = max(0, self.skip - 1)
-        if tag == "title":
-            self.in_title = False
-        if tag == "a" and self.anchor:
-            self.links.append((self.anchor[0], _WS.join(self.anchor[1])))
-            self.anchor = None
-        if tag in ("td", "th"):
-            self.cell = None
-        if tag == "table" and self.open_tables:
-            self.open_tables.pop()
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        start = None
+        if at is not None:   # tags left open inside it end here as well
+            start = self.open[at][1]
+            self.closed.add(start)
+            del self.open[at:]
+        self.events.append(("end", tag, start))
 
     def handle_data(self, data):
-        text = data.strip()
-        if not text:
-            return
-        if self.in_title:
-            self.title.append(text)
-        if self.anchor:
-            self.anchor[1].append(text)
-        if self.skip:
-            return
-        self.lines.append(text)
-        if self.cell is not None:
-            self.cell.append(text)
+        if text := data.strip():
+            self.events.append(("text", text, None))
+
+
+def _parts(page: _Page) -> tuple[list[str], list[str], list[list], list[tuple]]:
+    """Title words, text lines, tables (rows of cells) and links (href, words).
+
+    Text inside dropped tags is left out; a dropped tag that is never closed drops
+    nothing, or the rest of the page would go with it.
+    """
+    title, lines, tables, links = [], [], [], []
+    skip, in_title, anchor, cell, open_tables = 0, False, None, None, []
+    for i, (kind, tag, more) in enumerate(page.events):
+        if kind == "text":
+            if in_title:
+                title.append(tag)
+            if anchor:
+                anchor[1].append(tag)
+            if not skip:
+                lines.append(tag)
+                if cell is not None:
+                    cell.append(tag)
+        elif kind == "start":
+            skip += tag in fixed.DROPPED_TAGS and i in page.closed
+            in_title = in_title or tag == "title" and not title
+            if tag == "a":
+                anchor = [more["href"], []] if more.get("href") is not None else None
+            if skip:
+                continue
+            if tag == "table":
+                open_tables.append([])
+                tables.append(open_tables[-1])
+            elif tag == "tr" and open_tables:
+                open_tables[-1].append([])
+            elif tag in ("td", "th") and open_tables and open_tables[-1]:
+                cell = []
+                open_tables[-1][-1].append(cell)
+        else:
+            skip -= tag in fixed.DROPPED_TAGS and more is not None
+            if tag == "title":
+                in_title = False
+            elif tag == "a" and anchor:
+                links.append((anchor[0], _WS.join(anchor[1])))
+                anchor = None
+            elif tag in ("td", "th"):
+                cell = None
+            elif tag == "table" and open_tables:
+                open_tables.pop()
+    return title, lines, tables, links
 
 
 def _parse(url: str, html: str) -> tuple[str, str, list[dict]]:
-    p = _Page()
-    p.feed(html or "")
-    p.close()
-    title = _WS.join(p.title)
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    words, lines, rows_of, found = _parts(page)
+    title = _WS.join(words)
     tables = []
-    for rows in p.tables[:MAX_TABLES]:
-        cells = [[_WS.join(cell) for cell in row] for row in rows[:MAX_TABLE_ROWS]]
-        lines = [" | ".join(row) for row in cells if any(row)]
-        if lines:
-            tables.append("\n".join(lines))
+    for rows in rows_of:
+        cells = [[_WS.join(cell) for cell in row] for row in rows]
+        if kept := [" | ".join(row) for row in cells if any(row)]:
+            tables.append("\n".join(kept))
     parts = ["# " + title] if title else []
     if tables:
         parts.append("TABLES:\n" + "\n\n".join(tables))
-    parts.append("\n".join(p.lines))
+    parts.append("\n".join(lines))
     links = []
-    for href, anchor in p.links:
+    for href, anchor in found:
         try:
-            full = urlparse(urljoin(url, href))
+            full = urlparse(urljoin(url or "", href))
         except ValueError:
             continue
         if full.scheme in ("http", "https"):
-            links.append({"href": full._replace(fragment="").geturl(), "anchor": anchor[:MAX_ANCHOR]})
+            links.append({"href": full._replace(fragment="").geturl(), "anchor": anchor})
     return title, "\n\n".join(parts), links
 
 
@@ -175,16 +195,20 @@ def allowed_hosts(classified: DataFrame, seeds: DataFrame) -> DataFrame:
     return j.withColumn("allowed", (c("host") != "") & ~c("blocked") & (F.coalesce("_seeded", F.lit(False)) | c("gov") | c("own_site"))).drop("_seeded")
 
 
-def keep_results(results: DataFrame, n: int = 12) -> DataFrame:
-    """The first n official results per item, each URL once, in (query, rank) order."""
+def keep_results(results: DataFrame, n: int | None = None) -> DataFrame:
+    """Official results per item, each URL once, numbered in (query, rank) order; all of them, or the first n."""
     # Hosts repeat far more than URLs do: classify each (host, place) once.
     named = results.withColumn("_host", url_host(c("url")))
     who = ["_host", "name", "state"]
     hosts = classify_hosts(named.select(*who).distinct().withColumn("_u", F.concat(F.lit("http://"), c("_host"))), "_u")
     official = named.join(hosts.where("official").select(*who), who, "left_semi")
     once = official.groupBy(*ITEM, "url").agg(F.min(F.struct("query_pos", "rank", "query")).alias("_at"))
-    return first_rows(once, ITEM, [c("_at.query_pos"), c("_at.rank"), c("url")], n, "kept_rank") \
-        .select(*ITEM, "url", c("_at.query").alias("query"), c("kept_rank").cast("long").alias("kept_rank"))
+    flat = once.select(*ITEM, "url", c("_at.query").alias("query"), c("_at.query_pos").alias("_q"), c("_at.rank").alias("_r"))
+    if n is None:
+        ranked = running(flat, ITEM, F.struct("_q", F.floor(c("_r") / 1024)), ["_q", "_r", "url"], [Scan("kept_rank", "sum", F.lit(1).cast("long"))])
+    else:
+        ranked = first_rows(flat, ITEM, [c("_q"), c("_r"), c("url")], n, "kept_rank")
+    return ranked.select(*ITEM, "url", "query", c("kept_rank").cast("long").alias("kept_rank"))
 
 
 def kept_per_query(kept: DataFrame) -> DataFrame:
@@ -256,12 +280,14 @@ def page_signal(pages: DataFrame, render_min: int = 400) -> DataFrame:
 def combine_texts(pages: DataFrame, max_chars: int, chunk: Column | None = None) -> DataFrame:
     """One text per item: same bytes once, documents first, then in order, cut with a mark.
 
-    Only texts that start before the cut are gathered; where they start is a
+    Every page starts with its URL and, where it has one, its title.  Only texts that start before the cut are gathered; where they start is a
     two-level running sum of lengths, so an item with very many pages is never
     pulled into one task.
     """
     sep = len(fixed.PAGE_SEPARATOR)
-    p = pages.withColumn("_sha", F.coalesce("sha256", F.concat(F.lit("#"), c("page_order").cast("string"))))
+    head = F.concat_ws("\n", F.concat(F.lit("URL: "), F.coalesce("url", F.lit(""))),
+                       F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("TITLE: "), c("title"))), c("text"))
+    p = pages.withColumn("text", head).withColumn("_sha", F.coalesce("sha256", F.concat(F.lit("#"), c("page_order").cast("string"))))
     one = p.groupBy(*ITEM, "_sha").agg(F.min_by(F.struct("is_document", "page_order", "text"), "page_order").alias("_p")) \
         .select(*ITEM, (~c("_p.is_document")).cast("int").alias("_late"), c("_p.page_order").alias("page_order"), c("_p.text").alias("text"))
     bucket = F.concat(c("_late").cast("string"), F.lit("/"), F.lpad(F.floor(c("page_order") / 64).cast("string"), 18, "0"))
@@ -276,13 +302,18 @@ def combine_texts(pages: DataFrame, max_chars: int, chunk: Column | None = None)
                     .otherwise(c("combined")).alias("combined"))
 
 
-def page_record(fetched: DataFrame) -> DataFrame:
-    """Log rows from fetch results (status, body): error text, hash, sizes."""
+def page_record(fetched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Log rows from fetch results (page_id, status, body): error text, hash, sizes.
+
+    ``texts`` holds the extracted text of pages (L1, or a document reader's); text_chars is
+    its length, 0 where nothing was extracted.
+    """
     bad = c("http_status").isNotNull() & ~c("http_status").between(200, 399)
     return fetched.withColumn("error", F.when(bad, F.concat(F.lit("HTTP "), c("http_status").cast("string")))) \
         .withColumn("sha256", F.sha2(c("body").cast("binary"), 256)) \
         .withColumn("byte_size", F.octet_length("body").cast("long")) \
-        .withColumn("text_chars", F.length("body").cast("long")).drop("body")
+        .drop("body").join(texts.select("page_id", F.length("text").cast("long").alias("text_chars")), "page_id", "left") \
+        .withColumn("text_chars", F.coalesce("text_chars", F.lit(0).cast("long")))
 
 
 # -- statutes ---------------------------------------------------------------
@@ -293,16 +324,23 @@ def _term_hit(terms: list[str]) -> Column:
     return any_of(F.coalesce(c(f).rlike(pat), F.lit(False)) for f in ("section_title", "text", "citation"))
 
 
-def search_statutes(sections: DataFrame, state: str | None, terms: list[str] | None = None, n: int = 25) -> DataFrame:
-    """Matching sections by citation, with an 800-character excerpt; no terms means the standard ones."""
+def search_statutes(sections: DataFrame, state: str | None, terms: list[str] | None = None, n: int = 25, excerpt_chars: int = 800) -> DataFrame:
+    """The first n matching sections by citation, with a passage that holds the first hit; no terms means the standard ones.
+
+    The passage starts a quarter of its length before the hit; a section found by its
+    title or citation alone shows its beginning.
+    """
     terms = [t for t in (terms or []) if t.strip()] or fixed.DEFAULT_STATUTE_TERMS
     s = sections.where(c("state_usps") == state.upper()) if state else sections
+    low = F.lower("text")
+    first = F.least(*[F.nullif(F.instr(low, t.strip().lower()), F.lit(0)) for t in terms], F.length("text") + 1)
+    start = F.when(first <= F.length("text"), F.greatest(first - excerpt_chars // 4, F.lit(1))).otherwise(F.lit(1))
     return first_rows(s.where(_term_hit(terms)), ["state_usps"], [c("citation"), c("doc_id")], n) \
-        .select("state_usps", "citation", "section_title", F.substring("text", 1, 800).alias("excerpt"), "doc_id")
+        .select("state_usps", "citation", "section_title", F.substr(c("text"), start, F.lit(excerpt_chars)).alias("excerpt"), "doc_id")
 
 
-def statutes_by_category(sections: DataFrame, n: int = 8) -> DataFrame:
-    """The first n sections per state and category; every category is tested in one pass over the text."""
+def statutes_by_category(sections: DataFrame, n: int | None = None) -> DataFrame:
+    """Sections per state and category, all or the first n; every category is tested in one pass over the text."""
     cats = F.array_compact(F.array(*[F.when(_term_hit(v), F.lit(k)) for k, v in fixed.STATUTE_TERMS.items()]))
     hits = sections.select("state_usps", "citation", "section_title", "doc_id", F.explode(cats).alias("category"))
-    return first_rows(hits, ["state_usps", "category"], [c("citation"), c("doc_id")], n)
+    return hits if n is None else first_rows(hits, ["state_usps", "category"], [c("citation"), c("doc_id")], n)

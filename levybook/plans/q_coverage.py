@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -201,14 +202,14 @@ SRC3 = """(SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY authority_ti
 FROM work w JOIN jurisdiction j ON j.geoid=w.geoid
 LEFT JOIN (SELECT geoid, category, {_agg("concat_ws(' ', instrument_code, status, CAST(rate_value AS VARCHAR), rate_unit)", 'instrument_code, id')} AS txt FROM (SELECT *, row_number() OVER (PARTITION BY geoid, category ORDER BY instrument_code, id) AS rn FROM facts WHERE superseded_by IS NULL) f WHERE rn<=60 GROUP BY 1,2) k ON k.geoid=w.geoid AND k.category=w.category
 LEFT JOIN (SELECT geoid, {_agg('url', 'rn')} AS txt FROM {SRC3} r WHERE rn<=25 GROUP BY 1) s ON s.geoid=w.geoid
-LEFT JOIN (SELECT geoid, {_agg("base_type||'='||CAST(base_value AS VARCHAR)", 'base_type')} AS txt FROM base_rows WHERE fiscal_year=1998 GROUP BY 1) b ON b.geoid=w.geoid
-LEFT JOIN (SELECT state_usps, category, {_agg('citation', 'rn')} AS txt FROM statute_hits WHERE rn<=8 GROUP BY 1,2) h ON h.state_usps=j.state_usps AND h.category=w.category
+LEFT JOIN (SELECT geoid, {_agg("CAST(fiscal_year AS VARCHAR)||' '||base_type||'='||CAST(base_value AS VARCHAR)", 'fiscal_year, base_type')} AS txt FROM base_rows GROUP BY 1) b ON b.geoid=w.geoid
+LEFT JOIN (SELECT state_usps, category, {_agg('citation', 'rn')} AS txt FROM statute_hits GROUP BY 1,2) h ON h.state_usps=j.state_usps AND h.category=w.category
 LEFT JOIN state_profile pr ON pr.state_usps=j.state_usps WHERE w.category NOT IN ('framework','elections')""")
 def j15(t):
     hits = pages.statutes_by_category(t.statutes)
     hits = hits.groupBy("state_usps", "category").agg(F.array_sort(F.collect_list(F.struct("citation", "doc_id"))).alias("l")) \
         .select("state_usps", "category", F.transform("l", lambda x: x["citation"]).alias("statutes"))
-    r = coverage.research_context(t.work.select("geoid", "category"), t.places, t.facts, t.source, t.base_rows.where(c("fiscal_year") == 1998), hits, t.state_profile)
+    r = coverage.research_context(t.work.select("geoid", "category"), t.places, t.facts, t.source, t.base_rows, hits, t.state_profile)
     return _texts(r, ("known", "sources", "priors", "statutes"))
 
 
@@ -237,13 +238,18 @@ def j16b(t):
     return _texts(coverage.elections_context(t.work.select("geoid", "category"), t.places, _county_measures(t), views.live_thresholds(t.thresholds, AS_OF), t.source), ("measures", "thresholds", "sources"))
 
 
-SQL["county_measures"] = "SELECT substr(geoid,1,2)||lpad(CAST(s.s_suppkey AS VARCHAR),5,'0') AS geoid, m.election_date, m.measure_class, m.outcome, m.id, m.superseded_by FROM measure_rows m JOIN supplier s ON s.s_suppkey=m.id%50 AND CAST(substr(m.geoid,1,2) AS INT)=s.s_nationkey+1"
+#: Every measure belongs to a county of its state: the counties are numbered and the measure's id picks one; a state without any holds its measures itself.
+SQL["county_measures"] = """WITH n AS (SELECT geoid, substr(geoid,1,2) AS st, row_number() OVER (PARTITION BY substr(geoid,1,2) ORDER BY geoid)-1 AS nth, count(*) OVER (PARTITION BY substr(geoid,1,2)) AS n FROM jurisdiction WHERE kind='county')
+SELECT coalesce(k.geoid, m.geoid) AS geoid, m.election_date, m.measure_class, m.outcome, m.id, m.superseded_by FROM measure_rows m LEFT JOIN (SELECT DISTINCT st, n FROM n) z ON z.st=substr(m.geoid,1,2) LEFT JOIN n k ON k.st=z.st AND k.nth=m.id%z.n"""
 
 
 def _county_measures(t):
-    s = t.supplier.select("s_suppkey", "s_nationkey")
-    m = t.measure_rows.withColumn("s_suppkey", c("id") % 50).withColumn("s_nationkey", F.substring("geoid", 1, 2).cast("int") - 1)
-    return m.join(s, ["s_suppkey", "s_nationkey"]).withColumn("geoid", F.concat(F.substring("geoid", 1, 2), F.lpad(c("s_suppkey").cast("string"), 5, "0")))
+    st = F.substring("geoid", 1, 2)
+    by = Window.partitionBy("st")
+    n = t.jurisdiction.where(c("kind") == "county").select(c("geoid").alias("county"), st.alias("st")) \
+        .withColumn("nth", (F.row_number().over(by.orderBy("county")) - 1).cast("bigint")).withColumn("n", F.count("*").over(by))
+    m = t.measure_rows.withColumn("st", st).join(n.select("st", "n").distinct(), "st", "left").withColumn("nth", c("id") % c("n"))
+    return m.join(n.select("st", "nth", "county"), ["st", "nth"], "left").withColumn("geoid", F.coalesce("county", "geoid"))
 
 
 @query("j17_packets", """SELECT geoid, string_agg(category, ',' ORDER BY category) AS categories FROM (SELECT DISTINCT geoid, category FROM work WHERE status='pending' AND category NOT IN ('framework','elections')) x GROUP BY 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import pages
-from .fixtures import SQL, derived
+from .fixtures import NEEDS, SQL, derived
 from .registry import query
 
 c = F.col
@@ -22,13 +22,37 @@ def _ext(x): return f"CASE WHEN contains({_last(x)},'.') THEN lower(regexp_extra
 def _in(v): return "(" + ",".join(f"'{x}'" for x in v) + ")"
 
 
-@query("l1_page_text")
+#: Tables and table rows of a made page, and words of its long link: more than any cut would leave.
+TABLES, ROWS, LONG = 14, 90, 60
+NL = "chr(10)"
+SQL["made_page"] = f"""SELECT c_custkey AS page_id, c_name AS name, 't'||CAST(c_custkey AS STRING) AS phone, c_mktsegment AS seg, 'https://site.example/dir/page'||CAST(c_custkey AS STRING) AS url, CASE WHEN c_custkey%6=0 THEN 404 WHEN c_custkey%6=1 THEN CAST(NULL AS INT) ELSE 200 END AS http_status,
+'<html><head><title>'||c_name||'</title><script>var x="<p>no</p>";</script></head><body><nav><a href="/menu">Menu</a> top</nav><form action="/q"><p>Rates of '||c_mktsegment||'</p>'
+||repeat('<table><tr><th>Kind</th><td>t'||CAST(c_custkey AS STRING)||'</td></tr></table>',{TABLES})||'<table>'||repeat('<tr><td>'||c_mktsegment||'</td><td></td></tr>',{ROWS})||'</table><p><a href="docs/'||CAST(c_custkey AS STRING)||'.pdf#page=2">'||repeat('long ',{LONG})||c_name
+||'</a> &amp; more</p><a href="mailto:x@y.z">mail</a><footer>end <a href="https://other.example/t'||CAST(c_custkey AS STRING)||'">Foot</a></footer></body></html>' AS html FROM customer"""
+SQL["made_text"] = f"""SELECT *, '# '||name||{NL}||{NL}||'TABLES:'||{NL}||repeat('Kind | '||phone||{NL}||{NL},{TABLES})||repeat(seg||' | '||{NL},{ROWS - 1})||seg||' | '||{NL}||{NL}
+||name||{NL}||'Rates of '||seg||{NL}||repeat('Kind'||{NL}||phone||{NL},{TABLES})||repeat(seg||{NL},{ROWS})||repeat('long ',{LONG})||name||{NL}||'& more'||{NL}||'mail' AS text FROM made_page"""
+NEEDS["made_page"] = ["customer"]
+
+
+@query("l1_page_text", "SELECT page_id, url, name AS title, text FROM made_text")
 def l1(t):
+    return pages.parse_pages(t.made_page).select("page_id", "url", "title", "text")
+
+
+@query("l1_raw_page_text")
+def l1b(t):
     return pages.parse_pages(t.pages).select("page_id", "url", "title", "text")
 
 
-@query("l2_page_links")
+@query("l2_page_links", f"""SELECT page_id, url, CAST(0 AS INT) AS pos, 'https://site.example/menu' AS href, 'Menu' AS anchor FROM made_page
+UNION ALL SELECT page_id, url, CAST(1 AS INT), 'https://site.example/dir/docs/'||CAST(page_id AS STRING)||'.pdf', repeat('long ',{LONG})||name FROM made_page
+UNION ALL SELECT page_id, url, CAST(2 AS INT), 'https://other.example/'||phone, 'Foot' FROM made_page""")
 def l2(t):
+    return pages.explode_links(pages.parse_pages(t.made_page))
+
+
+@query("l2_raw_page_links")
+def l2b(t):
     return pages.explode_links(pages.parse_pages(t.pages))
 
 
@@ -84,7 +108,7 @@ def l3(t):
 
 SQL["results"] = "SELECT geoid, category, name, state, href AS url, 'q'||CAST(page_id%4 AS VARCHAR) AS query, page_id%4 AS query_pos, page_id AS rank FROM page_urls"
 SQL["kept"] = """SELECT geoid, category, url, query, kept_rank FROM (SELECT *, row_number() OVER (PARTITION BY geoid, category ORDER BY query_pos, rank, url) AS kept_rank FROM (
- SELECT geoid, category, href AS url, 'q'||CAST(page_id%4 AS VARCHAR) AS query, page_id%4 AS query_pos, page_id AS rank, row_number() OVER (PARTITION BY geoid, category, href ORDER BY page_id%4, page_id) AS rn FROM allowed_links WHERE official) x WHERE rn=1) y WHERE kept_rank<=12"""
+ SELECT geoid, category, href AS url, 'q'||CAST(page_id%4 AS VARCHAR) AS query, page_id%4 AS query_pos, page_id AS rank, row_number() OVER (PARTITION BY geoid, category, href ORDER BY page_id%4, page_id) AS rn FROM allowed_links WHERE official) x WHERE rn=1) y"""
 
 
 def _results(t):
@@ -113,14 +137,14 @@ def l6(t):
 @derived("doc_pages", """
 SELECT doc_id, lpad(CAST(doc_id%25+1 AS VARCHAR),2,'0') AS geoid, CASE doc_id%3 WHEN 0 THEN 'property' WHEN 1 THEN 'elections' ELSE 'sales_use' END AS category, CASE WHEN doc_id%10=0 THEN 'https://x.gov/a.pdf' ELSE 'https://x.gov/rates' END AS url,
  CASE WHEN doc_id%13=0 THEN 'application/pdf' ELSE 'text/html' END AS content_type, CASE WHEN doc_id%17=0 THEN '' WHEN doc_id%7=0 THEN text||' precinct ' WHEN doc_id%6=0 THEN text||' mill-rate ' ELSE text END AS text,
- CASE WHEN doc_id%9=0 THEN 'HTTP 500' END AS error, md5(text) AS sha256 FROM documents""")
+ CASE WHEN doc_id%9=0 THEN 'HTTP 500' END AS error, CASE WHEN doc_id%4=0 THEN 'Rates '||CAST(doc_id AS VARCHAR) WHEN doc_id%4=1 THEN '' END AS title, md5(text) AS sha256 FROM documents""")
 def doc_pages(t):
     d = c("doc_id")
     return t.documents.select(
         d, F.lpad((d % 25 + 1).cast("string"), 2, "0").alias("geoid"), F.when(d % 3 == 0, "property").when(d % 3 == 1, "elections").otherwise("sales_use").alias("category"),
         F.when(d % 10 == 0, "https://x.gov/a.pdf").otherwise("https://x.gov/rates").alias("url"), F.when(d % 13 == 0, "application/pdf").otherwise("text/html").alias("content_type"),
         F.when(d % 17 == 0, "").when(d % 7 == 0, F.concat("text", F.lit(" precinct "))).when(d % 6 == 0, F.concat("text", F.lit(" mill-rate "))).otherwise(c("text")).alias("text"),
-        F.when(d % 9 == 0, "HTTP 500").alias("error"), F.md5("text").alias("sha256"))
+        F.when(d % 9 == 0, "HTTP 500").alias("error"), F.when(d % 4 == 0, F.concat(F.lit("Rates "), d.cast("string"))).when(d % 4 == 1, "").alias("title"), F.md5("text").alias("sha256"))
 
 
 SQL["judged_pages"] = f"""SELECT *, is_document OR (text<>'' AND (regexp_matches(text,'(?i){fixed.TAX_PAGE_PATTERN}') OR regexp_matches(text,'(?i)mill[\\s_\\-]?rate') OR (category='elections' AND regexp_matches(text,'(?i){fixed.ELECTION_PAGE_PATTERN}')))) AS relevant
@@ -143,7 +167,7 @@ def statutes(t):
     return t.statute_section.withColumn("text", F.concat("text", tail.otherwise("")))
 
 
-@query("l8_statutes_by_category", "SELECT state_usps, category, citation, section_title, doc_id FROM statute_hits WHERE rn<=8")
+@query("l8_statutes_by_category", "SELECT state_usps, category, citation, section_title, doc_id FROM statute_hits")
 def l8(t):
     return pages.statutes_by_category(t.statutes)
 
@@ -158,27 +182,35 @@ SQL["page_texts"] = "SELECT *, row_number() OVER (PARTITION BY geoid, category,
 
 
 @query("l10_combine_texts", """SELECT geoid, category, md5(CASE WHEN length(t)>80000 THEN substr(t,1,80000)||chr(10)||chr(10)||'[truncated]' ELSE t END) AS combined_md5, CAST(length(CASE WHEN length(t)>80000 THEN substr(t,1,80000)||chr(10)||chr(10)||'[truncated]' ELSE t END) AS INT) AS n
-FROM (SELECT geoid, category, string_agg(text, chr(10)||chr(10)||'-----'||chr(10)||chr(10) ORDER BY CASE WHEN is_document THEN 0 ELSE 1 END, doc_id) AS t FROM page_texts WHERE rn=1 GROUP BY 1,2) x""")
+FROM (SELECT geoid, category, string_agg('URL: '||url||chr(10)||CASE WHEN title<>'' THEN 'TITLE: '||title||chr(10) ELSE '' END||text, chr(10)||chr(10)||'-----'||chr(10)||chr(10) ORDER BY CASE WHEN is_document THEN 0 ELSE 1 END, doc_id) AS t FROM page_texts WHERE rn=1 GROUP BY 1,2) x""")
 def l10(t):
     p = pages.content_relevant(t.doc_pages, "mill rate").where(c("error").isNull() & (c("text") != "")).withColumn("page_order", c("doc_id"))
     return pages.combine_texts(p, 80000).select("geoid", "category", F.md5("combined").alias("combined_md5"), F.length("combined").alias("n"))
 
 
-@query("l11_page_record", """SELECT page_id, http_status, CASE WHEN http_status NOT BETWEEN 200 AND 399 THEN 'HTTP '||CAST(http_status AS VARCHAR) END AS error, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size, length(html) AS text_chars FROM crawl_page""")
+@query("l11_page_record", f"""SELECT page_id, http_status, CASE WHEN http_status NOT BETWEEN 200 AND 399 THEN 'HTTP '||CAST(http_status AS VARCHAR) END AS error, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size,
+ CASE WHEN page_id%5=0 THEN 0 ELSE length(text) END AS text_chars FROM made_text""")
 def l11(t):
-    return pages.page_record(t.crawl_page.select("page_id", "http_status", c("html").alias("body")))
+    fetched = t.made_page.select("page_id", "http_status", c("html").alias("body"))
+    return pages.page_record(fetched, pages.parse_pages(t.made_page.where("page_id % 5 <> 0")))
+
+
+def _passage(terms):
+    """800 characters from 200 before the first hit in the text."""
+    first = "least(" + ", ".join(f"coalesce(nullif(instr(lower(text), '{w.strip().lower()}'), 0), length(text) + 1)" for w in terms) + ")"
+    return f"substr(text, CASE WHEN {first} <= length(text) THEN greatest({first} - 200, 1) ELSE 1 END, 800)"
 
 
 def _like(w): return " OR ".join(f"{f} ILIKE '%{w}%'" for f in ("section_title", "text", "citation"))
 
 
-@query("l12_search_statutes", f"""SELECT state_usps, citation, section_title, substr(text,1,800) AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statute_section
+@query("l12_search_statutes", f"""SELECT state_usps, citation, section_title, {_passage(('the', 'sec. 1', 'src3'))} AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statute_section
  WHERE {' OR '.join(_like(w) for w in ('the', 'sec. 1', 'src3'))}) x WHERE rn<=25""")
 def l12(t):
     return pages.search_statutes(t.statute_section, None, ["the", "sec. 1", "src3"])
 
 
-@query("l12_default_terms", f"""SELECT state_usps, citation, section_title, substr(text,1,800) AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statutes
+@query("l12_default_terms", f"""SELECT state_usps, citation, section_title, {_passage(fixed.DEFAULT_STATUTE_TERMS)} AS excerpt, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY citation, doc_id) AS rn FROM statutes
  WHERE {' OR '.join(_like(w) for w in fixed.DEFAULT_STATUTE_TERMS)}) x WHERE rn<=25""")
 def l12b(t):
     return pages.search_statutes(t.statutes, None)

@@ -1,4 +1,5 @@
 """Command line check: python -m tests.check SF [name-prefix ...]"""
+import os
 import sys
 import time
 
@@ -9,7 +10,7 @@ from tests.compare import compare, connect
 from tests.session import session
 
 sf, pre = f"/root/testdata/{sys.argv[1]}", sys.argv[2:]
-spark, con, sqls = session(), connect(sf), oracles()
+spark, con, sqls = session(os.environ.get("CHECK_CPUS", "8")), connect(sf), oracles()
 bad = 0
 for n, q in QUERIES.items():
     if pre and not any(n.startswith(p) for p in pre):

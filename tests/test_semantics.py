@@ -167,11 +167,18 @@ def test_pages(spark):
     assert ("https://x.gov/tax/rates.pdf", "the rates") in links and all(h.startswith("https://") for h, _ in links)
 
 
+def test_an_unclosed_form_drops_nothing(spark):
+    html = "<div><form><input><p>Rate 5 percent</p><table><tr><td>City<td>2.5</table></div><nav>Menu</nav><form>gone</form>" + "<table><tr><td>x</td></tr></table>" * 20
+    text = pages.parse_pages(spark.createDataFrame([(1, "https://x.gov/", html), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert "Rate 5 percent" in text[0].text and "City | 2.5" in text[0].text and "Menu" not in text[0].text and "gone" not in text[0].text
+    assert text[0].text.split("TABLES:")[1].split("\n\nRate")[0].count("\n\n") == 20 and text[1].text == ""
+
+
 def test_combine_texts_hot_item(spark):
-    rows = [("g", "c", i % 5 == 0, i, f"s{i}", f"text {i} " * 30) for i in range(400)]
-    df = spark.createDataFrame(rows, "geoid string, category string, is_document boolean, page_order long, sha256 string, text string").repartition(5)
+    rows = [("g", "c", i % 5 == 0, i, f"s{i}", f"text {i} " * 30, f"https://x/{i}", f"t{i}" if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "geoid string, category string, is_document boolean, page_order long, sha256 string, text string, url string, title string").repartition(5)
     got = pages.combine_texts(df, 5000).first().combined
-    full = "\n\n-----\n\n".join(r[5] for r in sorted(rows, key=lambda r: (not r[2], r[3])))
+    full = "\n\n-----\n\n".join(f"URL: {r[6]}\n" + (f"TITLE: {r[7]}\n" if r[7] else "") + r[5] for r in sorted(rows, key=lambda r: (not r[2], r[3])))
     assert got == full[:5000] + "\n\n[truncated]"
 
 
