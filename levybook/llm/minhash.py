@@ -25,7 +25,7 @@ BINS, ROWS = 160, 5
 #: Standard errors below the threshold at which a pair's sketches still count as similar.
 SLACK = 6.0
 #: Members of one block of a bucket.
-BLOCK = 256
+BLOCK = 200
 SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 FRACTION = U64((1 << 40) - 1)
 
@@ -138,32 +138,57 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return with_texts.mapInPandas(compare, "a long, b long").distinct()
 
 
-def block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of different components in one bucket, found block against block.
+def set_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): the sorted shingle hashes of the documents in ``ids``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [shingle_hashes(words(t), hashes, size).tobytes() for t in b["text"]]})
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
+    return texts.mapInPandas(run, "doc_id long, shingles binary")
+
+
+def bridges(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components in buckets whose members are in several, found block against block.
 
-    ``members`` has key, doc_id, count, component, n_shingles and bins. A bucket is cut
-    into blocks of about ``BLOCK`` members and every two blocks meet in one task, so a
-    hot bucket spreads over tasks; only pairs that the sketches allow leave the task.
+    ``members`` has key, doc_id, component, n_shingles, bins, bands and shingles. A bucket's
+    largest component is not compared within itself: its other members meet one another
+    and that component. Both sides are cut into blocks of about ``BLOCK`` members, and two
+    blocks meet in one task. A pair is looked at in the first band it shares, and only
+    while its components are apart in that task.
     """
-    n = F.ceil(F.col("count") / BLOCK)
-    own = F.pmod(F.xxhash64("doc_id"), n)
-    placed = (members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-              .select("key", "low", "high", "block", "doc_id", "component", "n_shingles", "bins"))
+    of = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    j = members.join(of, "key")
+    own, other = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_main") / BLOCK)
+    j = j.withColumn("own", own).withColumn("all", own + other).withColumn("block", F.when(
+        F.col("component") == F.col("main"), own + F.pmod(F.xxhash64("doc_id"), other)).otherwise(F.pmod(F.xxhash64("doc_id"), own)))
+    partner = F.when(F.col("block") < F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("own") - 1))
+    placed = (j.withColumn("partner", F.explode(partner)).withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner"))
+              .select("key", "low", "high", "block", "doc_id", "component", "n_shingles", "bins", "bands", "shingles"))
+    threshold = percent / 100
     least = agreement(threshold)
 
-    def pairs_of(g: pd.DataFrame) -> pd.DataFrame:
+    def links_of(g: pd.DataFrame) -> pd.DataFrame:
+        bands = np.stack(g["bands"].to_numpy())
+        here = bands == g["key"].iloc[0]
+        band = int(here.any(0).argmax())
+        g, bands = g[here[:, band]], bands[here[:, band]]   # a repeated doc_id also brings its other texts
         sk = np.frombuffer(b"".join(g["bins"]), "<u2").reshape(len(g), BINS)
-        ids, comp, size, block = (g[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
-        alone, out = bool((block == block[0]).all()), []
-        for i in range(len(g) - 1):
-            j = np.arange(i + 1, len(g))
-            ok = (comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= np.maximum(size[j], size[i]) * threshold - 1e-6)
-            if not alone:
-                ok &= block[j] != block[i]
-            j = j[ok]
-            j = j[(sk[j] == sk[i]).sum(1) >= least]
-            out += [(min(ids[i], k), max(ids[i], k)) for k in ids[j]]
+        sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
+        ids, size, block = (g[c].to_numpy() for c in ("doc_id", "n_shingles", "block"))
+        comp, alone, out = g["component"].to_numpy().copy(), bool((block == block[0]).all()), []
+        for i in np.flatnonzero(block == block.min()):
+            j = np.arange(i + 1, len(g)) if alone else np.flatnonzero(block != block[i])
+            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= np.maximum(size[j], size[i]) * threshold - 1e-6)]
+            j = j[(bands[j] == bands[i]).argmax(1) == band]
+            agree = (sk[j] == sk[i]).sum(1)
+            for k in j[np.argsort(-agree)][:int((agree >= least).sum())]:
+                if comp[k] != comp[i]:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                        out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                        comp[comp == comp[k]] = comp[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,10 +199,10 @@ def block_pairs(members: DataFrame, threshold: float) -> DataFrame:
                 mark = rest[["key", "low", "high"]].ne(rest[["key", "low", "high"]].shift()).any(axis=1).cumsum()
                 for g, part in rest.groupby(mark, sort=False):
                     if g != mark.iloc[-1]:
-                        yield pairs_of(part)
+                        yield links_of(part)
                 rest = rest[mark == mark.iloc[-1]]
         if rest is not None and len(rest):
-            yield pairs_of(rest)
+            yield links_of(rest)
 
     return (placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
             .mapInPandas(run, "a long, b long").distinct())
@@ -194,30 +219,33 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     columns are ignored.
 
     Equal sets are one representative. In every bucket all members are compared with the
-    smallest; where the links leave a bucket in several components, its members of
-    different components are compared block against block, so no link is lost.
+    one that shares most buckets in all, which in a group of edited copies is the text
+    they were made from. Where the links leave a bucket in several components, these are
+    compared block against block until joined, so no link between components is lost.
     """
     spark, threshold = docs.sparkSession, percent / 100
     bounded_batches(spark)
     all_sets = stored(sketches(docs, size), "sketches")
     known = all_sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = stored(known.groupBy("same").agg(F.min("doc_id").alias("rep")), "same-sets")
-    sets = known.join(same.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"], "left_semi").dropDuplicates(["same", "doc_id"])
+    sets = stored(known.join(same.withColumnRenamed("rep", "doc_id"), ["same", "doc_id"], "left_semi").dropDuplicates(["same", "doc_id"]), "distinct-sets")
     keyed = sets.select("doc_id", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("count")).where("count > 1")
-    members = stored(keyed.join(heads, "key"), "buckets")
-    near = likely(members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, threshold)
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    members = stored(keyed.join(shared, "key"), "buckets")
+    degree = members.groupBy("doc_id").agg(F.sum("count").alias("degree"))
+    heads = members.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("head"))
+    pair = [F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")]
+    near = likely(members.join(heads, "key").where("doc_id <> head").select(*pair).distinct(), sets, threshold)
     links = stored(verified(stored(near, "near-pairs"), docs, size, percent), "links-to-heads")
 
     def labelled(df: DataFrame, labels: DataFrame, at: str) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", at), at, "left").withColumn("component", F.coalesce("component", at))
 
-    grouped = components(links)
-    open_members = labelled(members.where("count > 2"), grouped, "doc_id")
-    open_keys = open_members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = open_members.join(open_keys, "key", "left_semi").join(sets.select("doc_id", "n_shingles", "bins"), "doc_id")
-    more = stored(block_pairs(rest, threshold), "more-pairs")
-    further = verified(more, docs, size, percent)
+    parts = labelled(members.where("count > 2"), components(links), "doc_id")
+    apart = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rest = stored(parts.join(apart, "key", "left_semi").select("key", "doc_id", "component"), "open-buckets")
+    whole = sets.select("doc_id", "n_shingles", "bins", "bands").join(set_rows(docs, rest.select("doc_id").distinct(), size), "doc_id")
+    further = verified(stored(bridges(rest.join(stored(whole, "open-sets"), "doc_id"), percent), "bridges"), docs, size, percent)
     # rows that repeat a doc_id tie their sets together
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = known.join(repeated, "doc_id", "left_semi").join(same, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

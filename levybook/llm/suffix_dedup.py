@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ LENGTH, PIECE = 100, 36
 LEFT = LENGTH - PIECE
 #: Suffixes of one run and of one front-coded chunk at most, and bytes of chunks that one merge task takes on average.
 RUN, CHUNK, MERGE_BYTES = 200_000, 2048, 12 << 20
+#: Suffixes of one judged batch, about.
+BATCH = 20_000
 #: Bits for a place in a text; the text's variant stands above them.
 PLACE_BITS = 40
 BASE = U64(0x9E3779B97F4A7C15)
@@ -194,20 +197,22 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+def pair_repeats(one: tuple, two: tuple) -> Iterator[tuple[int, int, int]]:
+    """What ``repeats`` gives for two suffixes that nothing else shares a piece with."""
+    (_, _, a, *ia), (_, p, b, *ib) = one, two
+    left = shared_prefix(a[::-1], b[::-1])
+    if left + p >= LENGTH and ia != ib:
+        d, at = max(ia, ib)
+        yield d, at - left, at + p
+
+
 def repeats(group: list[tuple[bytes, int, bytes, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, start, end) to remove, for suffixes that share one piece; ``group`` is in suffix order.
+    """(doc_id, start, end) to remove, for whole groups of suffixes that share a piece, in suffix order.
 
     A string of LENGTH bytes holds ``o`` bytes before the piece. All removable strings
     around one piece overlap in it, so the least and the largest ``o`` give one stretch.
     """
     n = len(group)
-    if n == 2:
-        (s, _, a, *ia), (t, p, b, *ib) = group
-        left = shared_prefix(a[::-1], b[::-1])
-        if left + p >= LENGTH and ia != ib:
-            d, at = max(ia, ib)
-            yield d, at - left, at + p
-        return
     known = {key: k for k, key in enumerate(sorted({g[3:5] for g in group}))}
     rank = np.array([known[g[3:5]] for g in group])
     low, high = np.full(n, LENGTH + 1), np.full(n, -1)
@@ -310,14 +315,18 @@ def merge_runs(chunks: DataFrame) -> DataFrame:
                     whole = False
 
         group: list[tuple] = []
-        for entry in merged([stream(b) for b in runs.values()]):
-            if group and entry[1] < PIECE:
-                if len(group) > 1:
-                    yield from repeats(group)
+        batch: list[tuple] = []   # groups of more than two are judged many at a time
+        for entry in chain(merged([stream(b) for b in runs.values()]), [None]):
+            if entry is None or group and entry[1] < PIECE:
+                if len(group) == 2:
+                    yield from pair_repeats(*group)
+                elif len(group) > 2:
+                    batch += group
+                if batch and (entry is None or len(batch) >= BATCH):
+                    yield from repeats(batch)
+                    batch = []
                 group = []
             group.append(entry)
-        if len(group) > 1:
-            yield from repeats(group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []

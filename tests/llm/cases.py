@@ -22,7 +22,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     shared = prose(3, 40)
     rows = [(1, base), (2, base), (3, near), (4, other), (5, f"{shared} {prose(4, 30)}"), (6, f"{prose(5, 30)} {shared}"), (7, None), (8, ""), (9, "   \n\t "),
             (10, "word"), (11, "WORD"), (12, "two words"), (13, "a" * 900), (14, "Ünïcödé text ✓ 日本語 " * 12), (15, "x"), (16, "12 34 !!"), (None, base), (None, None),
-            (17, f"{shared}\n\n{shared}"), (18, "line one\nline two\n\nsecond section. Next. " * 8), (4, other), (19, prose(6, 6000)), (20, "\x00\x01 odd \x0b bytes <|endoftext|> <s> ▁▁")]
+            (17, f"{shared}\n\n{shared}"), (18, "line one\nline two\n\nsecond section. Next. " * 8), (4, other), (19, prose(6, 6000)), (12, near), (21, near), (20, "\x00\x01 odd \x0b bytes <|endoftext|> <s> ▁▁")]
     return rows
 
 
