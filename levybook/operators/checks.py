@@ -153,10 +153,12 @@ def measured_uncovered(t):
 @_check("g26")
 def quote_not_archived(t):
     """Quotes absent from the archived text, spaces aside; text is normalised once per file."""
+    q = _live(t).where(~blank(c("source_quote"))).select("id", "archive_file_id", F.trim(squash(c("source_quote"))).alias("_quote")).where(c("_quote") != "")
+    # each quote is searched once per file, whatever the number of facts that cite it
+    asked = q.select("archive_file_id", "_quote").distinct()
     text = t.archive_text.select("archive_file_id", squash(c("text")).alias("_text"))
-    q = _live(t).where(~blank(c("source_quote"))).select("id", "archive_file_id", F.trim(squash(c("source_quote"))).alias("_quote"))
-    j = q.join(text, "archive_file_id")
-    return j.where((c("_quote") != "") & ~c("_text").contains(c("_quote"))).select(_key("id").alias("key"))
+    absent = asked.join(text, "archive_file_id").where(~c("_text").contains(c("_quote"))).select("archive_file_id", "_quote")
+    return q.join(absent, ["archive_file_id", "_quote"], "left_semi").select(_key("id").alias("key"))
 
 
 def run(t, only: list[str] | None = None) -> DataFrame:

@@ -115,19 +115,20 @@ def with_displaced_date(facts: DataFrame) -> DataFrame:
     return facts.where(c("superseded_by").isNull()).join(gone, "id", "left")
 
 
-def newest_measures(measures: DataFrame, n: int = 40) -> DataFrame:
-    """H5: the newest n live measures per place."""
-    return first_rows(measures.where(c("superseded_by").isNull()), ["geoid"],
-                      [c("election_date").desc(), c("id").desc()], n)
+def newest_measures(measures: DataFrame, n: int | None = None) -> DataFrame:
+    """H5: live measures per place, all of them or the newest n."""
+    held = measures.where(c("superseded_by").isNull())
+    return held if n is None else first_rows(held, ["geoid"], [c("election_date").desc(), c("id").desc()], n)
 
 
-def newest_rules(thresholds: DataFrame, grants: DataFrame, n: int = 80) -> DataFrame:
-    """H5: the newest n thresholds and n grants per state in one checkable list."""
+def newest_rules(thresholds: DataFrame, grants: DataFrame, n: int | None = None) -> DataFrame:
+    """H5: thresholds and grants per state in one checkable list, all of them or the newest n of each."""
     null = F.lit(None)
-    a = first_rows(thresholds, ["state_usps"], [c("id").desc()], n).select(
+    newest = lambda df: df if n is None else first_rows(df, ["state_usps"], [c("id").desc()], n)
+    a = newest(thresholds).select(
         "state_usps", "id", c("measure_class").alias("label"), "threshold_value", null.cast("string").alias("permitted"),
         null.cast("double").alias("max_rate"), "statute_cite", "confidence", "authority_tier", F.lit("threshold").alias("rule_kind"))
-    b = first_rows(grants, ["state_usps"], [c("id").desc()], n).select(
+    b = newest(grants).select(
         "state_usps", "id", c("instrument_code").alias("label"), null.cast("double").alias("threshold_value"), "permitted",
         "max_rate", "statute_cite", "confidence", "authority_tier", F.lit("grant").alias("rule_kind"))
     return a.unionByName(b)
@@ -156,16 +157,16 @@ def subject_rows(rows: DataFrame, claim_ids: DataFrame | None, item: list[str])
     return wrote.unionByName(rest)
 
 
-def excerpt(doc: Column, anchors: Column, max_chars: int, pad: int = 2000, head: int = 3000,
-            over: int = 15000) -> Column:
-    """H9: the passages around each anchor's first hit, overlaps merged, cut at max_chars.
+def excerpt(doc: Column, anchors: Column, max_chars: int, pad: int = 2000, head: int = 3000) -> Column:
+    """H9: the head and the passages around each anchor's first hit, overlaps merged, cut at max_chars.
 
-    Short documents, and those without a hit, give their plain head.
+    Whole anchors are searched in the whole document.  Documents within max_chars are
+    given whole, and those without a hit by their beginning.
     """
     n = F.length(doc)
     usable = F.filter(F.transform(anchors, lambda a: F.trim(F.coalesce(a, F.lit("")))), lambda a: F.length(a) >= 3)
     found = F.filter(F.transform(usable, lambda a: F.struct(
-        F.position(F.substr(a, F.lit(1), F.lit(80)), doc).alias("p"), F.length(a).alias("l"))), lambda s: s["p"] > 0)
+        F.position(a, doc).alias("p"), F.length(a).alias("l"))), lambda s: s["p"] > 0)
     around = F.transform(found, lambda s: F.struct(F.greatest(F.lit(0), s["p"] - 1 - pad).alias("s"),
                                                    F.least(n, s["p"] - 1 + s["l"] + pad).alias("e")))
     spans = F.array_sort(F.concat(F.array(F.struct(F.lit(0).alias("s"), F.least(F.lit(head), n).alias("e"))), around))
@@ -188,15 +189,15 @@ def excerpt(doc: Column, anchors: Column, max_chars: int, pad: int = 2000, head:
 
     cut = F.array_join(F.aggregate(merged, start, take)["parts"], fixed.EXCERPT_SEPARATOR)
     plain = F.substring(doc, 1, max_chars)
-    return F.when(doc.isNull(), F.lit("")).when((n <= min(over, max_chars)) | (F.size(found) == 0), plain).otherwise(cut)
+    return F.when(doc.isNull(), F.lit("")).when((n <= max_chars) | (F.size(found) == 0), plain).otherwise(cut)
 
 
-def route(items: DataFrame, flags: DataFrame, answers: DataFrame, failures: DataFrame) -> DataFrame:
+def route(items: DataFrame, flags: DataFrame, answers: DataFrame, failures: DataFrame, n_shown: int = 3) -> DataFrame:
     """Verdict, status and a short summary per item.
 
     ``items``: geoid, category, n_rows.  ``flags``: exploded flags.  ``answers``:
     one model verdict per row.  ``failures``: items whose second check failed.
-    A hard flag goes to review unseen by the model; a failed check or a missing
+    The summary lists the first ``n_shown`` hard flags and counts the rest.  A hard flag goes to review unseen by the model; a failed check or a missing
     verdict is an error; any verdict but 'pass' is a flag; else it is published.
     """
     key = ["geoid", "category"]
@@ -210,11 +211,11 @@ def route(items: DataFrame, flags: DataFrame, answers: DataFrame, failures: Data
                .when(c("n_against") > 0, "flag").otherwise("pass"))
     j = j.withColumn("verdict", verdict).withColumn(
         "status", F.when(c("verdict") == "pass", "complete").otherwise("needs_review"))
-    shown = first_rows(flags.where("hard"), key, [c("label"), c("flag_pos")], 3) \
+    shown = first_rows(flags.where("hard"), key, [c("label"), c("flag_pos")], n_shown) \
         .groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "label", "code"))), "; ").alias("_first"))
     j = j.join(shown, key, "left")
     text = (F.when(c("n_hard") > 0, F.concat(F.lit("contradiction: "), c("_first"),
-                                             F.when(c("n_hard") > 3, F.concat(F.lit("; +"), (c("n_hard") - 3).cast("string"), F.lit(" more"))).otherwise("")))
+                                             F.when(c("n_hard") > n_shown, F.concat(F.lit("; +"), (c("n_hard") - n_shown).cast("string"), F.lit(" more"))).otherwise("")))
             .when(c("verdict") == "error", "second check unavailable").when(c("verdict") == "flag", "checker flagged")
             .otherwise(F.concat(F.lit("passed with "), c("n_soft").cast("string"), F.lit(" concern(s)"))))
     return j.select(*key, "n_rows", "n_hard", "n_soft", "verdict", "status", text.alias("summary"))

@@ -46,9 +46,10 @@ def newest_good_pages(pages: DataFrame, n: int = 20) -> DataFrame:
 FLAG_SCHEMA = "array<struct<code:string,instrument_code:string,reason:string>>"
 
 
-def flag_text(flags_json: Column, n: int = 3) -> Column:
-    """The first flags as text; malformed JSON reads as no flags."""
-    arr = F.slice(F.coalesce(F.from_json(flags_json, FLAG_SCHEMA), F.array().cast(FLAG_SCHEMA)), 1, n)
+def flag_text(flags_json: Column, n: int | None = None) -> Column:
+    """The flags as text, all or the first n; malformed JSON reads as no flags."""
+    arr = F.coalesce(F.from_json(flags_json, FLAG_SCHEMA), F.array().cast(FLAG_SCHEMA))
+    arr = arr if n is None else F.slice(arr, 1, n)
     parts = F.transform(arr, lambda f: F.concat(F.coalesce(f["instrument_code"], F.lit("?")), F.lit(": "), F.coalesce(f["reason"], F.lit(""))))
     return F.when(F.size(arr) > 0, F.array_join(parts, "; ")).otherwise(F.lit("checker could not run"))
 
@@ -68,15 +69,15 @@ def activity(runs: DataFrame, uploads: DataFrame, checks: DataFrame, n: int = 30
 
 
 def timeline(checks: DataFrame, runs: DataFrame, batches: DataFrame, as_of_ts: str, n: int = 8) -> DataFrame:
-    """K5: what happened in the last 48 hours, newest first."""
+    """K5: what happened in the last 48 hours, the n newest; each feed is cut to n by itself first."""
     edge = F.lit(as_of_ts).cast("timestamp_ntz") - F.expr("interval 48 hours")
     ch = checks.where(c("created_at") >= edge).groupBy(
         F.when(c("verdict") == "pass", "checks_passed").otherwise("checks_flagged").alias("kind")) \
         .agg(F.max("created_at").alias("ts"), F.count("*").alias("n"))
-    r = runs.where(c("started_at") >= edge).orderBy(c("run_id").desc()).limit(6).select(
+    r = runs.where(c("started_at") >= edge).orderBy(F.coalesce("finished_at", "started_at").desc(), c("run_id").desc()).limit(n).select(
         F.concat(F.lit("run_"), c("status")).alias("kind"), F.coalesce("finished_at", "started_at").alias("ts"),
         c("pages_fetched").alias("n"))
-    b = batches.where(F.coalesce("collected_at", "submitted_at", "created_at") >= edge).orderBy(c("batch_id").desc()).limit(6)
+    b = batches.where(F.coalesce("collected_at", "submitted_at", "created_at") >= edge)
     ev = F.array_compact(F.array(
         F.when(c("submitted_at").isNotNull(), F.struct(F.lit("batch_sent").alias("kind"), c("submitted_at").alias("ts"))),
         F.when(c("collected_at").isNotNull(), F.struct(F.lit("batch_back").alias("kind"), c("collected_at").alias("ts"))),
@@ -130,11 +131,11 @@ def queries_to_ask(plan: DataFrame, log: DataFrame, as_of_ts: str, days: int = 7
     return anti(plan, _fresh(log, as_of_ts, days), [*ITEM, "query"])
 
 
-def plan_round(built_in: DataFrame, log: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+def plan_round(built_in: DataFrame, log: DataFrame, exclude: DataFrame | None = None, n: int = fixed.MAX_QUERIES_PER_ROUND) -> DataFrame:
     """K9: the next queries per item: untried suggestions, live templates, then suggestions that worked.
 
-    A wording that found nothing is dead; when everything is dead and nothing was
-    excluded the templates are asked again.  At most eight.
+    A wording that found nothing is dead; when everything of an item is dead and nothing
+    was excluded for that item, its templates are asked again.  The first n of each item.
     """
     key = [*ITEM, "query"]
     dead = log.where(c("last_outcome") == "nothing")
@@ -143,14 +144,14 @@ def plan_round(built_in: DataFrame, log: DataFrame, exclude: DataFrame | None =
     retry = ai.where((c("tries") > 0) & c("last_outcome").isin("found", "blocked")).select(*key, F.lit(2).alias("tier"), c("log_id").alias("pos"))
     tmpl = anti(built_in, dead, key).select(*key, F.lit(1).alias("tier"), c("pos").cast("long").alias("pos"))
     allq = first.unionByName(tmpl).unionByName(retry)
+    last_resort = built_in.join(allq.select(*ITEM).distinct(), ITEM, "left_anti") \
+        .select(*key, F.lit(3).alias("tier"), c("pos").cast("long").alias("pos"))
     if exclude is not None:
         allq = anti(allq, exclude, key)
-    else:
-        last_resort = built_in.join(allq.select(*ITEM).distinct(), ITEM, "left_anti") \
-            .select(*key, F.lit(3).alias("tier"), c("pos").cast("long").alias("pos"))
-        allq = allq.unionByName(last_resort)
+        last_resort = anti(last_resort, exclude.select(*ITEM).distinct(), ITEM)
+    allq = allq.unionByName(last_resort)
     once = allq.groupBy(*key).agg(F.min(F.struct("tier", "pos")).alias("_at"))
-    return first_rows(once, ITEM, [c("_at.tier"), c("_at.pos"), c("query")], fixed.MAX_QUERIES_PER_ROUND, "rank") \
+    return first_rows(once, ITEM, [c("_at.tier"), c("_at.pos"), c("query")], n, "rank") \
         .select(*key, c("_at.tier").alias("tier"), c("rank").cast("long").alias("rank"))
 
 
@@ -207,7 +208,8 @@ def spend_checkpoints(priced: DataFrame, step: float, unit: str = "day") -> Data
 
     The stop rule looks back to the last stop, not to multiples of the step, so
     it is a fold.  Spend is summed per period first; the fold then runs over the
-    calendar only, whatever the number of responses.
+    calendar only, whatever the number of responses.  A step of zero or less turns the
+    checkpoint off.
     """
     per = priced.groupBy(F.date_trunc(unit, c("ts")).cast("timestamp_ntz").alias("period")).agg(F.sum("usd").alias("usd"))
     days = per.agg(F.array_sort(F.collect_list(F.struct("period", "usd"))).alias("days"))
@@ -216,7 +218,7 @@ def spend_checkpoints(priced: DataFrame, step: float, unit: str = "day") -> Data
 
     def step_fn(acc, d):
         total = acc["total"] + F.coalesce(d["usd"], F.lit(0.0))
-        stop = F.round(total - acc["acked"], 6) >= step
+        stop = (F.round(total - acc["acked"], 6) >= step) & F.lit(step > 0)
         row = F.struct(d["period"].alias("period"), d["usd"].alias("usd"), total.alias("total"), stop.alias("stopped"))
         return F.struct(total.alias("total"), F.when(stop, total).otherwise(acc["acked"]).alias("acked"),
                         F.concat(acc["out"], F.array(row)).alias("out"))

@@ -21,6 +21,11 @@ def _case(col, mapping, other=None):
     return out.otherwise(other)
 
 
+def n_documents(t):
+    """How many documents there are, as a scalar subquery."""
+    return t.documents.agg(F.count(F.lit(1))).scalar()
+
+
 @derived("places", """
 SELECT *, substr(geoid,1,2) AS state_fips, CASE WHEN kind='county' THEN geoid
   WHEN kind='place' AND TRY_CAST(substr(geoid,3) AS BIGINT)%3=0
@@ -40,7 +45,7 @@ SELECT geoid||'/'||instrument_code||'/'||CAST(seq AS VARCHAR) AS id, geoid, cate
   source_quote, retrieved_at, source_id, CAST(NULL AS BIGINT) AS fiscal_year,
   CASE WHEN seq%13=0 THEN 'per-diem allowance' ELSE instrument_code END AS label,
   geoid||'/'||instrument_code||'/'||CAST(superseded_by_seq AS VARCHAR) AS superseded_by,
-  (source_id*7+seq)%200 AS archive_file_id FROM tax_instrument
+  (source_id*7919+seq*31)%(SELECT count(*) FROM documents) AS archive_file_id FROM tax_instrument
 UNION ALL SELECT geoid||'/county_general_sales/1', geoid, 'sales_use', 'county_general_sales', 1, 'levied',
   CASE WHEN geoid='07' THEN 30.0::DOUBLE ELSE CAST(2+CAST(geoid AS BIGINT)%5 AS DOUBLE) END, 'percent', NULL, 'percent', '1996-01-01', NULL, 'manual', 'high',
   'see the state code', CASE WHEN CAST(geoid AS BIGINT)%2=1 THEN '1996-06-01' ELSE '1998-01-01' END, CASE WHEN CAST(geoid AS BIGINT)%4=0 THEN -1 ELSE CAST(geoid AS BIGINT)-1 END, NULL, 'state sales tax', NULL, CAST(geoid AS BIGINT)
@@ -54,7 +59,7 @@ def facts(t):
         "source_id", F.lit(None).cast("bigint").alias("fiscal_year"),
         F.when(s % 13 == 0, "per-diem allowance").otherwise(c("instrument_code")).alias("label"),
         F.when(c("superseded_by_seq").isNotNull(), F.concat_ws("/", "geoid", "instrument_code", c("superseded_by_seq").cast("string"))).alias("superseded_by"),
-        ((c("source_id") * 7 + s) % 200).alias("archive_file_id"))
+        ((c("source_id") * 7919 + s * 31) % n_documents(t)).alias("archive_file_id"))
     g = c("geoid").cast("bigint")
     null = lambda k: F.lit(None).cast(k)
     st = t.jurisdiction.where(c("kind") == "state").select(

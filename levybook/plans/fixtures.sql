@@ -82,7 +82,7 @@ CASE WHEN event_type IN ('error','view') THEN NULL ELSE '["u'||CAST(event_id%50
 SELECT event_id,ts,CASE user_id%4 WHEN 0 THEN 'model-a' WHEN 1 THEN 'model-b' WHEN 2 THEN 'model-c' ELSE 'unlisted' END AS model,CAST(floor(value*1000) AS BIGINT) AS input_tokens,CAST(floor(value*100) AS BIGINT) AS output_tokens,CASE WHEN event_type='view' THEN 1 ELSE 0 END AS is_batch FROM events
 
 -- view: archive_arrival
-SELECT doc_id AS arrival_seq,source AS adapter,'https://x/'||CAST(doc_id%40 AS STRING) AS url,'2026Q'||CAST(doc_id%4+1 AS STRING) AS period_label,md5(substr(text,1,3)) AS sha FROM documents
+SELECT doc_id AS arrival_seq,source AS adapter,'https://x/'||CAST(doc_id%40 AS STRING) AS url,'2026Q'||CAST(doc_id%4+1 AS STRING) AS period_label,md5(text) AS sha FROM documents
 
 -- view: revenue_base
 SELECT lpad(CAST(c.c_nationkey+1 AS STRING),2,'0')||lpad(CAST(c.c_custkey AS STRING),7,'0') AS geoid,year(o.o_orderdate) AS fiscal_year,CASE o.o_orderkey%4 WHEN 0 THEN 'T01' WHEN 1 THEN 'T09' WHEN 2 THEN 'T19' ELSE 'T40' END AS item,o.o_orderkey AS line_no,CAST(floor(o.o_totalprice) AS BIGINT) AS amount_thousands FROM orders o JOIN customer c ON c.c_custkey=o.o_custkey

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..sources import files
 from .fixtures import derived
 from .registry import query
@@ -65,3 +71,33 @@ def a9(t):
 @query("a9_section_rows", """SELECT id AS doc_path, CAST(p AS INT) AS pos, geoid, category, instrument_code, rate_value, 'https://x/'||CAST(source_id AS VARCHAR) AS source_url, 'r' AS researcher FROM facts, (VALUES (0),(1)) v(p) WHERE seq%5<>0 AND seq%7<>0""")
 def a9b(t):
     return files.section_rows(_documents(t), "findings").select("doc_path", "pos", "geoid", "category", "instrument_code", "rate_value", "source_url", "researcher")
+
+
+@query("a2_zipped_rate_files", """SELECT 'f'||CAST(c_custkey AS VARCHAR) AS path, c_name||',é,'||CAST(c_nationkey AS VARCHAR) AS text FROM customer""")
+def a2(t):
+    """Every third file is zipped behind a member that is no rate file, every third is plain, the rest zipped alone."""
+    def packed(batches):
+        for b in batches:
+            out = []
+            for k, text in zip(b["k"], b["text"]):
+                blob = io.BytesIO()
+                with zipfile.ZipFile(blob, "w") as z:
+                    if k % 3 == 0:
+                        z.writestr("readme.md", "no rates")
+                    z.writestr("OHR2024Q1.csv", text.encode("latin-1"))
+                out.append(text.encode("latin-1") if k % 3 == 1 else blob.getvalue())
+            yield pd.DataFrame({"path": "f" + b["k"].astype(str), "content": out})
+    rows = t.customer.select(c("c_custkey").alias("k"), F.concat("c_name", F.lit(",é,"), c("c_nationkey").cast("string")).alias("text"))
+    return files.first_members(rows.mapInPandas(packed, "path string, content binary"))
+
+
+@query("a6_gazetteer", """SELECT 'county' AS kind, lpad(CAST(c_custkey AS VARCHAR),7,'0') AS geoid, 'OH' AS usps, c_name AS name, CASE WHEN c_custkey%4=0 THEN '' ELSE 'A' END AS funcstat, CAST(NULL AS VARCHAR) AS lsad,
+ CASE WHEN c_custkey%5<>0 THEN CAST(c_custkey AS DOUBLE)/4 END AS land_sqmi, CAST(c_nationkey AS DOUBLE) AS lat, -CAST(c_nationkey AS DOUBLE)/2 AS lon FROM customer""")
+def a6(t):
+    """Files are written to the shared folder and read back by the gazetteer's own reader."""
+    k, pad = c("c_custkey"), lambda x: F.concat(F.lit("  "), x.cast("string"), F.lit(" "))
+    path = f"{shared_dir(t.spark)}/gazetteer-{uuid.uuid4().hex}"
+    t.customer.select(F.lit("OH").alias("USPS"), F.lpad(k.cast("string"), 7, "0").alias("GEOID"), pad(c("c_name")).alias("NAME"), F.when(k % 4 != 0, "A").alias("FUNCSTAT"),
+                      F.when(k % 5 == 0, "n/a").otherwise((k / 4).cast("string")).alias("ALAND_SQMI"), pad(c("c_nationkey")).alias(" INTPTLAT"), pad(-c("c_nationkey") / 2).alias("INTPTLONG  ")) \
+        .write.csv(path, sep="|", header=True, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.gazetteer(t.spark, path, "county")

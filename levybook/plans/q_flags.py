@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.expr import loose
 from ..operators import flags
+from .derived import n_documents
 from .fixtures import AS_OF, SQL
 from .registry import query
 
@@ -114,11 +115,11 @@ MEASURE = [("no_result", 1, "votes_total IS NULL AND pct_yes IS NULL"), ("no_thr
            ("low_confidence", 0, "confidence='low'"), ("weak_source", 0, "coalesce(authority_tier,4)>=4"),
            ("id_missing", 0, f"coalesce(doc_norm,'')<>'' AND measure_id_local<>'' AND NOT contains(doc_norm, {_loose('measure_id_local')})"),
            ("future_result", 1, f"election_date>'{AS_OF}' AND outcome IN ('passed','failed')")]
-SQL["top_measures"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY election_date DESC, id DESC) AS rn FROM measures WHERE superseded_by IS NULL) x WHERE rn<=40"
+SQL["top_measures"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY election_date DESC, id DESC) AS rn FROM measures WHERE superseded_by IS NULL) x"
 
 
 def _measure_subject(t):
-    m = flags.newest_measures(t.measures).withColumn("_d", c("id") % 200) \
+    m = flags.newest_measures(t.measures).withColumn("_d", c("id") * 7919 % n_documents(t)) \
         .withColumn("outcome", F.when(c("id") % 6 == 0, "unknown").otherwise(c("outcome"))) \
         .withColumn("pct_yes", F.when(c("id") % 10 == 0, null("double")).otherwise(c("pct_yes"))) \
         .withColumn("votes_total", F.when(c("id") % 5 == 0, null("bigint")).otherwise(c("votes_total")))
@@ -127,26 +128,26 @@ def _measure_subject(t):
 
 
 @query("h2_measure_flags", f"""SELECT id, {_flag_list('', MEASURE)} AS codes FROM (SELECT m.* REPLACE (CASE WHEN id%6=0 THEN 'unknown' ELSE outcome END AS outcome, CASE WHEN id%10=0 THEN NULL ELSE pct_yes END AS pct_yes,
- CASE WHEN id%5=0 THEN NULL ELSE votes_total END AS votes_total), d.doc_norm FROM top_measures m LEFT JOIN measure_doc d ON d.doc_id=m.id%200) x""")
+ CASE WHEN id%5=0 THEN NULL ELSE votes_total END AS votes_total), d.doc_norm FROM top_measures m LEFT JOIN measure_doc d ON d.doc_id=m.id*7919%(SELECT count(*) FROM documents)) x""")
 def h2(t):
     return _codes(flags.measure_flags(_measure_subject(t), AS_OF), ["id"])
 
 
 SQL["framework_rows"] = """
 SELECT 'threshold' AS rule_kind, state_usps, id, measure_class AS label, threshold_value, NULL AS permitted, CAST(NULL AS DOUBLE) AS max_rate, statute_cite, confidence, authority_tier FROM (
- SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY id DESC) AS rn FROM thresholds) a WHERE rn<=80
+ SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY id DESC) AS rn FROM thresholds) a
 UNION ALL SELECT 'grant', state_usps, id, instrument_code, NULL, permitted, max_rate, statute_cite, confidence, authority_tier FROM (
- SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY id DESC) AS rn FROM grants) b WHERE rn<=80"""
+ SELECT *, row_number() OVER (PARTITION BY state_usps ORDER BY id DESC) AS rn FROM grants) b"""
 FRAMEWORK = [("threshold_scale", 1, "threshold_value<=1.0"), ("threshold_low", 0, "threshold_value>1.0 AND threshold_value<50.0"), ("no_cap", 0, "permitted='yes' AND max_rate IS NULL"),
              ("no_cite", 0, "coalesce(statute_cite,'')=''"), ("cite_missing", 0, f"statute_cite<>'' AND coalesce(doc_norm,'')<>'' AND NOT contains(doc_norm, {_loose('statute_cite')})"),
              ("low_confidence", 0, "confidence='low'"), ("weak_source", 0, "coalesce(authority_tier,4)>=4")]
 
 
-@query("h3_framework_flags", f"""SELECT rule_kind, id, {_flag_list('', FRAMEWORK)} AS codes FROM (SELECT f.* REPLACE (CASE WHEN id%9=0 THEN threshold_value-12 ELSE threshold_value END AS threshold_value), CASE WHEN d.doc_norm<>'' THEN d.doc_norm||' code 5.1 ' END AS doc_norm FROM framework_rows f LEFT JOIN doc_norms d ON d.archive_file_id=CAST(f.state_usps AS BIGINT)) x""")
+@query("h3_framework_flags", f"""SELECT rule_kind, id, {_flag_list('', FRAMEWORK)} AS codes FROM (SELECT f.* REPLACE (CASE WHEN id%9=0 THEN threshold_value-12 ELSE threshold_value END AS threshold_value), CASE WHEN d.doc_norm<>'' THEN d.doc_norm||' code 5.1 ' END AS doc_norm FROM framework_rows f LEFT JOIN doc_norms d ON d.archive_file_id=(f.id*7919+CAST(f.state_usps AS BIGINT))%(SELECT count(*) FROM documents)) x""")
 def h3(t):
     r = flags.newest_rules(t.thresholds, t.grants).withColumn("threshold_value", F.when(c("id") % 9 == 0, c("threshold_value") - 12).otherwise(c("threshold_value")))
     d = t.archive_text.select(c("archive_file_id").alias("_s"), F.concat(loose(c("text")), F.lit(" code 5.1 ")).alias("doc_norm"))
-    return _codes(flags.framework_flags(r.withColumn("_s", c("state_usps").cast("bigint")).join(d, "_s", "left")), ["rule_kind", "id"])
+    return _codes(flags.framework_flags(r.withColumn("_s", (c("id") * 7919 + c("state_usps").cast("bigint")) % n_documents(t)).join(d, "_s", "left")), ["rule_kind", "id"])
 
 
 @query("h5_newest_measures", "SELECT id, geoid, election_date FROM top_measures")
@@ -165,10 +166,20 @@ def h8(t):
     return flags.subject_rows(liv, liv.where(c("seq") % 3 == 0).select("id"), ["geoid", "category"]).select("id")
 
 
-@query("h9_excerpts")
+EXCERPT_CHARS, ANCHOR_CHARS = 8000, 160
+_SEPARATOR = "'" + fixed.EXCERPT_SEPARATOR.replace("\n\n", "'||chr(10)||chr(10)||'") + "'"
+
+
+@query("h9_excerpts", f"""WITH hit AS (SELECT doc_id, instr(text, a) AS p, length(a) AS l FROM (SELECT doc_id, text, unnest([trim(substr(text,5000,{ANCHOR_CHARS})), trim(substr(text,12000,40)), 'no such anchor text']) AS a FROM documents) x WHERE length(a)>=3 AND instr(text, a)>0),
+spans AS (SELECT doc_id, CAST(0 AS BIGINT) AS s, least(3000, length(text)) AS e FROM documents UNION ALL SELECT h.doc_id, greatest(0, h.p-1-2000), least(length(d.text), h.p-1+h.l+2000) FROM hit h JOIN documents d USING (doc_id)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans) y),
+merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, g), used AS (SELECT *, coalesce(sum(e-s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM merged),
+cut AS (SELECT doc_id, string_agg(substr(d.text, CAST(s+1 AS BIGINT), CAST(least(e-s, {EXCERPT_CHARS}-before) AS BIGINT)), {_SEPARATOR} ORDER BY s) AS t FROM used JOIN documents d USING (doc_id) WHERE before<{EXCERPT_CHARS} GROUP BY doc_id),
+shown AS (SELECT doc_id, CASE WHEN length(d.text)<={EXCERPT_CHARS} OR NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id=d.doc_id) THEN substr(d.text,1,{EXCERPT_CHARS}) ELSE c.t END AS t FROM documents d JOIN cut c USING (doc_id))
+SELECT doc_id, md5(t) AS excerpt_md5, CAST(length(t) AS INT) AS n FROM shown""")
 def h9(t):
-    d = t.documents.select("doc_id", "text", F.array(F.substring("text", 5000, 60), F.substring("text", 30000, 40), F.lit("no such anchor text")).alias("anchors"))
-    return d.select("doc_id", F.md5(flags.excerpt(c("text"), c("anchors"), 20000)).alias("excerpt_md5"), F.length(flags.excerpt(c("text"), c("anchors"), 20000)).alias("n"))
+    d = t.documents.select("doc_id", "text", F.array(F.substring("text", 5000, ANCHOR_CHARS), F.substring("text", 12000, 40), F.lit("no such anchor text")).alias("anchors"))
+    return d.select("doc_id", flags.excerpt(c("text"), c("anchors"), EXCERPT_CHARS).alias("t")).select("doc_id", F.md5("t").alias("excerpt_md5"), F.length("t").alias("n"))
 
 
 SQL["flag_counts"] = """SELECT geoid, category, count(*) AS n_rows, CAST(sum(length(codes)-length(replace(codes,'!',''))) AS BIGINT) AS n_hard,

@@ -77,9 +77,9 @@ EDGE = f"{NOW} - INTERVAL 48 HOUR"
 
 @query("k5_timeline", f"""SELECT kind, ts, n FROM (
  SELECT CASE WHEN verdict='pass' THEN 'checks_passed' ELSE 'checks_flagged' END AS kind, max(created_at) AS ts, count(*) AS n FROM checks WHERE created_at >= {EDGE} GROUP BY 1
- UNION ALL SELECT * FROM (SELECT 'run_'||status, coalesce(finished_at, started_at), pages_fetched FROM late_runs WHERE started_at >= {EDGE} ORDER BY run_id DESC LIMIT 6) r
+ UNION ALL SELECT 'run_'||status, coalesce(finished_at, started_at), pages_fetched FROM late_runs WHERE started_at >= {EDGE}
  UNION ALL SELECT kind, ts, n_items FROM (SELECT *, unnest(list_filter([CASE WHEN submitted_at IS NOT NULL THEN {{'kind':'batch_sent','ts':submitted_at}} END, CASE WHEN collected_at IS NOT NULL THEN {{'kind':'batch_back','ts':collected_at}} END,
-   CASE WHEN status='failed' THEN {{'kind':'batch_failed','ts':coalesce(collected_at, submitted_at, created_at)}} END], lambda e: e IS NOT NULL), recursive := true) FROM (SELECT * FROM batches WHERE coalesce(collected_at, submitted_at, created_at) >= {EDGE} ORDER BY batch_id DESC LIMIT 6) q) b) u
+   CASE WHEN status='failed' THEN {{'kind':'batch_failed','ts':coalesce(collected_at, submitted_at, created_at)}} END], lambda e: e IS NOT NULL), recursive := true) FROM batches WHERE coalesce(collected_at, submitted_at, created_at) >= {EDGE}) b) u
 ORDER BY ts DESC NULLS LAST, kind LIMIT 8""")
 def k5(t):
     return oplog.timeline(t.checks, t.late_runs, t.batches, AS_OF_TS)
@@ -151,9 +151,28 @@ SELECT geoid, category, query, tier, row_number() OVER (PARTITION BY geoid, cate
   UNION ALL SELECT geoid, category, query, 3, pos FROM query_plan p WHERE NOT EXISTS (SELECT 1 FROM candidates k WHERE k.geoid=p.geoid AND k.category=p.category)) u GROUP BY 1,2,3) x
 QUALIFY rank<=8""")
 def k9(t):
-    lg = t.search_log.withColumn("log_id", F.substring("query", 2, 20).cast("bigint")) \
-        .withColumn("tries", F.when(F.substring("query", 2, 20).cast("bigint") % 5 == 0, 0).otherwise(c("tries")))
-    return oplog.plan_round(t.query_plan, lg)
+    return oplog.plan_round(t.query_plan, _round_log(t))
+
+
+def _round_log(t):
+    n = F.substring("query", 2, 20).cast("bigint")
+    return t.search_log.withColumn("log_id", n).withColumn("tries", F.when(n % 5 == 0, 0).otherwise(c("tries")))
+
+
+#: Excluded wordings: those whose number ends in 3, in every second state.
+EXCLUDED = "(SELECT DISTINCT geoid, category, query FROM query_plan WHERE CAST(substr(query,2) AS BIGINT)%10=3 AND CAST(geoid AS BIGINT)%2=0)"
+
+
+@query("k9_plan_round_excluding", f"""WITH dead AS (SELECT p.geoid, p.category, p.query, p.pos FROM query_plan p WHERE CAST(p.geoid AS BIGINT)%3<>0), live AS (SELECT geoid, category, query, 1 AS tier, pos FROM query_plan WHERE CAST(geoid AS BIGINT)%3=0),
+left_over AS (SELECT * FROM live l WHERE NOT EXISTS (SELECT 1 FROM {EXCLUDED} x WHERE x.geoid=l.geoid AND x.category=l.category AND x.query=l.query)
+ UNION ALL SELECT geoid, category, query, 3, pos FROM dead d WHERE NOT EXISTS (SELECT 1 FROM {EXCLUDED} x WHERE x.geoid=d.geoid AND x.category=d.category))
+SELECT geoid, category, query, tier, row_number() OVER (PARTITION BY geoid, category ORDER BY tier, pos, query) AS rank FROM left_over QUALIFY rank<=8""")
+def k9b(t):
+    """Everything is dead but in every third state, so the last resort shows per item."""
+    plan = t.query_plan
+    log = plan.where(c("geoid").cast("bigint") % 3 != 0).select("geoid", "category", "query", F.lit("built_in").alias("source"), F.lit(1).alias("tries"), F.lit("nothing").alias("last_outcome"), c("pos").alias("log_id"))
+    gone = plan.where((F.substring("query", 2, 20).cast("bigint") % 10 == 3) & (c("geoid").cast("bigint") % 2 == 0)).select("geoid", "category", "query")
+    return oplog.plan_round(plan, log, gone)
 
 
 @query("k10_needs_new_wording", """SELECT w.geoid, w.category, CAST(NOT x.held AS INT) AS nothing_on_file, CAST(coalesce(v.verdict IN ('flag','error'),FALSE) AS INT) AS last_check_failed FROM (
@@ -211,3 +230,8 @@ fold AS (SELECT n, period, usd, usd AS total, CASE WHEN round(usd,6)>=0.9 THEN u
 SELECT period, round(usd,4) AS usd, round(total,4) AS total, stopped FROM fold""")
 def k14(t):
     return oplog.spend_checkpoints(t.usage_priced, 0.9)
+
+
+@query("k14_spend_without_checkpoint", """SELECT period, round(usd,4) AS usd, round(sum(usd) OVER (ORDER BY period),4) AS total, 0 AS stopped FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, sum(usd) AS usd FROM priced GROUP BY 1) x""")
+def k14b(t):
+    return oplog.spend_checkpoints(t.usage_priced, 0.0)

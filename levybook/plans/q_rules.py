@@ -160,11 +160,15 @@ def c4(t):
     return _shown(rules.check(t.grant_checks, rules.grant_rules(), "grant"), ["id"])
 
 
-@query("c5_profile_rules")
+@query("c5_profile_rules", f"""SELECT n_nationkey AS pos, array_to_string(list_filter([
+ CASE WHEN n_nationkey%4=0 THEN 'profile['||CAST(n_nationkey AS VARCHAR)||']: bad_state_code' END,
+ CASE WHEN (CASE WHEN n_nationkey%3=0 THEN 'no such doctrine' ELSE 'dillon' END) NOT IN {_in(fixed.HOME_RULE)} THEN 'profile['||CAST(n_nationkey AS VARCHAR)||']: bad_home_rule_doctrine' END,
+ CASE WHEN n_nationkey*2>25 THEN 'profile['||CAST(n_nationkey AS VARCHAR)||']: local_sales_tax_max_out_of_range' END,
+ CASE WHEN n_nationkey%5=0 THEN 'profile['||CAST(n_nationkey AS VARCHAR)||']: unknown_fields mayor' END], lambda e: e IS NOT NULL), '; ') AS errors FROM nation""")
 def c5(t):
     k = c("n_nationkey")
     p = t.nation.select(k.alias("pos"), F.create_map(
-        F.lit("state_usps"), F.when(k % 4 == 0, "OHIO").otherwise("OH"), F.lit("home_rule_doctrine"), F.when(k % 3 == 0, "none").otherwise("dillon"),
+        F.lit("state_usps"), F.when(k % 4 == 0, "OHIO").otherwise("OH"), F.lit("home_rule_doctrine"), F.when(k % 3 == 0, "no such doctrine").otherwise("dillon"),
         F.lit("local_sales_tax_max"), (k * 2).cast("string"), F.when(k % 5 == 0, "mayor").otherwise("notes"), c("n_name")).alias("profile"))
     return _shown(rules.check_profiles(p), ["pos"])
 

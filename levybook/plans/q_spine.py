@@ -296,5 +296,5 @@ def a14(t):
 @query("a15_ad_hoc_sql", """SELECT j.state_usps, count(*) AS n, round(avg(t.rate_value),6) AS mean_rate FROM facts t JOIN jurisdiction j ON j.geoid=t.geoid WHERE t.status='levied' GROUP BY 1 ORDER BY 1 LIMIT 100""")
 def a15(t):
     return archive.ask(t.spark, {"facts": t.facts, "jurisdiction": t.jurisdiction},
-                       "SELECT j.state_usps, count(*) AS n, round(avg(t.rate_value),6) AS mean_rate FROM facts t JOIN jurisdiction j ON j.geoid=t.geoid "
+                       "SELECT j.state_usps, count(*) AS n, round(avg(t.rate_value),6) AS mean_rate FROM {facts} t JOIN {jurisdiction} j ON j.geoid=t.geoid "
                        "WHERE t.status='levied' GROUP BY 1 ORDER BY 1")

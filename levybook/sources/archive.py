@@ -88,9 +88,12 @@ def write_exports(frames: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").csv(f"{folder}/{name}", header=True)
 
 
-def ask(spark: SparkSession, tables: dict[str, DataFrame], sql: str, limit: int = 100, as_json: bool = False) -> DataFrame:
-    """A read-only query over the tables, capped; optionally one JSON text per row."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(sql).limit(limit)
+def ask(spark: SparkSession, tables: dict[str, DataFrame], sql: str, limit: int | None = None, as_json: bool = False) -> DataFrame:
+    """A read-only query over the tables, named ``{table}`` in it; optionally its first rows, or one JSON text per row.
+
+    The query becomes a subquery, which only a query can be, so a statement that
+    changes anything is refused when it is parsed; no view stays in the session.
+    """
+    out = spark.sql(f"SELECT * FROM (\n{sql}\n) AS asked", **tables)
+    out = out if limit is None else out.limit(limit)
     return out.select(F.to_json(F.struct("*")).alias("json")) if as_json else out

@@ -25,12 +25,16 @@ def iso_from_compact(raw: Column) -> Column:
 
 
 def decode_rate_files(spark: SparkSession, path: str) -> DataFrame:
-    """A2: rate files, plain or zipped (first csv/txt member), as (path, text); one task per file."""
+    """A2: rate files in a folder, plain or zipped (first csv/txt member), as (path, text)."""
+    return first_members(spark.read.format("binaryFile").load(path))
+
+
+def first_members(blobs: DataFrame) -> DataFrame:
+    """A2: (path, content) as (path, text); one file is decoded at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "text": [_first_member(x) for x in b["content"]]})
-    return spark.read.format("binaryFile").load(path).select("path", "content") \
-        .mapInPandas(run, "path string, text string")
+    return blobs.select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def _first_member(blob: bytes) -> str:

@@ -136,8 +136,12 @@ def test_exports(spark, tmp_path):
 
 
 def test_ad_hoc_json(spark):
-    df = archive.ask(spark, {"tt": spark.range(5)}, "SELECT id FROM tt ORDER BY id", 2, as_json=True)
+    df = archive.ask(spark, {"tt": spark.range(5)}, "SELECT id FROM {tt} ORDER BY id", 2, as_json=True)
     assert [r.json for r in df.collect()] == ['{"id":0}', '{"id":1}']
+    for statement in ("DROP TABLE x", "INSERT INTO {tt} VALUES (1)", "SELECT 1) AS a; DROP TABLE x --"):
+        with pytest.raises(Exception):
+            archive.ask(spark, {"tt": spark.range(5)}, statement)
+    assert not spark.catalog.listTables()
 
 
 def test_event_edges(spark):
