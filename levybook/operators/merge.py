@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -144,39 +144,54 @@ def margin(m: DataFrame) -> DataFrame:
 
 
 RULE_SCOPE = ["state_usps", "measure_class", "jurisdiction_kind", "instrument_code", "purpose_restriction"]
-_FOREVER = "~"  # sorts after every date text
+#: Levels of day blocks: day numbers have 23 bits.
+LEVELS = 23
 
 
-def rule_timeline(rules: DataFrame) -> DataFrame:
-    """For each scope, which rule is in force from which day on (``at``), until the next row.
+def day_number(text: Column, missing: int) -> Column:
+    """A date text as a whole number in text order; years and months alone sort before their days, anything else is ``missing``."""
+    part = lambda i: F.coalesce(F.try_element_at(F.split(text, "-"), F.lit(i)), F.lit("0")).try_cast("long")
+    shaped = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$")
+    return F.coalesce(F.when(shaped, part(1) * 512 + part(2) * 32 + part(3)), F.lit(missing).cast("long"))
 
-    Of the rules covering a day the latest start wins, then the highest id; a gap
-    has a null winner.  Rules are reduced to one per scope and validity range
-    first, so the work per scope depends on the calendar, not on the rule count.
-    """
+
+def day_blocks(first: Column, last: Column) -> Column:
+    """The range of days as blocks (level, i) of 2^level days that start at i * 2^level: two a level at most."""
+    block = "array<struct<level:int,i:bigint>>"
+    none = F.array().cast(block)
+    start = F.struct(first.alias("a"), last.alias("b"), none.alias("out"))
+
+    def step(acc, level):
+        live = acc["a"] <= acc["b"]
+        left, right = live & (acc["a"] % 2 == 1), live & (acc["b"] % 2 == 0)
+        one = lambda x: F.array(F.struct(level.alias("level"), x.alias("i"))).cast(block)
+        # an empty range stays empty: halving it could make it look full again
+        return F.struct(F.when(live, F.shiftright(acc["a"] + left.cast("long"), 1)).otherwise(F.lit(1).cast("long")).alias("a"),
+                        F.when(live, F.shiftright(acc["b"] - right.cast("long"), 1)).otherwise(F.lit(0).cast("long")).alias("b"),
+                        F.concat(acc["out"], F.when(left, one(acc["a"])).otherwise(none), F.when(right, one(acc["b"])).otherwise(none)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["out"]
+
+
+def rules_by_block(rules: DataFrame) -> DataFrame:
+    """For each scope and block of days, the rule that covers the whole block and wins there: the latest start, then the highest id."""
     c = F.col
     key = [F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(RULE_SCOPE)]
     ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
-    r = rules.select(*key, F.coalesce("effective_from", F.lit("0000")).alias("start"),
-                     F.coalesce("effective_to", F.lit(_FOREVER)).alias("end"), "id", "threshold_value", "threshold_basis")
+    r = rules.select(*key, day_number(c("effective_from"), 0).alias("start"), day_number(c("effective_to"), (1 << LEVELS) - 1).alias("end"),
+                     "id", "threshold_value", "threshold_basis")
     r = latest(r, [*ks, "start", "end"], [c("id")], ["id", "threshold_value", "threshold_basis"])
-    # The day after an inclusive end is written as the end plus a mark that sorts right behind it.
-    at = F.explode(F.array_compact(F.array(c("start"), F.when(c("end") != _FOREVER, F.concat("end", F.lit(_FOREVER))))))
-    cuts = r.select(*ks, at.alias("at")).distinct()
-    inside = (c("start") <= c("at")) & (c("end") >= c("at"))
-    span = cuts.join(r, ks).withColumn("_pos", F.when(inside, F.struct("start", "id")))
-    win = F.max_by(F.struct("id", "threshold_value", "threshold_basis"), "_pos")
-    return span.groupBy(*ks, "at").agg(win.alias("win"))
+    blocks = r.withColumn("block", F.explode(day_blocks(c("start"), c("end"))))
+    return latest(blocks, [*ks, "block"], [c("start"), c("id")], ["start", "id", "threshold_value", "threshold_basis"])
 
 
 def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule in force on each measure's election day, most specific first.
 
     Own kind beats statewide, own instrument beats general, own purpose beats
-    'either' beats none.  A measure asks one question per scope it may fall under
-    (at most twelve) and looks its day up in that scope's timeline, an array with
-    at most two entries per calendar day.  So measures meet scopes by equality,
-    never rules by range, and equal questions are asked once.
+    'either' beats none.  A rule's days are written as few blocks of days, two a level
+    at most; a day lies in one block a level.  So days meet rules by equality, never by
+    range, whatever the number of rules in a scope, and equal questions are asked once.
     """
     c = F.col
     own = places.select("geoid", c("state_usps").alias("_s"), c("kind").alias("_kd"))
@@ -185,7 +200,6 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
         F.when(c("purpose_type").isin("general", "special"), c("purpose_type")).otherwise("").alias("_pu"),
         c("election_date").alias("_day"))
     q = ["_s", "_mc", "_kd", "_in", "_pu", "_day"]
-    lines = rule_timeline(rules)
     ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
     none = F.lit("")
     asks = asked.where(c("_s").isNotNull() & c("_day").isNotNull()).select(*q).distinct()
@@ -196,10 +210,11 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
     rank = (F.when(c("k2") != "", 100).otherwise(0) + F.when(c("k3") != "", 10).otherwise(0)
             + F.when(c("k4") == "either", 1).when(c("k4") != "", 2).otherwise(0))
     asks = asks.select(c("_s").alias("k0"), c("_mc").alias("k1"), "k2", "k3", "k4", rank.alias("rank"), *q)
-    line = lines.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("at", "win"))).alias("line"))
-    held = F.try_element_at(F.filter("line", lambda x: x["at"] <= c("_day")), F.lit(-1))["win"]
-    hits = asks.join(line, ks).select(*q, "rank", held.alias("held")).where(c("held").isNotNull())
-    best = latest(hits, q, [c("rank")], ["held"])
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda x: F.struct(
+        x.alias("level"), F.call_function("shiftright", day_number(c("_day"), 0), x).alias("i")))
+    hits = asks.withColumn("block", F.explode(levels)).join(rules_by_block(rules), [*ks, "block"]) \
+        .withColumn("held", F.struct("id", "threshold_value", "threshold_basis"))
+    best = latest(hits, q, [c("rank"), c("start"), c("id")], ["held"])
     out = asked.join(best, q, "left")
     return out.select(*measures.columns, c("held.id").alias("rule_id"), c("held.threshold_value").alias("rule_value"),
                       c("held.threshold_basis").alias("rule_basis"))
