@@ -24,7 +24,7 @@ def iso_from_compact(raw: Column) -> Column:
         F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))))
 
 
-def decode_rate_files(spark: SparkSession, path: str) -> DataFrame:
+def decode_rate_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A2: rate files in a folder, plain or zipped (first csv/txt member), as (path, text)."""
     return first_members(spark.read.format("binaryFile").load(path))
 

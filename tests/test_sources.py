@@ -67,6 +67,16 @@ def test_rate_load(spark, tmp_path, places):
     assert ev == {("39061", "new", "2015-01-01"), ("39061", "increase", "2020-01-01"), ("3915000", "new", "2021-01-01")}
     assert {(r.raw_key, r.reason) for r in out.collect()} == {
         ("39/45/39", "state_authority"), ("39/63/70010", "special_district"), ("39/05/12345", "township_without_county"), ("39777", "no_such_place")}
+    assert [p.rsplit("/", 1)[1] for p in load.newest_rate_files(spark, str(tmp_path))] == ["OHR2026Q3x.csv"]
+    held = spark.createDataFrame([("old", "39061", "sales_use", f["39061"].instrument_code, "2001-01-01", None, 1.0, "bulk_import", None)],
+                                 "id string, geoid string, category string, instrument_code string, effective_date string, fiscal_year long, rate_value double, extraction_method string, superseded_by string")
+    cited = spark.createDataFrame([], "claim_table string, claim_id string, source_id string, role string, observed_value string, agrees int")
+    known = spark.createDataFrame([("39061", "sales_use", f["39061"].instrument_code, "new", "2015-01-01")], "geoid string, category string, instrument_code string, change_type string, effective_period string")
+    got = load.store_rates(found, events, out, held, cited, known, places)
+    live = {r.geoid: r.rate_value for r in got.facts.collect() if r.superseded_by is None}
+    assert live == {"39061": 1.5, "3915000": 1.75} and {r.id for r in got.facts.collect() if r.superseded_by} == {"old"}
+    assert {(r.geoid, r.status) for r in got.items.collect()} == {("39061", "complete"), ("3915000", "complete")}
+    assert got.citations.count() == 2 and {(r.geoid, r.change_type) for r in got.events.collect()} == {("39061", "increase"), ("3915000", "new")}
 
 
 def test_finance_files(spark, tmp_path, places):
