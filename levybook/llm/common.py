@@ -54,19 +54,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept for the words met so far; emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), U64, len(ws))
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    from pandas.util import hash_array
+    cells = np.empty(len(ws), object)
+    cells[:] = ws
+    return hash_array(cells, categorize=False) if ws else np.zeros(0, np.uint64)

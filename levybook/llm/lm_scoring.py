@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, bounded_batches, mix, stored, words
+from .common import U64, bounded_batches, mix, stored, word_hashes, words
 
 #: Bytes of text in a bucket on average, and buckets to each share of the hash range.
 BUCKET_BYTES, BUCKETS_A_SHARE = 6 << 20, 2
@@ -32,13 +32,14 @@ BINS, FINENESS, ROUNDS = 256, 8, 100
 class Grams:
     """Tokens of some texts: words and ends, their pairs, and the distinct ones of both."""
 
-    def __init__(self, texts: list[str | None], hashes: WordHashes):
-        parts = []
-        for t in texts:
-            parts += [hashes.of(words(t)), np.array([END])]
-        self.sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
-        token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    def __init__(self, texts: list[str | None]):
+        of = [words(t) for t in texts]
+        self.sizes = np.array([len(ws) + 1 for ws in of], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        token = np.full(self.sizes.sum(), END)
+        inner = np.ones(len(token), bool)
+        inner[self.starts + self.sizes - 1] = False
+        token[inner] = word_hashes([w for ws in of for w in ws])
         before = np.concatenate((np.array([BEGIN]), token[:-1]))
         before[self.starts] = BEGIN
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
@@ -48,10 +49,13 @@ class Grams:
             self.distinct.append(u)
             self.at.append(at)
 
-    def own(self, n: int) -> np.ndarray:
-        """How often each token's word (n = 0) or pair (n = 1) occurs in its own text."""
-        _, at, count = np.unique(self.doc * (len(self.distinct[n]) + 1) + self.at[n], return_inverse=True, return_counts=True)
-        return count[at]
+    def own(self, n: int, total: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """How often each used token's word (n = 0) or pair (n = 1) occurs in its own text; once where it occurs once in all."""
+        out = np.ones(len(total))
+        many = np.flatnonzero(use & (total > 1))
+        _, at, count = np.unique(self.doc[many] * (len(self.distinct[n]) + 1) + self.at[n][many], return_inverse=True, return_counts=True)
+        out[many] = count[at]
+        return out
 
     def after(self, values: np.ndarray, first: float) -> np.ndarray:
         """Each token's predecessor's value; ``first`` at the start of a text."""
@@ -156,7 +160,7 @@ def lm_scores(docs: DataFrame, train=None) -> DataFrame:
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
 
     def ask(b: pd.DataFrame) -> pd.DataFrame:
-        return asked(int(b["bucket"].iloc[0]), Grams(b["text"].tolist(), WordHashes()), b["train"].to_numpy(bool), shares)
+        return asked(int(b["bucket"].iloc[0]), Grams(b["text"].tolist()), b["train"].to_numpy(bool), shares)
 
     requests = dealt.groupBy("bucket").applyInPandas(ask, "kind long, share long, bucket long, keys binary, counts binary")
     answers = stored(requests.groupBy("kind", "share").applyInPandas(answered, "bucket long, kind long, share long, totals binary, kinds long, seen long"), "gram-counts")
@@ -165,12 +169,13 @@ def lm_scores(docs: DataFrame, train=None) -> DataFrame:
     together = dealt.groupBy("bucket").cogroup(answers.drop("kinds", "seen").groupBy("bucket"))
 
     def learn(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        g, (c1, c2) = Grams(b["text"].tolist(), WordHashes()), totals(a)
-        word, own = c1[g.at[0]], g.own(0)
-        context = g.after(word - own, max(train_docs - 1, 0))
-        p2 = (c2[g.at[1]] - g.own(1)) / np.maximum(context, 1)
-        p1 = (word - own) / np.maximum(tokens - np.repeat(g.sizes, g.sizes), 1)
+        g, (c1, c2) = Grams(b["text"].tolist()), totals(a)
         use = np.repeat(b["train"].to_numpy(bool), g.sizes)
+        word, pair = c1[g.at[0]], c2[g.at[1]]
+        word_left = word - g.own(0, word, use)
+        context = g.after(word_left, max(train_docs - 1, 0))
+        p2 = (pair - g.own(1, pair, use)) / np.maximum(context, 1)
+        p1 = word_left / np.maximum(tokens - np.repeat(g.sizes, g.sizes), 1)
         code, n = np.unique(((level(context) * BINS + quantised(p2)) * BINS + quantised(p1))[use], return_counts=True)
         return pd.DataFrame({"level": code // (BINS * BINS), "pair": code // BINS % BINS, "word": code % BINS, "n": n})
 
@@ -180,7 +185,7 @@ def lm_scores(docs: DataFrame, train=None) -> DataFrame:
     pair_weight = np.array([0.0] + [by_level.get(k, by_level.get(max((j for j in by_level if j < k), default=0), 0.0)) for k in range(1, 66)])
 
     def score(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        g, (c1, c2) = Grams(b["text"].tolist(), WordHashes()), totals(a)
+        g, (c1, c2) = Grams(b["text"].tolist()), totals(a)
         word = c1[g.at[0]]
         context = g.after(word, train_docs)
         w = pair_weight[np.minimum(level(context), 65)]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, bounded_batches, mix, stored, words
+from .common import U64, bounded_batches, mix, stored, word_hashes, words
 from .components import components
 
 #: Bins of a sketch and bins of a band: a pair at similarity 0.85 shares no band with probability 7e-9.
@@ -30,9 +30,9 @@ SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15
 FRACTION = U64((1 << 40) - 1)
 
 
-def shingle_hashes(ws: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
+def shingle_hashes(ws: list[bytes], size: int) -> np.ndarray:
     """Distinct hashes of runs of ``size`` words; the whole sequence where there are fewer, none without words."""
-    h = hashes.of(ws)
+    h = word_hashes(ws)
     if not len(h):
         return h
     if len(h) < size:
@@ -78,11 +78,10 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, same, bins, bands): ``same`` is equal for equal sets, ``bins`` the sketch in two bytes a bin."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for t in b["text"]:
-                s = shingle_hashes(words(t), hashes, size)
+                s = shingle_hashes(words(t), size)
                 if len(s):
                     sk = sketch(s)
                     same = np.array([np.bitwise_xor.reduce(mix(s + SEEDS[0])), mix(s ^ SEEDS[1]).sum(dtype=np.uint64)], np.uint64).tobytes()
@@ -141,9 +140,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 def set_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): the sorted shingle hashes of the documents in ``ids``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [shingle_hashes(words(t), hashes, size).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [shingle_hashes(words(t), size).tobytes() for t in b["text"]]})
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
     return texts.mapInPandas(run, "doc_id long, shingles binary")
 

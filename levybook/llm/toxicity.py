@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, bounded_batches, mix
+from .common import U64, bounded_batches, mix, word_hashes
 from .language_id import folded
 
 #: Training rows of each label at most; a documented bound of the fitted sample.
@@ -27,9 +27,9 @@ MOST_SHARE = 10.0
 KINDS = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def features(text: str | None, hashes: WordHashes) -> np.ndarray:
+def features(text: str | None) -> np.ndarray:
     """Hashes of the text's words, word pairs and skip pairs, with repeats."""
-    h = hashes.of(folded(text).split())
+    h = word_hashes(folded(text).split())
     return np.concatenate([mix(h * KINDS[0]), mix(h[:-1] * KINDS[1] + h[1:] * KINDS[2]), mix(h[:-2] * KINDS[3] + h[2:] * KINDS[4])])
 
 
@@ -54,8 +54,7 @@ class Ftrl:
 
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature hashes in order, their weights, and the intercept."""
-    hashes = WordHashes()
-    docs = [np.unique(features(t, hashes)) for t in texts]
+    docs = [np.unique(features(t)) for t in texts]
     kinds, counts = np.unique(np.concatenate(docs) if docs else np.zeros(0, np.uint64), return_counts=True)
     kinds = kinds[counts >= LEAST_DOCS]
     places = []
@@ -82,10 +81,9 @@ class Scorer:
         self.kinds, self.weights, self.intercept = kinds, weights, intercept
         self.marked = np.zeros(1 << 20, bool)   # most features are ruled out by their first 20 bits
         self.marked[(kinds >> U64(44)).astype(np.int64)] = True
-        self.hashes = WordHashes()
 
     def score(self, text: str | None) -> float:
-        f = features(text, self.hashes)
+        f = features(text)
         f = np.unique(f[self.marked[(f >> U64(44)).astype(np.int64)]])
         at = np.searchsorted(self.kinds, f)
         hit = at < len(self.kinds)
