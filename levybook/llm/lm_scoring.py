@@ -69,17 +69,17 @@ def asked(bucket: int, g: Grams, train: np.ndarray, shares: int) -> pd.DataFrame
     rows = []
     weight = np.repeat(train, g.sizes)
     for n in (0, 1):
-        counts = np.bincount(g.at[n], weight, len(g.distinct[n])).astype("<u4")
+        counts = np.bincount(g.at[n], weight, len(g.distinct[n])).astype("<u8")
         share = ((g.distinct[n] >> U64(32)) * U64(shares) >> U64(32)).astype(np.int64)
         cuts = np.searchsorted(share, np.arange(shares + 1))
-        rows += [(n, s, bucket, g.distinct[n][a:b].astype("<u8").tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows += [(n, s, bucket, g.distinct[n][a:b].astype("<u8").tobytes(), packed(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pd.DataFrame(rows, columns=["kind", "share", "bucket", "keys", "counts"])
 
 
 def answered(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals of one share of one kind, for each bucket in the order of its hashes; the first row also counts the kinds seen."""
     keys = [np.frombuffer(k, "<u8") for k in rows["keys"]]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"]]).astype(np.float64)
+    counts = np.concatenate([unpacked(c) for c in rows["counts"]])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, counts)
     cuts = np.cumsum([0, *map(len, keys)])
