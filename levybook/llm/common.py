@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 500, megabytes: int = 8) -> None:
     """Bounds what one Arrow batch brings into a Python worker; long texts make large rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

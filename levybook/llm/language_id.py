@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Longest context in bytes.
-ORDER = 4
+ORDER = 3
 #: Training documents of each language at most; a documented bound of the fitted sample.
 TRAIN_DOCS = 500
 #: A-Z become a-z; control characters, digits and ASCII punctuation become spaces.

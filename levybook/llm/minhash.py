@@ -113,7 +113,6 @@ def agreement(threshold: float) -> int:
     return int(BINS * threshold - SLACK * (BINS * threshold * (1 - threshold)) ** 0.5)
 
 
-@lru_cache(maxsize=64)
 def shingle_set(text: str, size: int) -> frozenset:
     ws = words(text)
     return frozenset(zip(*(ws[k:] for k in range(size)))) if len(ws) >= size else frozenset([tuple(ws)])
@@ -125,9 +124,10 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi"), "pair-texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recent = lru_cache(maxsize=16)(shingle_set)   # a head meets many; it ends with the task
         for b in batches:
             def linked(p: str, q: str) -> bool:
-                s, t = shingle_set(p, size), shingle_set(q, size)
+                s, t = recent(p, size), recent(q, size)
                 both = len(s & t)
                 return 100 * both >= percent * (len(s) + len(t) - both)
             yield b.loc[[linked(p, q) for p, q in zip(b["ta"], b["tb"])], ["a", "b"]]

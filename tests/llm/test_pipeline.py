@@ -36,7 +36,7 @@ def brute_pipeline():
     docs = []
     for d, t, _ in rows():
         if t and any(c.isalpha() for c in t):
-            bits = sorted(code_length(train[lang], t, 4, set()) for lang in train)
+            bits = sorted(code_length(train[lang], t, 3, set()) for lang in train)
             if 1 / (1 + 2 ** -(bits[1] - bits[0])) >= 0.5:
                 docs.append((d, t))
     kept = {d for d, _, root in brute_groups(docs, 5, 80) if d == root}
