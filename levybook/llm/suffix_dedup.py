@@ -25,7 +25,7 @@ from .common import U64, bounded_batches, mix, stored
 LENGTH, PIECE = 100, 36
 LEFT = LENGTH - PIECE
 #: Suffixes of one run and of one front-coded chunk at most, and bytes of chunks that one merge task takes on average.
-RUN, CHUNK, MERGE_BYTES = 200_000, 2048, 12 << 20
+RUN, CHUNK, MERGE_BYTES = 100_000, 2048, 12 << 20
 #: Suffixes of one judged batch, about.
 BATCH = 20_000
 #: Bits for a place in a text; the text's variant stands above them.
