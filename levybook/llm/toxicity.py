@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         yield pd.DataFrame({"kind": kinds.astype(np.int64), "weight": weights, "intercept": False})
         yield pd.DataFrame({"kind": [0], "weight": [intercept], "intercept": [True]})
 
-    got = sample.coalesce(1).mapInPandas(learn, "kind long, weight double, intercept boolean").collect()
+    got = sample.repartition(1).mapInPandas(learn, "kind long, weight double, intercept boolean").collect()
     rows = sorted((np.uint64(r["kind"] & 0xFFFFFFFFFFFFFFFF), r["weight"]) for r in got if not r["intercept"])
     return (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.float64),
             sum(r["weight"] for r in got if r["intercept"]))
