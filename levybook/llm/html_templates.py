@@ -1,8 +1,8 @@
 """Main text of web pages by removing the template of their site.
 
 Every block element's subtree (tags, attributes, text) is hashed; Spark counts in
-how many pages of a host each hash occurs; subtrees that recur across many pages of
-their host are its template and are deleted, besides the elements that HTML itself
+how many different pages of a host each hash occurs; subtrees that recur across many
+of them are the host's template and are deleted, besides the elements that HTML itself
 marks as not being the article (navigation, forms, scripts, notices and so on).
 """
 
@@ -110,52 +110,85 @@ def not_article(node: Node) -> bool:
     return "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", node.attrs).lower().split()
 
 
-def subtree_hashes(source: str | None) -> list[int]:
-    """Distinct hashes of the page's block subtrees that hold text, the whole page's own chain aside."""
+def nodes(root: Node) -> list[Node]:
+    """All elements, parents before children; iterative, as pages may be nested deeper than Python's stack."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo.extend(k for k in n.kids if isinstance(k, Node))
+    return order
+
+
+def signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >= 1 << 63 else digest
+
+
+def block_digests(order: list[Node]) -> dict[int, int]:
+    """By node: the hash of every block subtree. An article, and what an article is in, has none: it is never cut as a whole."""
     from xxhash import xxh3_64_intdigest
-    found: set[int] = set()
-
-    def visit(node: Node) -> str:
-        # iterative post-order: pages may be nested deeper than Python's stack
-        order, todo = [], [node]
-        while todo:
-            n = todo.pop()
-            order.append(n)
-            todo.extend(k for k in n.kids if isinstance(k, Node))
-        sign: dict[int, str] = {}
-        for n in reversed(order):
-            text = "\x01".join(sign[id(k)] if isinstance(k, Node) else " ".join(k.split()) for k in n.kids)
-            digest = xxh3_64_intdigest(f"{n.tag}\x00{n.attrs}\x00{text}")
-            sign[id(n)] = f"{digest:x}"
-            if n.tag in BLOCK and n.kids and n.tag not in ("html", "body"):
-                found.add(digest - (1 << 64) if digest >= 1 << 63 else digest)
-        return sign[id(node)]
-
-    visit(parse(source or ""))
-    return sorted(found)
+    sign: dict[int, str] = {}
+    around: set[int] = set()
+    found: dict[int, int] = {}
+    for n in reversed(order):
+        text = "\x01".join(sign[id(k)] if isinstance(k, Node) else " ".join(k.split()) for k in n.kids)
+        digest = xxh3_64_intdigest(f"{n.tag}\x00{n.attrs}\x00{text}")
+        sign[id(n)] = f"{digest:x}"
+        if n.tag in ("article", "main") or any(id(k) in around for k in n.kids):
+            around.add(id(n))
+        elif n.tag in BLOCK and n.tag not in ("html", "body"):
+            found[id(n)] = signed(digest)
+    return found
+
+
+def marked(n: Node, inside: bool) -> bool:
+    """Whether the element, inside an article or not, goes by what HTML and its own names say."""
+    return n.tag == "header" and not inside or (n.closed or n.tag in VOID or n.tag in ("button", "label", "head")) and not_article(n)
+
+
+def subtree_hashes(source: str | None) -> tuple[int, list[tuple[int, int]]]:
+    """The page's body and its distinct (subtree, unit): hashes of block subtrees that hold text.
+
+    Body is a hash of the words of the page's articles, or of the page where it has none;
+    unit that of the innermost article around the subtree, or else the body. Attributes
+    and marked parts do not count in them, so copies of an article have the same.
+    """
+    from xxhash import xxh3_64_intdigest
+    root = parse(source or "")
+    order = nodes(root)
+    gone: set[int] = set()
+    article: dict[int, Node | None] = {id(root): None}
+    tops: list[Node] = []
+    for n in order:
+        own = n.tag in ("article", "main")
+        if own and article[id(n)] is None and id(n) not in gone:
+            tops.append(n)
+        for k in n.kids:
+            if isinstance(k, Node):
+                article[id(k)] = n if own else article[id(n)]
+                if id(n) in gone or marked(k, article[id(k)] is not None):
+                    gone.add(id(k))
+    words: dict[int, str] = {}
+    for n in reversed(order):
+        parts = ["" if id(k) in gone else words[id(k)] if isinstance(k, Node) else " ".join(k.split()) for k in n.kids]
+        text = "\x01".join(p for p in parts if p)
+        words[id(n)] = f"{xxh3_64_intdigest(text):x}" if text else ""
+    whole = "\x01".join(sorted({words[id(n)] for n in tops} - {""})) or words[id(root)]
+    body = signed(xxh3_64_intdigest(whole))
+    unit = {id(n): signed(int(words[id(n)], 16)) if words[id(n)] else body for n in set(article.values()) - {None}}
+    digests = block_digests(order)
+    return body, sorted({(digests[id(n)], unit[id(article[id(n)])] if article[id(n)] else body) for n in order if n.kids and id(n) in digests}, key=lambda x: (x[1], x[0]))
 
 
 def main_text(source: str | None, template: set[int]) -> str:
-    """Blocks of the page in order, one a line, without ``template`` subtrees and without what is no article."""
-    from xxhash import xxh3_64_intdigest
+    """Blocks of the page in order, one a line, without ``template`` subtrees and without what is no article.
+
+    Where nothing else is left, the template subtrees stay."""
     root = parse(source or "")
-    order, todo, sign, cut = [], [root], {}, set()
-    while todo:
-        n = todo.pop()
-        order.append(n)
-        todo.extend(k for k in n.kids if isinstance(k, Node))
-    if template:
-        for n in reversed(order):
-            text = "\x01".join(sign[id(k)] if isinstance(k, Node) else " ".join(k.split()) for k in n.kids)
-            digest = xxh3_64_intdigest(f"{n.tag}\x00{n.attrs}\x00{text}")
-            sign[id(n)] = f"{digest:x}"
-            if n.tag in BLOCK and (digest - (1 << 64) if digest >= 1 << 63 else digest) in template:
-                cut.add(id(n))
+    cut = {n for n, digest in block_digests(nodes(root)).items() if digest in template} if template else set()
 
     def dropped(n: Node, inside: bool) -> bool:
-        if id(n) in cut or n.tag == "header" and not inside:
-            return True
-        return (n.closed or n.tag in VOID or n.tag in ("button", "label", "head")) and not_article(n)
+        return id(n) in cut or marked(n, inside)
 
     blocks: list[str] = []
 
@@ -192,17 +225,20 @@ def main_text(source: str | None, template: set[int]) -> str:
     todo = [root]
     while todo:
         n = todo.pop()
-        if n is not root and dropped(n, False):
+        if n is not root and marked(n, False):
             continue
         if n.tag in ("article", "main"):
             tops.append(n)
         else:
             todo.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-    for top in tops:
-        gather(top, True)
-    if not blocks:
-        gather(root, False)
-    return "\n".join(blocks)
+    templates = cut
+    for starts in (tops, [root]):
+        for cut in (templates, set()) if templates else (set(),):
+            for top in starts:
+                gather(top, top is not root)
+            if blocks:
+                return "\n".join(blocks)
+    return ""
 
 
 def host_of(url):
@@ -213,9 +249,11 @@ def host_of(url):
 def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    A subtree is template when at least ``min_pages`` pages and ``min_share`` of all
-    pages of its host hold it. Null or empty html gives the empty text; pages without
-    a host form one host of their own; repeated rows count as pages and are returned
+    A subtree is template when at least ``min_pages`` different pages and ``min_share``
+    of all different pages of its host hold it. Pages with the same article count once,
+    whatever is around it, and a subtree counts once for all copies of the article that
+    it is in; articles themselves are never template. Null or empty html gives the empty
+    text; pages without a host form one host of their own; repeated rows are returned
     each; other columns are ignored.
     """
     bounded_batches(pages.sparkSession, rows=500)
@@ -224,13 +262,17 @@ def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) ->
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_key": b["page_key"], "host": b["host"], "hashes": [subtree_hashes(h) for h in b["html"]]})
-
-    seen = stored(keyed.select("page_key", "host", "html").mapInPandas(hashes, "page_key long, host string, hashes array<long>"), "subtrees")
-    exploded = seen.select("page_key", "host", F.explode("hashes").alias("subtree"))
-    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    often = exploded.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    template = often.join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(min_share)).select("host", "subtree")
+            found = [subtree_hashes(h) for h in b["html"]]
+            yield pd.DataFrame({"page_key": b["page_key"], "host": b["host"], "body": [body for body, _ in found],
+                                "hashes": [[h for h, _ in x] for _, x in found], "units": [[u for _, u in x] for _, x in found]})
+
+    seen = stored(keyed.select("page_key", "host", "html").mapInPandas(hashes, "page_key long, host string, body long, hashes array<long>, units array<long>"), "subtrees")
+    exploded = seen.select("page_key", "host", "body", F.inline(F.arrays_zip(F.col("hashes").alias("subtree"), F.col("units").alias("unit"))))
+    sizes = seen.groupBy("host").agg(F.count_distinct("body").alias("host_pages"))
+    # most subtrees occur once; only those on enough rows are counted over different pages
+    often = stored(exploded.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"), "frequent-subtrees")
+    counted = exploded.join(often, ["host", "subtree"], "left_semi").groupBy("host", "subtree").agg(F.least(F.count_distinct("body"), F.count_distinct("unit")).alias("n"))
+    template = stored(counted.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(min_share)).select("host", "subtree"), "templates")
     hits = stored(exploded.join(template, ["host", "subtree"], "left_semi").groupBy("page_key").agg(F.collect_set("subtree").alias("template")), "template-hits")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,6 +35,24 @@ def test_template_of_a_host(spark):
     assert html_templates.page_texts(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """30 copies of one page on one host, with other surroundings and without a URL, keep the article; what different pages share still goes."""
+    copy = f"<h1>{prose(1, 5)}</h1><p>{prose(2, 30)}</p><div><p>{prose(3, 20)}</p></div>"
+    text = f"{prose(1, 5)}\n{prose(2, 30)}\n{prose(3, 20)}"
+    box = "<div><p>Call us.</p></div>"
+    rows = [(i, "https://a.example/p", f"<body><nav>{prose(i, 3)}</nav><div><article data-crawl={i}>{box}{copy}</article></div></body>", text) for i in range(30)]
+    rows += [(100 + i, "https://a.example/p", f"<body><article>{box}<p>{prose(40 + i, 12)}</p></article></body>", prose(40 + i, 12)) for i in range(12)]
+    rows += [(200 + i, None, f"<body><main>{copy}</main></body>", text) for i in range(30)]
+    rows += [(300 + i, "https://b.example/p", f"<body>{copy}</body>", text) for i in range(30)]
+    rows += [(400 + i, "https://c.example/p", f"<body><div><article>{copy}</article></div><article><p>{prose(i, 6)}</p></article></body>", f"{text}\n{prose(i, 6)}") for i in range(30)]
+    rows += [(500 + i, "https://d.example/p", f"<body><article class=k{i}>{box}</article><span>{i}</span></body>", "Call us.") for i in range(30)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_templates.page_texts(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    everything = {h for r in rows for h, _ in html_templates.subtree_hashes(r[2])[1]}
+    assert html_templates.main_text(rows[0][2], everything) == f"Call us.\n{text}"
+
+
 def test_pages_keep_the_article(spark):
     """The test tables' articles come back whole: h1 and paragraphs, character references decoded."""
     import html
