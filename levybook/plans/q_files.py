@@ -37,6 +37,23 @@ def a1(t):
     return files.parse_rate_lines(t.rate_text.select("path", text.alias("text")))
 
 
+@query("a1_rate_file_lines", """SELECT geoid||'/'||instrument_code||'/'||CAST((seq-1)//50 AS VARCHAR) AS path, (seq-1)%50+1 AS line_no, st AS state_fips, CASE WHEN seq%3=0 THEN '01' ELSE '00' END AS jtype, code AS jfips,
+ rate_pct/100.0::DOUBLE AS rate_intra, rate_pct/100.0::DOUBLE AS rate_inter, CAST(0 AS DOUBLE) AS rate_food, substr(day,1,4)||'-'||substr(day,5,2)||'-'||substr(day,7,2) AS begin_date,
+ CASE WHEN seq%2=0 THEN '9999-12-31' ELSE '2001-12-31' END AS end_date, seq%2=0 AS open_ended
+FROM (SELECT geoid, instrument_code, seq, substr(geoid,1,2) AS st, substr(geoid,3) AS code, rate_pct, replace(effective_date,'-','') AS day FROM rate_history) x WHERE seq%17<>0 AND seq%19<>0""")
+def a1_files(t):
+    """Files of a header and up to 50 lines, among them blank and short ones, which count as lines."""
+    s = c("seq")
+    rate = F.format_string("%.2f", c("rate_pct") / 100.0)
+    row = F.concat_ws(",", F.substring("geoid", 1, 2), F.when(s % 3 == 0, "1").otherwise("0"), F.substring("geoid", 3, 10), rate, rate, F.lit("0"), F.lit(""),
+                      F.replace("effective_date", F.lit("-"), F.lit("")), F.when(s % 2 == 0, "99991231").otherwise("20011231"))
+    line = F.when(s % 17 == 0, "").when(s % 19 == 0, "1,0,5").otherwise(row)
+    path = F.concat_ws("/", "geoid", "instrument_code", F.floor((s - 1) / 50).cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"])
+    return files.parse_rate_lines(t.rate_history.select(path.alias("path"), "seq", line.alias("line")).groupBy("path")
+                                  .agg(F.concat_ws("\n", F.lit("State,type,code"), F.array_join(lines, "\n")).alias("text")))
+
+
 @query("a4_finance_lines", """SELECT lpad(CAST(line_no AS VARCHAR),12,'0') AS unit_id, substr(lpad(CAST(line_no AS VARCHAR),12,'0'),1,2) AS id_state, substr(lpad(CAST(line_no AS VARCHAR),12,'0'),3,1) AS unit_type, item,
  CASE WHEN line_no%9=0 THEN 0 ELSE amount_thousands END AS amount_thousands, CAST(fiscal_year AS VARCHAR) AS year, 'I' AS imputed FROM revenue_base WHERE line_no%7<>0 AND line_no%8<>0""")
 def a4(t):

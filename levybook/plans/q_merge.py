@@ -225,3 +225,10 @@ def d15b(t):
     b = t.base_rows.select("geoid", "base_type", "base_value", "vintage", "fiscal_year")
     old = b.where(c("fiscal_year").isin(1996, 1997)).withColumn("vintage", F.when(c("fiscal_year") == 1996, "v0").otherwise("v1"))
     return merge.replace_vintage(old, b.where(c("fiscal_year") == 1998), "v1").drop("fiscal_year")
+
+
+@query("d15_replace_vintage_all", "SELECT geoid, CAST(fiscal_year AS BIGINT) AS fiscal_year, base_type, base_value, CASE WHEN fiscal_year%3=0 THEN 'v0' ELSE 'v1' END AS vintage FROM bases WHERE fiscal_year%3<>1")
+def d15c(t):
+    """All years: a third held under another vintage, a third held and replaced, a third fresh."""
+    b, third = t.base_rows.select("geoid", c("fiscal_year").cast("bigint").alias("fiscal_year"), "base_type", "base_value", "vintage"), c("fiscal_year") % 3
+    return merge.replace_vintage(b.where(third != 2).withColumn("vintage", F.when(third == 0, "v0").otherwise("v1")), b.where(third == 2), "v1")
