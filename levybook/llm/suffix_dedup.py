@@ -5,7 +5,8 @@ A string of ``LENGTH`` bytes that repeats holds, in both places, the same anchor
 occur more than once, which one grouped count of piece hashes finds. Every task sorts
 the suffixes of its texts into runs and front-codes them; the runs' chunks go to key
 ranges, where a loser tree merges them. Each suffix carries the length of the prefix it
-shares with the last one out, so known prefixes are never compared again.
+shares with the last one out, so known prefixes are never compared again. Strings
+around a piece at very many places are grouped by their hash instead.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LEFT = LENGTH - PIECE
 RUN, CHUNK, MERGE_BYTES = 100_000, 2048, 12 << 20
 #: Suffixes of one judged batch, about.
 BATCH = 20_000
+#: Places of a piece above which its strings are grouped by hash instead of sorted in one task, and strings that one task sorts at a time there.
+HOT, HASHED = 100_000, 500_000
 #: Bits for a place in a text; the text's variant stands above them.
 PLACE_BITS = 40
 BASE = U64(0x9E3779B97F4A7C15)
@@ -45,15 +48,15 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def piece_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``PIECE`` bytes at every place where as many follow."""
-    n = len(data) - PIECE + 1
+def piece_hashes(data: np.ndarray, width: int = PIECE) -> np.ndarray:
+    """A hash of the ``width`` bytes at every place where as many follow."""
+    n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + U64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[PIECE:] - sums[:-PIECE]) * down[:n])
+    return mix((sums[width:] - sums[:-width]) * down[:n])
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -65,14 +68,25 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-(width - step)], x[width - step:]) if width > step else x
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct least hashes of all strings of ``LENGTH`` bytes, and at how many places each is one."""
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The least piece hash of every string of ``LENGTH`` bytes, by the string's start."""
+    width = LENGTH - PIECE + 1
+    return sliding(hashes, width, np.minimum) if len(hashes) >= width else np.zeros(0, np.uint64)
+
+
+def anchor_places(hashes: np.ndarray) -> np.ndarray:
+    """Places whose piece is the least of a string of ``LENGTH`` bytes around it."""
+    low = least(hashes)
+    if not len(low):
+        return np.zeros(0, np.int64)
     width = LENGTH - PIECE + 1
-    if len(hashes) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = sliding(hashes, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
-    return np.unique(hashes[hashes == sliding(np.concatenate((edge, low, edge)), width, np.maximum)], return_counts=True)
+    return np.flatnonzero(hashes == sliding(np.concatenate((edge, low, edge)), width, np.maximum))
+
+
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct least hashes of all strings of ``LENGTH`` bytes, and at how many places each is one."""
+    return np.unique(hashes[anchor_places(hashes)], return_counts=True)
 
 
 def places_of(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -270,7 +284,8 @@ def sorted_runs(candidates: DataFrame) -> DataFrame:
             for d, variant, t, wanted in zip(b["at"].tolist(), b["variant"].tolist(), b["text"], b["pieces"]):
                 data = text_bytes(t)
                 h = piece_hashes(np.frombuffer(data, np.uint8))
-                for p in places_of(h, wanted.astype(np.uint64)).tolist():
+                at_anchors = anchor_places(h)   # a repeated string's anchor is one in both places; its other places do not matter
+                for p in at_anchors[places_of(h[at_anchors], wanted.astype(np.uint64))].tolist():
                     rows.append((data[p:p + LENGTH], data[max(0, p - LEFT):p], d, variant << PLACE_BITS | p))
                     if len(rows) >= RUN:
                         yield from flush()
@@ -279,19 +294,71 @@ def sorted_runs(candidates: DataFrame) -> DataFrame:
     return candidates.select("at", "variant", "text", "pieces").mapInPandas(run, "run string, nth long, first long, last long, data binary, at long, start long, end long")
 
 
+def hot_repeats(candidates: DataFrame) -> DataFrame:
+    """Stretches (at, start, end) that repeat around the pieces ``hot`` of each text.
+
+    A string goes to the hash of its bytes and its anchor, so a piece's strings spread
+    over tasks; of a task's equal strings only the earliest is sent.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            piece, string, at, place = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            by = np.lexsort((place, at, string, piece))
+            piece, string, at, place = piece[by], string[by], at[by], place[by]
+            head = np.concatenate(([True], (piece[1:] != piece[:-1]) | (string[1:] != string[:-1])))
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            keep = head | (at != at[first]) | (place != place[first])   # a row that is repeated is no second place
+            return pd.DataFrame({"piece": piece.view(np.int64), "string": string.view(np.int64), "at": at, "place": place, "later": ~head})[keep]
+
+        for b in batches:
+            for d, variant, t, wanted in zip(b["at"].tolist(), b["variant"].tolist(), b["text"], b["hot"]):
+                data = np.frombuffer(text_bytes(t), np.uint8)
+                low = least(piece_hashes(data))
+                found = places_of(low, wanted.astype(np.uint64))
+                held.append((low[found], piece_hashes(data, LENGTH)[found], np.full(len(found), d, np.int64), found.astype(np.int64) + (variant << PLACE_BITS)))
+                size += len(found)
+                if size >= HASHED:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    strings = stored(candidates.select("at", "variant", "text", "hot").mapInPandas(run, "piece long, string long, at long, place long, later boolean"), "hot-strings")
+    sent = strings.where("NOT later")
+    firsts = sent.groupBy("piece", "string").agg(F.min(F.struct("at", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = sent.join(firsts, ["piece", "string"]).where(F.struct("at", "place") > F.col("first")).select("at", "place")
+    return later.unionAll(strings.where("later").select("at", "place")).select("at", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
+
+
 def merge_runs(chunks: DataFrame) -> DataFrame:
     """Stretches (doc_id, start, end) that repeat, from the merged runs of each key range."""
     size = chunks.agg(F.sum(F.octet_length("data")).alias("size"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, min(int((size["size"] or 0) // MERGE_BYTES) + 1, size["n"] or 1))
     cuts = chunks.agg(F.percentile_approx("first", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-
-    def place(c: str):
-        return F.size(F.filter(bounds, lambda x: x <= F.col(c))).cast("long")
-
-    # a chunk goes to every range that it reaches into
-    dealt = chunks.withColumn("part", F.explode(F.sequence(place("first"), place("last")))).select("part", "run", "nth", "data")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a chunk that reaches into several ranges is taken apart, so that nothing is sent twice
+        at = np.array(cuts, np.int64)
+        for b in batches:
+            out = []
+            for name, nth, first, last, data in zip(b["run"], b["nth"].tolist(), b["first"].tolist(), b["last"].tolist(), b["data"]):
+                low, high = np.searchsorted(at, [first, last], "right").tolist()
+                if low == high:
+                    out.append((low, name, nth, data))
+                    continue
+                own: dict[int, list[tuple[bytes, bytes, int, int]]] = {}
+                for suffix, _, left, d, place in decoded(data):
+                    while low < high and int.from_bytes(suffix[:7], "big") >= cuts[low]:
+                        low += 1
+                    own.setdefault(low, []).append((suffix, left, d, place))
+                out += [(part, name, nth, front_code(rows)) for part, rows in own.items()]
+            yield pd.DataFrame(out, columns=["part", "run", "nth", "data"])
+
+    dealt = chunks.mapInPandas(deal, "part long, run string, nth long, data binary")
 
     def merge(part: int, rows: list[tuple[str, int, bytes]]) -> Iterator[tuple[int, int, int]]:
         low = cuts[part - 1] if part else -1
@@ -376,11 +443,15 @@ def removals(docs: DataFrame) -> DataFrame:
     copies = stored(ids.join(first, "digest").where("at > first").select("at", "variant", F.lit(0).cast("long").alias("start"), "end").distinct(), "copies")
     firsts = able.join(copies, ["at", "variant"], "left_anti")
     pieces = stored(anchor_rows(firsts), "anchors")
-    often = pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").select("piece")
-    wanted = stored(pieces.join(often, "piece", "left_semi").groupBy("at", "variant").agg(F.collect_set("piece").alias("pieces")), "wanted-pieces")
-    found = stored(sorted_runs(able.join(wanted, ["at", "variant"])), "runs")
+    often = pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").select("piece", (F.col("n") > HOT).alias("is_hot"))
+    wanted = stored(pieces.join(often, "piece").groupBy("at", "variant").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("piece"))).alias("pieces"),
+                                                                             F.collect_set(F.when(F.col("is_hot"), F.col("piece"))).alias("hot")), "wanted-pieces")
+    found = stored(sorted_runs(able.join(wanted.where(F.size("pieces") > 0), ["at", "variant"])), "runs")
     merged_out = merge_runs(found.where("run IS NOT NULL").select("run", "nth", "first", "last", "data"))
     coded = found.where("run IS NULL").select("at", "start", "end").unionAll(merged_out)
+    hot = wanted.where(F.size("hot") > 0).drop("pieces")
+    if not hot.isEmpty():
+        coded = coded.unionAll(hot_repeats(able.join(hot, ["at", "variant"])))
     low = (1 << PLACE_BITS) - 1
     spans = coded.select("at", F.shiftright("end", PLACE_BITS).alias("variant"), F.col("start").bitwiseAND(F.lit(low)).alias("start"), F.col("end").bitwiseAND(F.lit(low)).alias("end"))
     return spans.unionAll(copies).groupBy("at", "variant").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("stretches"))

@@ -63,6 +63,26 @@ def test_front_coding_and_loser_tree():
     assert all(o[1] == suffix_dedup.shared_prefix(a[0], o[0]) for a, o in zip(out, out[1:]))
 
 
+def test_hot_line_in_different_contexts(spark, monkeypatch):
+    """A line in every text goes by hash: no suffix at it is sorted in one task, and the result is the same."""
+    r = random.Random(5)
+    line = prose(7, 8)[:48]
+    rows = [(d, f"{prose(100 + d % 90, r.randint(0, 40))} {line} {prose(300 + d % 70, r.randint(0, 40))}") for d in range(200)]
+    rows += [rows[3], (None, rows[5][1] + " end"), (500, f"{line} {line} {prose(1, 9)} {line} {line}"), (501, line * 9)]
+    most, judge = [], suffix_dedup.sorted_runs
+    monkeypatch.setattr(suffix_dedup, "sorted_runs", lambda c: most.append(c.selectExpr("explode(pieces) AS p").groupBy("p").count().agg({"count": "max"}).first()[0] or 0) or judge(c))
+    for bound in (20, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT", bound)
+        assert got(suffix_dedup.suffix_dedup(documents(spark, rows))) == brute_rows(rows)
+    assert max(most) <= 20
+
+
+def brute_rows(rows):
+    """``brute`` with a row for each repeated row."""
+    per = dict(zip(sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], len(r[1]))), sorted(brute(list(dict.fromkeys(rows))))))
+    return sorted(per[r] for r in rows)
+
+
 def test_empty(spark):
     assert suffix_dedup.suffix_dedup(empty(spark)).collect() == []
     assert suffix_dedup.without_repeats(empty(spark)).collect() == []
