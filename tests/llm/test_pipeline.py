@@ -89,7 +89,7 @@ def test_stages_leave_clean_documents(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None and "pipeline" not in __spark_entry__.oracle_sql()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def test_cuts_keep_whole_characters(spark):
