@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fill_in_middle, html_templates, language_id, lm_scoring, merkle, minhash, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fill_in_middle, html_templates, language_id, lm_scoring, merkle, minhash, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Files of public tokenizers; the folder is a parameter of the queries.
@@ -62,9 +62,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fim_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity, op9_lm_scoring,
-                                   op10_decontaminate, op11_fill_in_middle)}
+                                   op10_decontaminate, op11_fill_in_middle, op12_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
