@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fill_in_middle, html_templates, language_id, lm_scoring, merkle, minhash, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import collocations, decontaminate, fill_in_middle, html_templates, language_id, lm_scoring, merkle, minhash, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .common import table
 
 #: Files of public tokenizers; the folder is a parameter of the queries.
@@ -66,11 +66,15 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash, op2_suffix_dedup, op3_token_counts, op4_html_templates, op5_sentencepiece, op6_merkle, op7_language_id, op8_toxicity, op9_lm_scoring,
-                                   op10_decontaminate, op11_fill_in_middle, op12_secret_scan)}
+                                   op10_decontaminate, op11_fill_in_middle, op12_secret_scan, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the same rows, where SQL can express the operator on whole tables."""
-    return {"op1_minhash": minhash.ORACLE_SQL, "op6_merkle": merkle.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL}
+    return {"op1_minhash": minhash.ORACLE_SQL, "op6_merkle": merkle.ORACLE_SQL, "op11_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
