@@ -24,7 +24,7 @@ def current_rates(rows: DataFrame, as_of: str) -> DataFrame:
 
     A row is in force when open-ended or ending on or after ``as_of``; its begin
     is not tested, so a published future rate is already current.  Ties on begin
-    go to the later line.
+    go to the later line.  Rows that name their file (path) keep it.
     """
     inforce = rows.where(F.col("open_ended") | (F.col("end_date") >= as_of))
     pick = first_rows(inforce, ["geoid", "instrument_code"],
@@ -37,7 +37,7 @@ def current_rates(rows: DataFrame, as_of: str) -> DataFrame:
                         F.when(stale, F.lit("Source file is stale.")))
     has = F.coalesce(rate > 0, F.lit(False))
     return pick.select(
-        "geoid", "category", "instrument_code",
+        *(["path"] if "path" in rows.columns else []), "geoid", "category", "instrument_code",
         F.when(has, "levied").otherwise("authorized_not_levied").alias("status"),
         F.when(has, rate).otherwise(F.lit(0.0)).alias("rate_value"), F.lit("percent").alias("rate_unit"),
         F.col("begin_date").alias("effective_date"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +25,71 @@ def iso_from_compact(raw: Column) -> Column:
         F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))))
 
 
+#: Names of rate files, plain and zipped, as the readers' file filters.
+PLAIN, ZIPPED = "*.{csv,CSV,txt,TXT}", "*.{zip,ZIP}"
+LINE_END = "\r\n|\r|\n"
+#: Lines of a zipped member that go to the JVM at a time.
+MEMBER_LINES = 5_000
+
+
+def positioned(scan: DataFrame) -> DataFrame:
+    """A file scan with ``_at``, the place of each row: its file, the first byte of its split, and the order within.
+
+    A split is read by one task in order, so the running id rises in it; splits are in
+    order of their first bytes. So ``_at`` orders rows alike, however a scan is split.
+    """
+    return scan.select("*", F.struct(c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"),
+                                     F.monotonically_increasing_id().alias("row")).alias("_at"))
+
+
+def rate_unit(path: Column) -> Column:
+    """The rate file that a path belongs to: the last part of it that names a state and quarter, be it a file or a folder of part files."""
+    named = F.regexp_extract(path, rf"^(.*{QUARTER_FILE}[^/]*)", 1)
+    return F.when(named != "", named).otherwise(path)
+
+
+def rate_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A1, A2: the lines of rate files as (path, line_no, line), counted from 0 in each file.
+
+    Plain files (csv, txt) are split by bytes over tasks, so one of any size is read by
+    many; lines before a split are counted first. Zipped ones are read member by member
+    as a stream: only the packed bytes are held. Files may come as folders of parts.
+    """
+    scan = positioned(spark.read.text(path, pathGlobFilter=PLAIN))
+    rows = scan.select(rate_unit(c("_at.file")).alias("path"), "_at.*", F.decode(c("value").cast("binary"), "ISO-8859-1").alias("line"))
+    split = ["path", "file", "block"]
+    before = Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*split).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    starts = counts.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - c("first")).alias("shift"))   # one row a split
+    plain = rows.join(starts, split).select("path", (c("row") + c("shift")).alias("line_no"), "line")
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", ZIPPED).load(path)
+    return plain.unionByName(member_lines(packed))
+
+
+def member_lines(blobs: DataFrame) -> DataFrame:
+    """A2: (path, content) of archives as the numbered lines of each one's first csv or txt member; what is no archive is read as it is."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, blob in zip(b["path"], b["content"]):
+                with _open_member(blob) as text:
+                    lines = enumerate(text)
+                    while some := list(islice(lines, MEMBER_LINES)):
+                        n, found = zip(*some)
+                        yield pd.DataFrame({"path": path, "line_no": n, "line": [x.removesuffix("\n") for x in found]})
+    return blobs.select("path", "content").mapInPandas(run, "path string, line_no long, line string")
+
+
+def _open_member(blob: bytes) -> io.TextIOWrapper:
+    raw = io.BytesIO(blob)
+    if blob[:2] == b"PK":
+        z = zipfile.ZipFile(raw)
+        names = [n for n in z.namelist() if n.lower().endswith((".csv", ".txt"))]
+        raw = z.open(names[0]) if names else io.BytesIO()
+    return io.TextIOWrapper(raw, "latin-1")   # every line end is read as a line feed
+
+
 def decode_rate_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A2: rate files in a folder, plain or zipped (first csv/txt member), as (path, text)."""
+    """A2: rate files in a folder, plain or zipped (first csv/txt member), as whole texts (path, text); ``rate_lines`` reads them of any size."""
     return first_members(spark.read.format("binaryFile").load(path))
 
 
@@ -46,13 +110,17 @@ def _first_member(blob: bytes) -> str:
 
 
 def parse_rate_lines(files: DataFrame) -> DataFrame:
-    """A1: headerless rate lines of (path, text), numbered in file order.
+    """A1: rate lines of whole texts (path, text), numbered in file order."""
+    return parse_numbered_lines(files.select("path", F.posexplode(F.split("text", LINE_END)).alias("line_no", "line")))
+
+
+def parse_numbered_lines(lines: DataFrame) -> DataFrame:
+    """A1: headerless rate lines (path, line_no, line), read.
 
     Lines that are blank, start with "state", have fewer than nine fields, a state
     code longer than two digits, or a number that does not parse are left out.
     """
-    lines = files.select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_no", "line")) \
-        .withColumn("line", F.trim("line")).where((c("line") != "") & ~F.lower("line").startswith("state"))
+    lines = lines.withColumn("line", F.trim("line")).where((c("line") != "") & ~F.lower("line").startswith("state"))
     names = ["f_state", "f_type", "f_code", "f_intra", "f_inter", "f_food", "f_drug", "f_begin", "f_end"]
     parsed = lines.withColumn("r", F.from_csv("line", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"}))
     n_fields = F.size(F.split(F.regexp_replace("line", '"[^"]*"', "q"), ","))
@@ -111,7 +179,7 @@ def parse_finance_lines(lines: DataFrame) -> DataFrame:
 
 def finance_directory(spark: SparkSession, path: str) -> DataFrame:
     """A5: the unit directory file."""
-    return parse_directory_lines(spark.read.text(path).withColumn("_file_pos", F.monotonically_increasing_id()))
+    return parse_directory_lines(positioned(spark.read.text(path)).withColumnRenamed("_at", "_file_pos"))
 
 
 def parse_directory_lines(lines: DataFrame) -> DataFrame:
@@ -150,11 +218,11 @@ def population_keys(rows: DataFrame) -> DataFrame:
 def populations(spark: SparkSession, county_path: str, sub_path: str, year: int) -> DataFrame:
     """The two population files, the sub-county one later."""
     def one(path, rank):
-        raw = spark.read.csv(path, header=True, encoding="ISO-8859-1")
+        raw = positioned(spark.read.csv(path, header=True, encoding="ISO-8859-1"))
         opt = lambda n: c(n) if n in raw.columns else F.lit("")
         return raw.select(c("SUMLEV").alias("sumlev"), c("STATE").alias("state"), opt("COUNTY").alias("county"), opt("PLACE").alias("place"),
                           opt("COUSUB").alias("cousub"), c(f"POPESTIMATE{year}").alias("pop_text"),
-                          F.struct(F.lit(rank), F.monotonically_increasing_id()).alias("rank"))
+                          F.struct(F.lit(rank), "_at").alias("rank"))
     a = one(county_path, 0).where(c("sumlev").isin("040", "050"))
     b = one(sub_path, 1).where(c("sumlev").isin("162", "170", "061"))
     return population_keys(a.unionByName(b))
@@ -164,9 +232,9 @@ STATUTE_COLUMNS = ["citation", "section_title", "act_status", "text", "source_ur
 
 
 def statute_file(spark: SparkSession, path: str, state: str, snapshot: str) -> DataFrame:
-    """A state's statute Parquet, only the columns the table holds."""
-    return spark.read.parquet(path).select(*STATUTE_COLUMNS).withColumn("state_usps", F.lit(state.upper())) \
-        .withColumn("snapshot", F.lit(snapshot)).withColumn("arrival_seq", F.monotonically_increasing_id()) \
+    """A state's statute Parquet, only the columns the table holds; ``arrival_seq`` is the row's place in it."""
+    return positioned(spark.read.parquet(path)).select(*STATUTE_COLUMNS, c("_at").alias("arrival_seq")).withColumn("state_usps", F.lit(state.upper())) \
+        .withColumn("snapshot", F.lit(snapshot)) \
         .withColumn("last_amended_year", c("last_amended_year").cast("string").try_cast("long"))
 
 

@@ -72,13 +72,87 @@ def test_rate_load(spark, tmp_path, places):
                                  "id string, geoid string, category string, instrument_code string, effective_date string, fiscal_year long, rate_value double, extraction_method string, superseded_by string")
     cited = spark.createDataFrame([], "claim_table string, claim_id string, source_id string, role string, observed_value string, agrees int")
     known = spark.createDataFrame([("39061", "sales_use", f["39061"].instrument_code, "new", "2015-01-01")], "geoid string, category string, instrument_code string, change_type string, effective_period string")
-    got = load.store_rates(found, events, out, held, cited, known, places)
+    assert {r.source_url.rsplit("/", 1)[1] for r in f.values()} == {"OHR2026Q3x.csv"}
+    got = load.load_rates(spark, str(tmp_path), places, "2026-07-01", held, cited, known)
     live = {r.geoid: r.rate_value for r in got.facts.collect() if r.superseded_by is None}
     assert live == {"39061": 1.5, "3915000": 1.75} and {r.id for r in got.facts.collect() if r.superseded_by} == {"old"}
     assert {(r.geoid, r.status) for r in got.items.collect()} == {("39061", "complete"), ("3915000", "complete")}
     assert got.citations.count() == 2 and {(r.geoid, r.change_type) for r in got.events.collect()} == {("39061", "increase"), ("3915000", "new")}
 
 
+@pytest.fixture(params=["1g", "400b"])
+def splits(spark, request):
+    """Reads files whole, and in splits of 400 bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, request.param)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, splits):
+    """Plain files, a zipped one and a folder of parts: the same numbers, whatever the splits and line ends."""
+    lines = [f"39,0,{k:03},0.0150,0.0150,0,0,2020{k % 12 + 1:02}01,99991231" + " " * (k % 7) for k in range(90)]
+    lines[5:5] = ["", "caf\xe9", "State,x"]
+    for name, end in (("OHR2026Q1.csv", "\n"), ("INR2026Q1a.TXT", "\r\n"), ("KSR2026Q1.csv", "\r")):
+        (tmp_path / name).write_bytes(end.join(lines).encode("latin-1") + (end.encode() if end == "\n" else b""))
+    (tmp_path / "NDR2026Q1").mkdir()
+    for k in range(3):
+        (tmp_path / "NDR2026Q1" / f"part-0000{k}.txt").write_bytes("\n".join(lines[k * 31:(k + 1) * 31]).encode("latin-1") + b"\n")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("readme.md", "no")
+        z.writestr("d/x.csv", "\r\n".join(lines).encode("latin-1"))
+    (tmp_path / "WIR2026Q1.zip").write_bytes(buf.getvalue())
+    (tmp_path / "notes.md").write_text("39,0,001")
+    chosen = load.newest_rate_files(spark, str(tmp_path))
+    assert sorted(x.rsplit("/", 1)[1] for x in chosen) == ["INR2026Q1a.TXT", "KSR2026Q1.csv", "NDR2026Q1", "OHR2026Q1.csv", "WIR2026Q1.zip"]
+    scan = files.rate_lines(spark, chosen)
+    if splits != "1g":
+        assert spark.read.text(chosen, pathGlobFilter=files.PLAIN).rdd.getNumPartitions() > 20
+    got = {}
+    for r in scan.collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["line_no"], r["line"]))
+    assert set(got) == {x.rsplit("/", 1)[1] for x in chosen}
+    assert all(sorted(x) == list(enumerate(lines)) for x in got.values())
+    whole = files.parse_rate_lines(files.decode_rate_files(spark, str(tmp_path / "OHR2026Q1.csv"))).drop("path").collect()
+    assert sorted(files.parse_numbered_lines(scan.where(F.col("path").endswith("OHR2026Q1.csv"))).drop("path").collect()) == sorted(whole)
+    assert files.rate_lines(spark, [str(tmp_path / "WIR2026Q1.zip")]).count() == len(lines) and files.rate_lines(spark, [str(tmp_path / "OHR2026Q1.csv")]).count() == len(lines)
+
+
+def test_a_large_member_is_read_as_a_stream(spark, tmp_path):
+    """The lines of a member come in parts; no text of 30 MB is put together."""
+    import tracemalloc
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", b"39,0,061,0.015,0.015,0,0,20200101,99991231\n" * 700_000)
+    tracemalloc.start()
+    with files._open_member(buf.getvalue()) as text:
+        n = sum(1 for _ in text)
+    assert n == 700_000 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_later_rows_win_whatever_the_splits(spark, tmp_path, splits):
+    """A5, A7 and A8 take the last or first of rows that repeat a key over several splits and files."""
+    unit = lambda i, n: f"{i:012}{n:64}{'HAMILTON':35}{'15000':5}"
+    (tmp_path / "pid").mkdir()
+    for part in range(2):
+        (tmp_path / "pid" / f"{part}.txt").write_text("\n".join(unit(k % 7, f"NAME {part} {k}") for k in range(40)))
+    got = {r.unit_id: r.name for r in files.finance_directory(spark, str(tmp_path / "pid")).collect()}
+    assert got == {f"{i:012}": f"NAME 1 {max(k for k in range(40) if k % 7 == i)}" for i in range(7)}
+    (tmp_path / "c.csv").write_text("SUMLEV,STATE,COUNTY,POPESTIMATE2024\n" + "".join(f"050,39,{k % 5:03},{k}\n" for k in range(200)))
+    (tmp_path / "s.csv").write_text("SUMLEV,STATE,COUNTY,PLACE,COUSUB,POPESTIMATE2024\n" + "".join(f"162,39,000,{k % 3:05},00000,{k}\n" for k in range(200)))
+    pops = {r.geoid: r.population for r in files.populations(spark, str(tmp_path / "c.csv"), str(tmp_path / "s.csv"), 2024).collect()}
+    assert pops == {f"39{i:03}": 195 + i for i in range(5)} | {f"39{i:05}": max(k for k in range(200) if k % 3 == i) for i in range(3)}
+    cols = "citation string, section_title string, act_status string, text string, source_url string, last_amended_year string"
+    spark.createDataFrame([(str(k % 9), "t", "a", f"text {k}", "u", "1999") for k in range(300)], cols).coalesce(1).sortWithinPartitions(F.expr("cast(substr(text, 6) as int)")) \
+        .write.option("parquet.block.size", 1024).parquet(str(tmp_path / "oh"))
+    first = files.first_per_citation(files.statute_file(spark, str(tmp_path / "oh"), "oh", "v1")).collect()
+    assert {(r.citation, r.text) for r in first} == {(str(i), f"text {i}") for i in range(9)}
+
+
 def test_finance_files(spark, tmp_path, places):
     rec = lambda i, item, amt: f"{i:12}{item:3}{amt:>12}2022 "
     (tmp_path / "dat.txt").write_text("\n".join([rec("361061000000", "T01", "1234"), rec("362061000001", "T09", ""), rec("362061000002", "T09", "x9"), "short"]))
