@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -13,8 +17,10 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share too."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on a local master, a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/levybook_llm"
 
 
@@ -30,12 +36,81 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames of ``stored``; for steps whose readers are stored themselves."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            if shared_folder(df.sparkSession).rstrip("/").split("://")[-1].removeprefix("file:") in path:
+                folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+class Marks:
+    """A bitmap of fixed size over the keys of a table: what it does not hold is surely not among them.
+
+    It keeps rows that cannot match out of a join's shuffle. Spark puts it together, so
+    what reaches the driver and the tasks is bounded by ``bits``; the more keys, the
+    more rows pass that match nothing, which the join itself then drops.
+    """
+
+    def __init__(self, keys: DataFrame, on: list[str], bits: int = 1 << 26):
+        self.on, self.bits = on, bits
+        bit = F.xxhash64(*on).bitwiseAND(F.lit(bits - 1))
+        cells = (keys.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+                 .groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("cell_bits")).toArrow())
+        held = np.zeros(bits // 64, "<i8")
+        held[cells["cell"].to_numpy()] = cells["cell_bits"].to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(held.view(np.uint8))
+
+    def hit(self):
+        """Whether a row's key may be among the keys."""
+        sent, mask = self.sent, self.bits - 1
+
+        @F.pandas_udf("boolean")
+        def may_hold(hashes: pd.Series) -> pd.Series:
+            bit = hashes.to_numpy() & mask
+            return pd.Series((sent.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+        return may_hold(F.xxhash64(*self.on))
+
+    def semi(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.where(self.hit()).join(keys, self.on, "left_semi")
+
+    def anti(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.where(~self.hit()).unionByName(rows.where(self.hit()).join(keys, self.on, "left_anti"))
+
+    def left(self, rows: DataFrame, other: DataFrame) -> DataFrame:
+        """A left join; rows that match nothing stay where they are."""
+        return rows.where(~self.hit()).unionByName(rows.where(self.hit()).join(other, self.on, "left"), allowMissingColumns=True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 500, megabytes: int = 8) -> None:
     """Bounds what one Arrow batch brings into a Python worker; long texts make large rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over a task's batches, giving back what it has freed when the task ends; Python workers outlive tasks and queries."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
+def give_back() -> None:
+    """Hands freed memory of this process back to the machine, where its C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,16 +11,17 @@ around a piece at very many places are grouped by their hash instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import hashlib
-from itertools import chain
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix, stored
+from .common import U64, Marks, bounded_batches, dropped, lean, mix, stored
 
 #: Bytes of a repeated string, of an anchor, and of what may precede the anchor in the string.
 LENGTH, PIECE = 100, 36
@@ -31,29 +32,34 @@ RUN, CHUNK, MERGE_BYTES = 100_000, 2048, 12 << 20
 BATCH = 20_000
 #: Places of a piece above which its strings are grouped by hash instead of sorted in one task, and strings that one task sorts at a time there.
 HOT, HASHED = 100_000, 500_000
-#: Bits for a place in a text; the text's variant stands above them.
-PLACE_BITS = 40
+#: Suffixes whose pieces choose the cuts of the key ranges, at most, and stretches that a merge task sends at a time.
+CUT_SAMPLE, SENT = 40_000, 50_000
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64, as far as the longest text so far needs them."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            full = np.full(max(n, 1 << 16), base, np.uint64)
-            full[0] = U64(1)
-            _powers[k] = np.multiply.accumulate(full)
-    return _powers
+class Powers:
+    """Powers of the base and of its inverse, modulo 2^64, as far as the longest text of a task needs them."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+
+    def of(self, n: int) -> list[np.ndarray]:
+        if not self.held or len(self.held[0]) < n:
+            self.held = []
+            for base in (BASE, BASE_INVERSE):
+                full = np.full(max(n, 1 << 16), base, np.uint64)
+                full[0] = U64(1)
+                self.held.append(np.multiply.accumulate(full))
+        return self.held
 
 
-def piece_hashes(data: np.ndarray, width: int = PIECE) -> np.ndarray:
+def piece_hashes(data: np.ndarray, powers: Powers, width: int = PIECE) -> np.ndarray:
     """A hash of the ``width`` bytes at every place where as many follow."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
+    up, down = powers.of(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + U64(1)) * up[:len(data)], out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * down[:n])
@@ -104,13 +110,14 @@ def text_bytes(text: str | None) -> bytes:
 def anchor_rows(texts: DataFrame) -> DataFrame:
     """(piece, at, variant, n) of each text's anchors; ``n`` counts the anchor's places in the text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = Powers()
         for b in batches:
-            found = [anchors(piece_hashes(np.frombuffer(text_bytes(t), np.uint8))) for t in b["text"]]
+            found = [anchors(piece_hashes(np.frombuffer(text_bytes(t), np.uint8), powers)) for t in b["text"]]
             sizes = [len(f[0]) for f in found]
             if sum(sizes):
                 yield pd.DataFrame({"piece": np.concatenate([f[0] for f in found]).astype(np.int64), "at": np.repeat(b["at"].to_numpy(), sizes),
                                     "variant": np.repeat(b["variant"].to_numpy(), sizes), "n": np.concatenate([f[1] for f in found])})
-    return texts.select("at", "variant", "text").mapInPandas(run, "piece long, at long, variant long, n long")
+    return texts.select("at", "variant", "text").mapInPandas(lean(run), "piece long, at long, variant long, n long")
 
 
 def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -129,37 +136,43 @@ def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     return at
 
 
-def front_code(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted chunk of (suffix, bytes before it, doc_id, place) with each suffix's shared prefix left out."""
+Suffix = tuple[bytes, bytes, int, int, int]   # the suffix, bytes before it, doc_id, variant, place
+
+
+def front_code(rows: list[Suffix]) -> bytes:
+    """A sorted chunk with each suffix's shared prefix left out, and variants only where there are any."""
     prefix = [0]
     for k in range(1, len(rows)):
         prefix.append(shared_prefix(rows[k - 1][0], rows[k][0]))
     tails = b"".join(r[0][p:] for r, p in zip(rows, prefix))
     before = b"".join(r[1] for r in rows)
-    head = np.array([len(rows), len(tails), len(before)], "<i8").tobytes()
+    variants = np.array([r[3] for r in rows], "<i8")
+    head = np.array([len(rows), len(tails), bool(variants.any())], "<i8").tobytes()
     return b"".join([head, np.array(prefix, "u1").tobytes(), bytes(len(r[0]) for r in rows), bytes(len(r[1]) for r in rows),
-                     np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i8").tobytes(), tails, before])
+                     np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[4] for r in rows], "<i8").tobytes(), variants.tobytes() if variants.any() else b"", tails, before])
 
 
-def decoded(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
-    """(suffix, prefix shared with the one before, bytes before it, doc_id, place) of a chunk, in order."""
-    n, n_tails, _ = np.frombuffer(blob, "<i8", 3).tolist()
+def decoded(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int, int]]:
+    """(suffix, prefix shared with the one before, bytes before it, doc_id, variant, place) of a chunk, in order."""
+    n, n_tails, varied = np.frombuffer(blob, "<i8", 3).tolist()
     at = 24
     prefix, sizes, lefts = (blob[at + k * n:at + (k + 1) * n] for k in range(3))
     at += 3 * n
     docs, places = (np.frombuffer(blob, "<i8", n, at + 8 * n * k).tolist() for k in range(2))
     at += 16 * n
+    variants = np.frombuffer(blob, "<i8", n, at).tolist() if varied else [0] * n
+    at += 8 * n * varied
     left_at, suffix = at + n_tails, b""
     for k in range(n):
         own = sizes[k] - prefix[k]
         suffix = suffix[:prefix[k]] + blob[at:at + own]
         at += own
-        yield suffix, prefix[k], blob[left_at:left_at + lefts[k]], docs[k], places[k]
+        yield suffix, prefix[k], blob[left_at:left_at + lefts[k]], docs[k], variants[k], places[k]
         left_at += lefts[k]
 
 
 def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
-    """Loser tree over sorted runs; yields (suffix, prefix shared with the last one out, left, doc_id, place).
+    """Loser tree over sorted runs; yields (suffix, prefix shared with the last one out, left, doc_id, variant, place).
 
     Every waiting suffix holds the length it shares with the last winner of its match.
     Of two, the one that shares more is the smaller; only equal lengths are compared,
@@ -211,24 +224,24 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def pair_repeats(one: tuple, two: tuple) -> Iterator[tuple[int, int, int]]:
+def pair_repeats(one: tuple, two: tuple) -> Iterator[tuple[int, int, int, int]]:
     """What ``repeats`` gives for two suffixes that nothing else shares a piece with."""
     (_, _, a, *ia), (_, p, b, *ib) = one, two
     left = shared_prefix(a[::-1], b[::-1])
     if left + p >= LENGTH and ia != ib:
-        d, at = max(ia, ib)
-        yield d, at - left, at + p
+        d, variant, at = max(ia, ib)
+        yield d, variant, at - left, at + p
 
 
-def repeats(group: list[tuple[bytes, int, bytes, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, start, end) to remove, for whole groups of suffixes that share a piece, in suffix order.
+def repeats(group: list[tuple[bytes, int, bytes, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, variant, start, end) to remove, for whole groups of suffixes that share a piece, in suffix order.
 
     A string of LENGTH bytes holds ``o`` bytes before the piece. All removable strings
     around one piece overlap in it, so the least and the largest ``o`` give one stretch.
     """
     n = len(group)
-    known = {key: k for k, key in enumerate(sorted({g[3:5] for g in group}))}
-    rank = np.array([known[g[3:5]] for g in group])
+    known = {key: k for k, key in enumerate(sorted({g[3:6] for g in group}))}
+    rank = np.array([known[g[3:6]] for g in group])
     low, high = np.full(n, LENGTH + 1), np.full(n, -1)
     rights = np.array([len(g[0]) for g in group])
     prefix = np.array([g[1] for g in group])
@@ -251,14 +264,18 @@ def repeats(group: list[tuple[bytes, int, bytes, int, int]]) -> Iterator[tuple[i
             later = fit[by[rank[fit][by] > earliest]]   # all but the earliest of equal strings
             low[later], high[later] = np.minimum(low[later], o), np.maximum(high[later], o)
     for i in np.flatnonzero(high >= 0):
-        d, at = group[i][3:5]
-        yield d, at - int(high[i]), at - int(low[i]) + LENGTH
+        d, variant, at = group[i][3:6]
+        yield d, variant, at - int(high[i]), at - int(low[i]) + LENGTH
 
 
 def sorted_runs(candidates: DataFrame) -> DataFrame:
-    """Front-coded chunks of sorted runs (run, nth, first, last, data), and stretches (doc_id, start, end) that a run itself shows to repeat."""
+    """Front-coded chunks of sorted runs (run, nth, first, last, data), and stretches (at, variant, start, end) that a run itself shows to repeat."""
+    def stretches(gone: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame(gone, columns=["at", "variant", "start", "end"], dtype="Int64").assign(run=None, nth=pd.array([None] * len(gone), "Int64"), first=None, last=None, data=None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple[bytes, bytes, int, int]] = []
+        rows: list[Suffix] = []
+        powers = Powers()
 
         def flush() -> Iterator[pd.DataFrame]:
             rows.sort()
@@ -266,60 +283,58 @@ def sorted_runs(candidates: DataFrame) -> DataFrame:
             for r in rows:   # of equal suffixes with equal bytes before, the earliest goes on
                 if kept and kept[-1][:2] == r[:2]:
                     if len(r[0]) + len(r[1]) >= LENGTH and kept[-1][2:] != r[2:]:
-                        gone.append((r[2], r[3] - len(r[1]), r[3] + len(r[0])))
+                        gone.append((r[2], r[3], r[4] - len(r[1]), r[4] + len(r[0])))
                 else:
                     kept.append(r)
             name = hashlib.sha256(repr((len(rows), rows[0], rows[-1])).encode()).hexdigest()
             chunks = [kept[k:k + CHUNK] for k in range(0, len(kept), CHUNK)]
             rows.clear()
             for nth, c in enumerate(chunks):
-                yield pd.DataFrame({"run": [name], "nth": [nth], "first": [int.from_bytes(c[0][0][:7], "big")], "last": [int.from_bytes(c[-1][0][:7], "big")],
-                                    "data": [front_code(c)], "at": pd.array([None], "Int64"), "start": pd.array([None], "Int64"), "end": pd.array([None], "Int64")})
+                yield pd.DataFrame({"run": [name], "nth": [nth], "first": [c[0][0][:PIECE]], "last": [c[-1][0][:PIECE]], "data": [front_code(c)],
+                                    **{x: pd.array([None], "Int64") for x in ("at", "variant", "start", "end")}})
             if gone:
-                d, s, e = zip(*gone)
-                yield pd.DataFrame({"run": None, "nth": pd.array([None] * len(d), "Int64"), "first": pd.array([None] * len(d), "Int64"), "last": pd.array([None] * len(d), "Int64"),
-                                    "data": None, "at": d, "start": s, "end": e})
+                yield stretches(gone)
 
         for b in batches:
             for d, variant, t, wanted in zip(b["at"].tolist(), b["variant"].tolist(), b["text"], b["pieces"]):
                 data = text_bytes(t)
-                h = piece_hashes(np.frombuffer(data, np.uint8))
+                h = piece_hashes(np.frombuffer(data, np.uint8), powers)
                 at_anchors = anchor_places(h)   # a repeated string's anchor is one in both places; its other places do not matter
                 for p in at_anchors[places_of(h[at_anchors], wanted.astype(np.uint64))].tolist():
-                    rows.append((data[p:p + LENGTH], data[max(0, p - LEFT):p], d, variant << PLACE_BITS | p))
+                    rows.append((data[p:p + LENGTH], data[max(0, p - LEFT):p], d, variant, p))
                     if len(rows) >= RUN:
                         yield from flush()
         if rows:
             yield from flush()
-    return candidates.select("at", "variant", "text", "pieces").mapInPandas(run, "run string, nth long, first long, last long, data binary, at long, start long, end long")
+    return candidates.select("at", "variant", "text", "pieces").mapInPandas(lean(run), "run string, nth long, first binary, last binary, data binary, at long, variant long, start long, end long")
 
 
 def hot_repeats(candidates: DataFrame) -> DataFrame:
-    """Stretches (at, start, end) that repeat around the pieces ``hot`` of each text.
+    """Stretches (at, variant, start, end) that repeat around the pieces ``hot`` of each text.
 
     A string goes to the hash of its bytes and its anchor, so a piece's strings spread
     over tasks; of a task's equal strings only the earliest is sent.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, powers = 0, Powers()
 
         def flush() -> pd.DataFrame:
-            piece, string, at, place = (np.concatenate(x) for x in zip(*held))
+            piece, string, at, variant, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            by = np.lexsort((place, at, string, piece))
-            piece, string, at, place = piece[by], string[by], at[by], place[by]
+            by = np.lexsort((place, variant, at, string, piece))
+            piece, string, at, variant, place = piece[by], string[by], at[by], variant[by], place[by]
             head = np.concatenate(([True], (piece[1:] != piece[:-1]) | (string[1:] != string[:-1])))
             first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            keep = head | (at != at[first]) | (place != place[first])   # a row that is repeated is no second place
-            return pd.DataFrame({"piece": piece.view(np.int64), "string": string.view(np.int64), "at": at, "place": place, "later": ~head})[keep]
+            keep = head | (at != at[first]) | (variant != variant[first]) | (place != place[first])   # a row that is repeated is no second place
+            return pd.DataFrame({"piece": piece.view(np.int64), "string": string.view(np.int64), "at": at, "variant": variant, "place": place, "later": ~head})[keep]
 
         for b in batches:
             for d, variant, t, wanted in zip(b["at"].tolist(), b["variant"].tolist(), b["text"], b["hot"]):
                 data = np.frombuffer(text_bytes(t), np.uint8)
-                low = least(piece_hashes(data))
+                low = least(piece_hashes(data, powers))
                 found = places_of(low, wanted.astype(np.uint64))
-                held.append((low[found], piece_hashes(data, LENGTH)[found], np.full(len(found), d, np.int64), found.astype(np.int64) + (variant << PLACE_BITS)))
+                held.append((low[found], piece_hashes(data, powers, LENGTH)[found], np.full(len(found), d, np.int64), np.full(len(found), variant, np.int64), found.astype(np.int64)))
                 size += len(found)
                 if size >= HASHED:
                     yield flush()
@@ -327,42 +342,44 @@ def hot_repeats(candidates: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    strings = stored(candidates.select("at", "variant", "text", "hot").mapInPandas(run, "piece long, string long, at long, place long, later boolean"), "hot-strings")
+    strings = stored(candidates.select("at", "variant", "text", "hot").mapInPandas(lean(run), "piece long, string long, at long, variant long, place long, later boolean"), "hot-strings")
     sent = strings.where("NOT later")
-    firsts = sent.groupBy("piece", "string").agg(F.min(F.struct("at", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = sent.join(firsts, ["piece", "string"]).where(F.struct("at", "place") > F.col("first")).select("at", "place")
-    return later.unionAll(strings.where("later").select("at", "place")).select("at", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
+    firsts = sent.groupBy("piece", "string").agg(F.min(F.struct("at", "variant", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = sent.join(firsts, ["piece", "string"]).where(F.struct("at", "variant", "place") > F.col("first")).select("at", "variant", "place")
+    return later.unionAll(strings.where("later").select("at", "variant", "place")).select("at", "variant", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("end"))
 
 
 def merge_runs(chunks: DataFrame) -> DataFrame:
-    """Stretches (doc_id, start, end) that repeat, from the merged runs of each key range."""
+    """Stretches (at, variant, start, end) that repeat, from the merged runs of each key range.
+
+    Ranges are cut at whole pieces, so suffixes that begin alike part as soon as their
+    pieces differ; what shares a piece stays together.
+    """
     size = chunks.agg(F.sum(F.octet_length("data")).alias("size"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, min(int((size["size"] or 0) // MERGE_BYTES) + 1, size["n"] or 1))
-    cuts = chunks.agg(F.percentile_approx("first", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
+    firsts = sorted(bytes(r["first"]) for r in chunks.select("first", F.xxhash64("run", "nth").alias("h")).orderBy("h").limit(CUT_SAMPLE).collect()) if parts > 1 else []
+    cuts = sorted({firsts[k * len(firsts) // parts] for k in range(1, parts)}) if firsts else []
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a chunk that reaches into several ranges is taken apart, so that nothing is sent twice
-        at = np.array(cuts, np.int64)
         for b in batches:
             out = []
-            for name, nth, first, last, data in zip(b["run"], b["nth"].tolist(), b["first"].tolist(), b["last"].tolist(), b["data"]):
-                low, high = np.searchsorted(at, [first, last], "right").tolist()
+            for name, nth, first, last, data in zip(b["run"], b["nth"].tolist(), b["first"], b["last"], b["data"]):
+                low, high = bisect_right(cuts, bytes(first)), bisect_right(cuts, bytes(last))
                 if low == high:
                     out.append((low, name, nth, data))
                     continue
-                own: dict[int, list[tuple[bytes, bytes, int, int]]] = {}
-                for suffix, _, left, d, place in decoded(data):
-                    while low < high and int.from_bytes(suffix[:7], "big") >= cuts[low]:
+                own: dict[int, list[Suffix]] = {}
+                for suffix, _, left, *place in decoded(data):
+                    while low < high and suffix[:PIECE] >= cuts[low]:
                         low += 1
-                    own.setdefault(low, []).append((suffix, left, d, place))
+                    own.setdefault(low, []).append((suffix, left, *place))
                 out += [(part, name, nth, front_code(rows)) for part, rows in own.items()]
             yield pd.DataFrame(out, columns=["part", "run", "nth", "data"])
 
-    dealt = chunks.mapInPandas(deal, "part long, run string, nth long, data binary")
+    dealt = chunks.mapInPandas(lean(deal), "part long, run string, nth long, data binary")
 
-    def merge(part: int, rows: list[tuple[str, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        low = cuts[part - 1] if part else -1
-        high = cuts[part] if part < len(cuts) else 1 << 62
+    def merge(rows: list[tuple[str, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
         runs: dict[str, list[bytes]] = {}
         for name, _, data in rows:
             runs.setdefault(name, []).append(data)
@@ -371,15 +388,13 @@ def merge_runs(chunks: DataFrame) -> DataFrame:
             last = None
             for blob in blobs:
                 whole = True   # a chunk's first suffix does not say what it shares with the chunk before
-                for suffix, prefix, left, d, place in decoded(blob):
-                    if low <= int.from_bytes(suffix[:7], "big") < high:
-                        if last is None:
-                            prefix = 0
-                        elif whole:
-                            prefix = shared_prefix(last, suffix)
-                        yield suffix, prefix, left, d, place
-                        last = suffix
-                    whole = False
+                for suffix, prefix, left, *place in decoded(blob):
+                    if last is None:
+                        prefix = 0
+                    elif whole:
+                        prefix = shared_prefix(last, suffix)
+                    yield suffix, prefix, left, *place
+                    last, whole = suffix, False
 
         group: list[tuple] = []
         batch: list[tuple] = []   # groups of more than two are judged many at a time
@@ -399,9 +414,9 @@ def merge_runs(chunks: DataFrame) -> DataFrame:
         now, rows = None, []
 
         def out() -> Iterator[pd.DataFrame]:
-            got = list(merge(now, rows))
-            if got:
-                yield pd.DataFrame(got, columns=["at", "start", "end"])
+            found = merge(rows)
+            while got := list(islice(found, SENT)):
+                yield pd.DataFrame(got, columns=["at", "variant", "start", "end"])
 
         for b in batches:
             for part, name, nth, data in zip(b["part"], b["run"], b["nth"], b["data"]):
@@ -412,7 +427,7 @@ def merge_runs(chunks: DataFrame) -> DataFrame:
                 rows.append((name, nth, data))
         if rows:
             yield from out()
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "run", "nth").mapInPandas(run, "at long, start long, end long")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "run", "nth").mapInPandas(lean(run), "at long, variant long, start long, end long")
 
 
 def joined_up(stretches) -> list[list[int]]:
@@ -427,34 +442,48 @@ def joined_up(stretches) -> list[list[int]]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with at (doc_id, the least number for null), digest of the text, and variant, which tells texts of one doc_id apart."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    return (docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("digest", digest)
-            .withColumn("variant", F.conv(F.substring("digest", 1, 5), 16, 10).cast("long")))
+    """``docs`` with at (doc_id, the least number for null), digest of the text, and variant.
+
+    Variant is 0, but among different texts of one ``at`` it is a number of their own
+    each, in order of their digests.
+    """
+    rows = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    several = rows.groupBy("at").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("at")
+    texts = stored(rows.select("at", "digest").join(several, "at", "left_semi").distinct(), "texts-of-one-id")
+    if texts.isEmpty():
+        return rows.withColumn("variant", F.lit(0).cast("long"))
+    # numbers rise with (at, digest): ranges are sorted, and a number has its range's in front
+    ranges = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = stored(texts.repartitionByRange(ranges, "at", "digest").sortWithinPartitions("at", "digest")
+                      .withColumn("variant", F.monotonically_increasing_id() + 1), "numbered-texts")
+    return Marks(numbered, ["at", "digest"]).left(rows, numbered).withColumn("variant", F.coalesce("variant", F.lit(0).cast("long")))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(at, variant, stretches) of the documents of ``identified`` rows that lose bytes; stretches are [start, end) and may overlap."""
+    key = ["at", "variant"]
     bounded_batches(docs.sparkSession)
     able = docs.where(F.octet_length("text") >= LENGTH)
-    ids = able.select("at", "variant", "digest", F.octet_length("text").cast("long").alias("end"))
+    ids = able.select(*key, "digest", F.octet_length("text").cast("long").alias("end"))
     first = ids.groupBy("digest").agg(F.min("at").alias("first"))
     # a later copy of a whole text goes entirely, so only first copies are searched
-    copies = stored(ids.join(first, "digest").where("at > first").select("at", "variant", F.lit(0).cast("long").alias("start"), "end").distinct(), "copies")
-    firsts = able.join(copies, ["at", "variant"], "left_anti")
+    copies = stored(ids.join(first, "digest").where("at > first").select(*key, F.lit(0).cast("long").alias("start"), "end").distinct(), "copies")
+    firsts = Marks(copies, key).anti(able, copies.select(*key))
     pieces = stored(anchor_rows(firsts), "anchors")
-    often = pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").select("piece", (F.col("n") > HOT).alias("is_hot"))
-    wanted = stored(pieces.join(often, "piece").groupBy("at", "variant").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("piece"))).alias("pieces"),
-                                                                             F.collect_set(F.when(F.col("is_hot"), F.col("piece"))).alias("hot")), "wanted-pieces")
-    found = stored(sorted_runs(able.join(wanted.where(F.size("pieces") > 0), ["at", "variant"])), "runs")
-    merged_out = merge_runs(found.where("run IS NOT NULL").select("run", "nth", "first", "last", "data"))
-    coded = found.where("run IS NULL").select("at", "start", "end").unionAll(merged_out)
+    often = stored(pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").select("piece", (F.col("n") > HOT).alias("is_hot")), "repeated-pieces")
+    repeated = pieces.where(Marks(often, ["piece"], 1 << 27).hit()).select("piece", *key).join(often, "piece")
+    wanted = stored(repeated.groupBy(*key).agg(F.collect_set(F.when(~F.col("is_hot"), F.col("piece"))).alias("pieces"),
+                                               F.collect_set(F.when(F.col("is_hot"), F.col("piece"))).alias("hot")), "wanted-pieces")
+    dropped(pieces, often)
+    able_to_repeat = able.where(Marks(wanted, key).hit()).select(*key, "text")
+    found = stored(sorted_runs(able_to_repeat.join(wanted.where(F.size("pieces") > 0), key)), "runs")
+    coded = merge_runs(found.where("run IS NOT NULL").select("run", "nth", "first", "last", "data")).unionAll(found.where("run IS NULL").select(*key, "start", "end"))
     hot = wanted.where(F.size("hot") > 0).drop("pieces")
     if not hot.isEmpty():
-        coded = coded.unionAll(hot_repeats(able.join(hot, ["at", "variant"])))
-    low = (1 << PLACE_BITS) - 1
-    spans = coded.select("at", F.shiftright("end", PLACE_BITS).alias("variant"), F.col("start").bitwiseAND(F.lit(low)).alias("start"), F.col("end").bitwiseAND(F.lit(low)).alias("end"))
-    return spans.unionAll(copies).groupBy("at", "variant").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("stretches"))
+        coded = coded.unionAll(hot_repeats(able_to_repeat.join(hot, key)))
+    out = stored(coded.unionAll(copies).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("stretches")), "removals")
+    dropped(found, wanted, copies)
+    return out
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -467,7 +496,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     their digests. Other columns are ignored.
     """
     rows = identified(docs.select("doc_id", "text"))
-    lost = stored(removals(rows), "removals")
+    lost = removals(rows)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -477,7 +506,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 out.append((len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest()))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=b["doc_id"].astype("Int64").array)
 
-    return (rows.join(lost, ["at", "variant"], "left").select(F.col("doc_id").cast("long"), "text", "stretches")
+    return (Marks(lost, ["at", "variant"]).left(rows, lost).select(F.col("doc_id").cast("long"), "text", "stretches")
             .mapInPandas(cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, doc_id long")
             .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
@@ -508,16 +537,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which nothing is left is dropped; one that was empty before stays.
     """
-    rows = identified(docs)
-    lost = stored(removals(rows), "removals")
+    rows = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))   # no column's name matters in between
+    lost = removals(rows)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, stretches: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else kept_text(t, [(y["start"], y["end"]) for y in x]) for t, x in zip(texts, stretches)])
 
-    joined = rows.join(lost, ["at", "variant"], "left")
-    out = joined.withColumn("text", F.when(F.col("stretches").isNotNull(), kept("text", "stretches")).otherwise(F.col("text")))
-    out = out.where("stretches IS NULL OR length(text) > 0")
+    cut = F.col("stretches").isNotNull()
+    joined = Marks(lost, ["at", "variant"]).left(rows, lost).withColumn("text", F.when(cut, kept("text", "stretches")).otherwise(F.col("text"))).where(~cut | (F.length("text") > 0))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("stretches").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return joined.select(*(column.alias(c) for c, column in columns.items()))
