@@ -14,15 +14,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix, stored
+from .common import U64, bounded_batches, lean, mix, stored
 
 #: Bytes of text that are hashed at once; a longer piece is hashed whole.
-WINDOW = 2 << 20
+WINDOW = 1 << 20
 #: Hashes that a task gathers before it deals them out, and strings that it counts before it sends them.
-GATHERED, STRINGS = 3_000_000, 200_000
+GATHERED, STRINGS = 1_000_000, 100_000
 #: Bytes of text for every range of hashes.
 RANGE_BYTES = 32 << 20
 #: Bits of the bitmap of survivors; more survivors than it can tell apart only let more n-grams through to the exact count.
@@ -204,7 +206,7 @@ def dealt(docs: DataFrame, sizes: tuple[int, ...], parts: int, bits) -> DataFram
         if held:
             yield out(*summed(*(np.concatenate(x) for x in zip(*held))))
 
-    return docs.mapInPandas(run, "part long, nth int, mass long, data binary")
+    return docs.mapInPandas(lean(run), "part long, nth int, mass long, data binary")
 
 
 def survivors(counted: DataFrame, parts: int, threshold: int) -> DataFrame:
@@ -240,12 +242,12 @@ def survivors(counted: DataFrame, parts: int, threshold: int) -> DataFrame:
                     summary = Summary(mass // threshold + 1)
                 held.append(unpacked(data))
                 size += len(held[-1][0])
-                if size > max(summary.capacity, GATHERED // 4):   # so merging costs in proportion to what comes in
+                if size > max(summary.capacity, GATHERED // 2):   # so merging costs in proportion to what comes in
                     merge()
         if summary is not None:
             yield from out()
 
-    return counted.repartition(parts, "part").sortWithinPartitions("part", "nth").mapInPandas(run, "hash long")
+    return counted.repartition(parts, "part").sortWithinPartitions("part", "nth").mapInPandas(lean(run), "hash long")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -258,15 +260,32 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def exact_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
-    """(lang, phrase, f) of every marked n-gram; of phrase null, all words of a language."""
+def sealed(langs: list[str], phrases: list[bytes | None], counts: list[int]) -> bytes:
+    """Counted phrases as one packed value."""
+    out = pa.BufferOutputStream()
+    batch = pa.record_batch([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def counted_by_text(docs: DataFrame, longest: int, parts: int, bits) -> DataFrame:
+    """(part, data): marked n-grams counted by their texts, packed by range of a text's hash; phrase null counts all words of a language."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, allowed = Powers(), bits.value
         counts: dict[tuple[str, bytes | None], int] = {}
 
         def out() -> pd.DataFrame:
             keys = list(counts)
-            return pd.DataFrame({"lang": [k[0] for k in keys], "phrase": [None if k[1] is None else k[1].decode("utf-8", "surrogatepass") for k in keys], "f": list(counts.values())})
+            names = np.empty(len(keys), object)
+            names[:] = [(phrase or b"") + b"\x00" + lang.encode("utf-8", "surrogatepass") for lang, phrase in keys]
+            part = (pd.util.hash_array(names, categorize=False) % np.uint64(parts)).astype(np.int64)
+            rows = []
+            for p in np.unique(part).tolist():
+                own = [keys[k] for k in np.flatnonzero(part == p)]
+                rows.append((p, sealed([k[0] for k in own], [k[1] for k in own], [counts[k] for k in own])))
+            counts.clear()
+            return pd.DataFrame(rows, columns=["part", "data"])
 
         def put(lang: str, phrase: bytes | None, n: int) -> None:
             counts[lang, phrase] = counts.get((lang, phrase), 0) + n
@@ -289,17 +308,48 @@ def exact_counts(docs: DataFrame, longest: int, bits) -> DataFrame:
                         put(langs[words.text[p]], b" ".join(phrase.split()) if size > 1 else phrase, c)
                 if len(counts) > STRINGS:
                     yield out()
-                    counts.clear()
         if counts:
             yield out()
 
-    return docs.mapInPandas(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInPandas(lean(run), "part long, data binary")
+
+
+def exact_counts(packed: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """(lang, phrase, f) with at least ``threshold`` occurrences, and all words of each language under a null phrase."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, size = None, [], 0
+
+        def merge() -> None:
+            nonlocal size
+            one = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+            held[:], size = [one], 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            merge()
+            one = held.pop()
+            one = one.filter(pc.or_(pc.is_null(one["phrase"]), pc.greater_equal(one["f"], threshold)))
+            if len(one):
+                yield one.set_column(1, "phrase", one["phrase"].cast(pa.string())).to_pandas()
+
+        for b in batches:
+            for part, data in zip(b["part"].tolist(), b["data"]):
+                if part != now and held:
+                    yield from out()
+                now = part
+                held.append(pa.ipc.open_stream(data).read_all())
+                size += len(held[-1])
+                if size > max(STRINGS, len(held[0])):   # so merging costs in proportion to what comes in
+                    merge()
+        if held:
+            yield from out()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(lean(run), "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, threshold: int = 100) -> DataFrame:
     """(lang, phrase, f): phrases of up to ``longest`` words with at least ``threshold`` occurrences, and per language all words under a null phrase."""
     spark = docs.sparkSession
-    bounded_batches(spark, megabytes=4)
+    bounded_batches(spark, megabytes=2)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text <> ''")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // RANGE_BYTES + 1
@@ -309,7 +359,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, threshold: int = 100) ->
         more = survivors(stored(dealt(rows, tuple(range(3, longest + 1)), parts, bits), "long-grams"), parts, threshold)
         found = found.unionAll(stored(more, "frequent-long-grams"))
         bits = spark.sparkContext.broadcast(bitmap(found))
-    return stored(exact_counts(rows, longest, bits).where(F.col("phrase").isNull() | (F.col("f") >= threshold)), "phrases")
+    return stored(exact_counts(counted_by_text(rows, longest, parts, bits), parts, threshold), "phrases")
 
 
 def collocations(docs: DataFrame, longest: int = 5, threshold: int = 100, top: int = 2000) -> DataFrame:
