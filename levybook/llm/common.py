@@ -45,16 +45,22 @@ def dropped(*frames: DataFrame) -> None:
                 folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def bits_for(keys: int, each: int, most: int) -> int:
+    """A power of two: ``each`` bits a key, 2^16 at least and ``most`` at most."""
+    return min(most, max(1 << 16, 1 << (keys * each - 1).bit_length()))
+
+
 class Marks:
     """A bitmap of fixed size over the keys of a table: what it does not hold is surely not among them.
 
-    It keeps rows that cannot match out of a join's shuffle. Spark puts it together, so
-    what reaches the driver and the tasks is bounded by ``bits``; the more keys, the
-    more rows pass that match nothing, which the join itself then drops.
+    It keeps rows that cannot match out of a join's shuffle. Spark puts it together: 32
+    bits a key, but ``most_bits`` at most, so what reaches the driver and the tasks is
+    bounded; with more keys, more rows pass that match nothing, which the join then drops.
     """
 
-    def __init__(self, keys: DataFrame, on: list[str], bits: int = 1 << 26):
-        self.on, self.bits = on, bits
+    def __init__(self, keys: DataFrame, on: list[str], most_bits: int = 1 << 26):
+        self.on, self.bits = on, bits_for(keys.count(), 32, most_bits)
+        bits = self.bits
         bit = F.xxhash64(*on).bitwiseAND(F.lit(bits - 1))
         cells = (keys.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
                  .groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("cell_bits")).toArrow())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,5 +27,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(low.where("low < a").select("a", "low")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(least).where("a <> b").distinct()
-        e = stored(small, "links")
+        e, before = stored(small, "links"), e
+        dropped(before)
     raise RuntimeError("components did not settle")

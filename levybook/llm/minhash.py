@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix, stored, word_hashes, words
+from .common import U64, Marks, bounded_batches, dropped, lean, mix, stored, word_hashes, words
 from .components import components
 
 #: Bins of a sketch and bins of a band: a pair at similarity 0.85 shares no band with probability 7e-9.
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 else:
                     rows.append((0, None, None, None))
             yield pd.DataFrame(rows, columns=["n_shingles", "same", "bins", "bands"]).assign(doc_id=b["doc_id"].astype("Int64").array)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "n_shingles long, same binary, bins binary, bands array<long>, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "n_shingles long, same binary, bins binary, bands array<long>, doc_id long")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -105,7 +105,7 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 yield b.loc[(p == q).sum(1) >= least, ["a", "b"]]
 
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-6)
-    return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", "sa", "sb").mapInPandas(agree, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", "sa", "sb").mapInPandas(lean(agree), "a long, b long")
 
 
 def agreement(threshold: float) -> int:
@@ -118,10 +118,15 @@ def shingle_set(text: str, size: int) -> frozenset:
     return frozenset(zip(*(ws[k:] for k in range(size)))) if len(ws) >= size else frozenset([tuple(ws)])
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids``; other texts do not travel."""
+    return Marks(ids, ["doc_id"]).semi(docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL"), ids)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of documents whose full shingle sets meet the threshold, compared word by word."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi"), "pair-texts")
+    texts = stored(texts_of(docs, ids), "pair-texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent = lru_cache(maxsize=16)(shingle_set)   # a head meets many; it ends with the task
@@ -134,7 +139,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     with_texts = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
                   .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
-    return with_texts.mapInPandas(compare, "a long, b long").distinct()
+    out = stored(with_texts.mapInPandas(lean(compare), "a long, b long").distinct(), "confirmed")
+    dropped(texts)
+    return out
 
 
 def set_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -142,8 +149,7 @@ def set_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [shingle_hashes(words(t), size).tobytes() for t in b["text"]]})
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
-    return texts.mapInPandas(run, "doc_id long, shingles binary")
+    return texts_of(docs, ids).mapInPandas(lean(run), "doc_id long, shingles binary")
 
 
 def bridges(members: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +209,7 @@ def bridges(members: DataFrame, percent: int) -> DataFrame:
             yield links_of(rest)
 
     return (placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-            .mapInPandas(run, "a long, b long").distinct())
+            .mapInPandas(lean(run), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -234,7 +240,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     heads = members.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("head"))
     pair = [F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")]
     near = likely(members.join(heads, "key").where("doc_id <> head").select(*pair).distinct(), sets, threshold)
-    links = stored(verified(stored(near, "near-pairs"), docs, size, percent), "links-to-heads")
+    near = stored(near, "near-pairs")
+    links = verified(near, docs, size, percent)
 
     def labelled(df: DataFrame, labels: DataFrame, at: str) -> DataFrame:
         return df.join(labels.withColumnRenamed("node", at), at, "left").withColumn("component", F.coalesce("component", at))
@@ -242,8 +249,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     parts = labelled(members.where("count > 2"), components(links), "doc_id")
     apart = parts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = stored(parts.join(apart, "key", "left_semi").select("key", "doc_id", "component"), "open-buckets")
-    whole = sets.select("doc_id", "n_shingles", "bins", "bands").join(set_rows(docs, rest.select("doc_id").distinct(), size), "doc_id")
-    further = verified(stored(bridges(rest.join(stored(whole, "open-sets"), "doc_id"), percent), "bridges"), docs, size, percent)
+    dropped(members, near)
+    open_ids = stored(rest.select("doc_id").distinct(), "open-ids")
+    whole = Marks(open_ids, ["doc_id"]).semi(sets.select("doc_id", "n_shingles", "bins", "bands"), open_ids).join(set_rows(docs, open_ids, size), "doc_id")
+    whole = stored(whole, "open-sets")
+    joined = stored(bridges(rest.join(whole, "doc_id"), percent), "bridges")
+    dropped(rest, whole, open_ids, sets)
+    further = verified(joined, docs, size, percent)
     # rows that repeat a doc_id tie their sets together
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = known.join(repeated, "doc_id", "left_semi").join(same, "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
