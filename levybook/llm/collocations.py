@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, lean, mix, stored
+from .common import U64, bits_for, bounded_batches, dropped, lean, mix, stored
 
 #: Bytes of text that are hashed at once; a longer piece is hashed whole.
 WINDOW = 1 << 20
@@ -27,8 +27,8 @@ WINDOW = 1 << 20
 GATHERED, STRINGS = 1_000_000, 100_000
 #: Bytes of text for every range of hashes.
 RANGE_BYTES = 32 << 20
-#: Bits of the bitmap of survivors; more survivors than it can tell apart only let more n-grams through to the exact count.
-BITS = 1 << 26
+#: Bits of the bitmap of survivors at most; more survivors than it can tell apart only let more n-grams through to the exact count.
+MOST_BITS = 1 << 26
 BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 ODD = mix(np.arange(1, 17, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -114,7 +114,7 @@ def windows(texts, langs, powers: Powers, checked: bool = False) -> Iterator[tup
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = (hashes % U64(BITS)).astype(np.int64)
+    bit = (hashes & U64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -251,11 +251,12 @@ def survivors(counted: DataFrame, parts: int, threshold: int) -> DataFrame:
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """``BITS`` bits, set where a hash falls; put together by Spark, so what comes back is bounded."""
-    bit = F.col("hash").bitwiseAND(F.lit(BITS - 1))
+    """64 bits a hash, but ``MOST_BITS`` at most, set where a hash falls; put together by Spark, so what comes back is bounded."""
+    bits = bits_for(hashes.count(), 64, MOST_BITS)
+    bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
     cells = (hashes.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
              .groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow())
-    out = np.zeros(BITS // 64, "<i8")
+    out = np.zeros(bits // 64, "<i8")
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return out.view(np.uint8)
 
@@ -353,12 +354,15 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, threshold: int = 100) ->
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text <> ''")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // RANGE_BYTES + 1
-    found = stored(survivors(stored(dealt(rows, (1, 2), parts, None), "grams"), parts, threshold), "frequent-grams")
+    grams = stored(dealt(rows, (1, 2), parts, None), "grams")
+    found = stored(survivors(grams, parts, threshold), "frequent-grams")
+    dropped(grams)
     bits = spark.sparkContext.broadcast(bitmap(found))
     if longest > 2:
-        more = survivors(stored(dealt(rows, tuple(range(3, longest + 1)), parts, bits), "long-grams"), parts, threshold)
-        found = found.unionAll(stored(more, "frequent-long-grams"))
-        bits = spark.sparkContext.broadcast(bitmap(found))
+        grams = stored(dealt(rows, tuple(range(3, longest + 1)), parts, bits), "long-grams")
+        more = stored(survivors(grams, parts, threshold), "frequent-long-grams")
+        dropped(grams)
+        bits = spark.sparkContext.broadcast(bitmap(found.unionAll(more)))
     return stored(exact_counts(counted_by_text(rows, longest, parts, bits), parts, threshold), "phrases")
 
 
