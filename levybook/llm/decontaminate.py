@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back, lean
 
 #: Characters of benchmark items that one pass over the documents looks for.
 BLOCK_CHARS = 1 << 20
@@ -96,7 +96,7 @@ class Matcher:
         found: dict[int, tuple[int, int]] = {}
         if not self.any or not text:
             return found
-        tried: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int, int]] = set()
         for last, (size, parts) in self.automaton.iter(text):
             at = last + 1 - size
             for leaf in parts:
@@ -106,7 +106,7 @@ class Matcher:
                 base, part, result = at - leaf.start, leaf, (0, last + 1)
                 while part.up is not None and result:
                     part = part.up
-                    key = (part.item, part.start * 65536 + part.end, base)
+                    key = (part.item, part.start, part.end, base)
                     if key in tried:
                         result = None
                         break
@@ -121,6 +121,19 @@ class Matcher:
         return found
 
 
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[int | None]]]]:
+    """The items, equal ones together, in blocks of about ``BLOCK_CHARS`` characters; they are the stated query set, which the driver hands to the tasks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("length(trim(text)) > 0")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = int(chars // BLOCK_CHARS) + 1
+    for k in range(n):
+        ids: dict[str, list] = {}
+        for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect():
+            if r["text"] and normal(r["text"]):
+                ids.setdefault(normal(r["text"]), []).append(r["item_id"])
+        yield list(ids.items())
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """Pairs (doc_id, item_id, distance, end): documents that hold a benchmark item with at most ``rate`` edits a character.
 
@@ -132,18 +145,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFr
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("length(trim(text)) > 0")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // BLOCK_CHARS) + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        ids: dict[str, list] = {}
-        for r in rows:
-            if r["text"] and normal(r["text"]):
-                ids.setdefault(normal(r["text"]), []).append(r["item_id"])
-        sent = spark.sparkContext.broadcast(list(ids.items()))
+    for items in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             known = sent.value
@@ -153,12 +158,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFr
                 yield pd.DataFrame({"doc_id": pd.array([None if g[0] is pd.NA else g[0] for g in got], "Int64"), "item_id": pd.array([g[1] for g in got], "Int64"),
                                     "distance": [g[2] for g in got], "end": [g[3] for g in got]})
 
-        block = texts.mapInPandas(search, "doc_id long, item_id long, distance long, end long")
+        block = texts.mapInPandas(lean(search), "doc_id long, item_id long, distance long, end long")
         out = block if out is None else out.unionAll(block)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end")).alias("best")).select("doc_id", "item_id", "best.distance", "best.end")
 
 
+def holds_any(spark: SparkSession, items: list[str], rate: float):
+    """A column function: whether a text holds one of the items."""
+    sent = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, rate)
+        for some in texts:
+            yield pd.Series([bool(matcher.find(normal(t))) for t in some], dtype=bool)
+        give_back()
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns kept, also rows with a null doc_id."""
-    leaked = matches(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]) & docs["doc_id"].isNotNull(), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; all columns kept, and rows judged each, whatever their doc_id."""
+    bounded_batches(docs.sparkSession)
+    for block in blocks(benchmark):
+        docs = docs.where(~holds_any(docs.sparkSession, [t for t, _ in block], rate)("text"))
+    return docs

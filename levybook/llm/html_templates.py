@@ -1,9 +1,11 @@
 """Main text of web pages by removing the template of their site.
 
-Every block element's subtree (tags, attributes, text) is hashed; Spark counts in
-how many different pages of a host each hash occurs; subtrees that recur across many
-of them are the host's template and are deleted, besides the elements that HTML itself
-marks as not being the article (navigation, forms, scripts, notices and so on).
+Every block element's subtree is hashed twice: with its text, and by structure alone
+(tags, classes and ids, no text and no links' targets). Spark counts in how many
+different pages of a host each hash occurs. Subtrees that recur are the host's template
+and are deleted; a structure outside the article recurs as template where its words are
+few or stand in links, so menus and adverts go whose words differ from page to page.
+Besides, what HTML itself marks as not being the article goes (scripts, forms, menus).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, lean, stored
 
 # Fixed values of HTML: element kinds, and words that name page parts in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,15 +28,21 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html article main section div td th".split())
-NOT_ARTICLE = frozenset("nav footer aside form button input label fieldset dialog menu head".split())
+NOT_ARTICLE = frozenset("nav footer aside form button input fieldset dialog menu head".split())
+OUTSIDE = frozenset("label".split())   # no article outside of one
 PARTS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-                  "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices outbrain pagination popup promo promotion "
-                  "reader-comments related respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget".split())
+                  "cookie-banner cookie-consent cookie-notice disqus_thread footer gdpr login main-nav masthead menu modal nav navbar navigation newsletter notice notices "
+                  "outbrain pagination popup promo promo-box promotion reader-comments related respond search share sharing sidebar signup site-footer site-header "
+                  "site-nav skip-link social sponsor sponsored subscribe taboola toolbar widget".split())
+PARTS_INSIDE = frozenset("ad ads advert adverts advertisement adsense comments commentlist comment-list disqus_thread reader-comments share sharing".split())
 PART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
                    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.I | re.S)
-ATTR = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Elements whose structure is counted, if they are named or their words stand in links; and the mean of words that are few.
+CONTAINER = frozenset("aside center details dialog div dl fieldset footer form header menu nav ol section table ul".split())
+FEW_WORDS = 25
 
 
 class Node:
@@ -92,22 +100,34 @@ def parse(source: str) -> Node:
     return root
 
 
-def not_article(node: Node) -> bool:
-    """Whether HTML or its class, id or role says that the element is no part of the article."""
-    if node.tag in NOT_ARTICLE:
-        return True
-    if "=" not in node.attrs or node.tag in ("html", "body", "article", "main"):
-        if node.tag != "article" or "=" not in node.attrs:
-            return False
+def names_of(node: Node) -> tuple[set[str], str, bool]:
+    """Classes and id of an element, its role, and whether it is hidden."""
+    names, role, hidden = set(), "", False
     for name, a, b, c in ATTR.findall(node.attrs):
-        value = (a or b or c).lower()
-        if name.lower() in ("class", "id"):
-            for word in value.split():
-                if word in PARTS or any(w in PARTS for w in re.split(r"[_\-]+", word)):
-                    return True
-        elif name.lower() == "role" and value in PART_ROLES:
-            return True
-    return "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", node.attrs).lower().split()
+        value, name = (a or b or c).lower(), name.lower()
+        if name in ("class", "id"):
+            names.update(value.split())
+        elif name == "role":
+            role = value
+        elif name == "hidden":
+            hidden = True
+    return names, role, hidden
+
+
+def not_article(node: Node, inside: bool = False) -> bool:
+    """Whether HTML or its class, id or role says that the element is no part of the article.
+
+    Names count as whole words only, and inside an article only the plainest do."""
+    if node.tag in NOT_ARTICLE or node.tag in OUTSIDE and not inside:
+        return True
+    if not node.attrs or node.tag in ("html", "body"):
+        return False
+    names, role, hidden = names_of(node)
+    if hidden:
+        return True
+    if node.tag in ("article", "main"):
+        return bool(names & PARTS_INSIDE)
+    return not names.isdisjoint(PARTS_INSIDE if inside else PARTS) or role in PART_ROLES
 
 
 def nodes(root: Node) -> list[Node]:
@@ -141,13 +161,52 @@ def block_digests(order: list[Node]) -> dict[int, int]:
     return found
 
 
+def structures(order: list[Node]) -> dict[int, tuple[int, int, int]]:
+    """By node outside articles: hash of its structure, its words, and those of them in links.
+
+    Only containers that have a name or hold mostly links are in it, and none with a
+    title; like neighbours count as one, so lists of any length are alike.
+    """
+    from xxhash import xxh3_64_intdigest
+    sign: dict[int, str] = {}
+    words: dict[int, tuple[int, int]] = {}
+    kept: set[int] = set()   # articles, titles, and what they are in
+    found: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(order):
+        own, linked, parts = 0, 0, []
+        for k in n.kids:
+            if isinstance(k, Node):
+                own, linked = own + words[id(k)][0], linked + words[id(k)][1]
+                if not parts or parts[-1] != sign[id(k)]:
+                    parts.append(sign[id(k)])
+                if id(k) in kept:
+                    kept.add(id(n))
+            else:
+                own += len(k.split())
+        if n.tag in ("article", "main", "h1"):
+            kept.add(id(n))
+        words[id(n)] = own, own if n.tag == "a" else linked
+        names = names_of(n)[0] if n.attrs else set()
+        digest = xxh3_64_intdigest(f"{n.tag} {' '.join(sorted(names))}\x00{' '.join(parts)}")
+        sign[id(n)] = f"{digest:x}"
+        if n.tag in CONTAINER and own and id(n) not in kept and (names or n.tag not in ("div", "section", "table") or 2 * linked >= own):
+            found[id(n)] = signed(digest), own, linked
+    todo, inside = [n for n in order if n.tag in ("article", "main")], set()
+    while todo:   # what is in an article is judged by its text alone
+        n = todo.pop()
+        if id(n) not in inside:
+            inside.add(id(n))
+            todo += [k for k in n.kids if isinstance(k, Node)]
+    return {n: x for n, x in found.items() if n not in inside}
+
+
 def marked(n: Node, inside: bool) -> bool:
     """Whether the element, inside an article or not, goes by what HTML and its own names say."""
-    return n.tag == "header" and not inside or (n.closed or n.tag in VOID or n.tag in ("button", "label", "head")) and not_article(n)
+    return n.tag == "header" and not inside or (n.closed or n.tag in VOID or n.tag in ("button", "label", "head")) and not_article(n, inside)
 
 
-def subtree_hashes(source: str | None) -> tuple[int, list[tuple[int, int]]]:
-    """The page's body and its distinct (subtree, unit): hashes of block subtrees that hold text.
+def subtree_hashes(source: str | None) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The page's body, its distinct (subtree, unit): hashes of block subtrees that hold text, and its (structure, words, linked words).
 
     Body is a hash of the words of the page's articles, or of the page where it has none;
     unit that of the innermost article around the subtree, or else the body. Attributes
@@ -177,15 +236,17 @@ def subtree_hashes(source: str | None) -> tuple[int, list[tuple[int, int]]]:
     body = signed(xxh3_64_intdigest(whole))
     unit = {id(n): signed(int(words[id(n)], 16)) if words[id(n)] else body for n in set(article.values()) - {None}}
     digests = block_digests(order)
-    return body, sorted({(digests[id(n)], unit[id(article[id(n)])] if article[id(n)] else body) for n in order if n.kids and id(n) in digests}, key=lambda x: (x[1], x[0]))
+    return body, sorted({(digests[id(n)], unit[id(article[id(n)])] if article[id(n)] else body) for n in order if n.kids and id(n) in digests}, key=lambda x: (x[1], x[0])), sorted(structures(order).values())
 
 
-def main_text(source: str | None, template: set[int]) -> str:
-    """Blocks of the page in order, one a line, without ``template`` subtrees and without what is no article.
+def main_text(source: str | None, template: set[int], shapes: set[int] = frozenset()) -> str:
+    """Blocks of the page in order, one a line, without ``template`` subtrees, structures in ``shapes``, and what is no article.
 
     Where nothing else is left, the template subtrees stay."""
     root = parse(source or "")
     cut = {n for n, digest in block_digests(nodes(root)).items() if digest in template} if template else set()
+    if shapes:
+        cut |= {n for n, (shape, _, _) in structures(nodes(root)).items() if shape in shapes}
 
     def dropped(n: Node, inside: bool) -> bool:
         return id(n) in cut or marked(n, inside)
@@ -246,15 +307,17 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
+def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, outer_share: float = 0.1) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     A subtree is template when at least ``min_pages`` different pages and ``min_share``
     of all different pages of its host hold it. Pages with the same article count once,
     whatever is around it, and a subtree counts once for all copies of the article that
-    it is in; articles themselves are never template. Null or empty html gives the empty
-    text; pages without a host form one host of their own; repeated rows are returned
-    each; other columns are ignored.
+    it is in; articles themselves are never template. A structure outside the article
+    is template from ``min_pages`` different pages and ``outer_share`` on, if its words
+    are ``FEW_WORDS`` on average at most or half of them stand in links. Null or empty
+    html gives the empty text; pages without a host form one host of their own; repeated
+    rows are returned each; other columns are ignored.
     """
     bounded_batches(pages.sparkSession, rows=500)
     base = pages.select("page_id", "url", "html")
@@ -263,23 +326,34 @@ def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5) ->
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [subtree_hashes(h) for h in b["html"]]
-            yield pd.DataFrame({"page_key": b["page_key"], "host": b["host"], "body": [body for body, _ in found],
-                                "hashes": [[h for h, _ in x] for _, x in found], "units": [[u for _, u in x] for _, x in found]})
+            shapes = [list(zip(*x)) or [(), (), ()] for _, _, x in found]
+            yield pd.DataFrame({"page_key": b["page_key"], "host": b["host"], "body": [body for body, _, _ in found],
+                                "hashes": [[h for h, _ in x] for _, x, _ in found], "units": [[u for _, u in x] for _, x, _ in found],
+                                "shapes": [x[0] for x in shapes], "words": [x[1] for x in shapes], "linked": [x[2] for x in shapes]})
 
-    seen = stored(keyed.select("page_key", "host", "html").mapInPandas(hashes, "page_key long, host string, body long, hashes array<long>, units array<long>"), "subtrees")
+    seen = stored(keyed.select("page_key", "host", "html").mapInPandas(lean(hashes), "page_key long, host string, body long, hashes array<long>, units array<long>, "
+                                                                       "shapes array<long>, words array<int>, linked array<int>"), "subtrees")
     exploded = seen.select("page_key", "host", "body", F.inline(F.arrays_zip(F.col("hashes").alias("subtree"), F.col("units").alias("unit"))))
+    shaped = seen.select("page_key", "host", "body", F.inline(F.arrays_zip(F.col("shapes").alias("shape"), "words", "linked")))
     sizes = seen.groupBy("host").agg(F.count_distinct("body").alias("host_pages"))
     # most subtrees occur once; only those on enough rows are counted over different pages
     often = stored(exploded.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"), "frequent-subtrees")
     counted = exploded.join(often, ["host", "subtree"], "left_semi").groupBy("host", "subtree").agg(F.least(F.count_distinct("body"), F.count_distinct("unit")).alias("n"))
-    template = stored(counted.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(min_share)).select("host", "subtree"), "templates")
-    hits = stored(exploded.join(template, ["host", "subtree"], "left_semi").groupBy("page_key").agg(F.collect_set("subtree").alias("template")), "template-hits")
+    template = counted.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(min_share)).select("host", "subtree")
+    few = (F.sum("words") <= F.count(F.lit(1)) * FEW_WORDS) | (2 * F.sum("linked") >= F.sum("words"))
+    outer = (shaped.groupBy("host", "shape", "body").agg(F.avg("words").alias("words"), F.avg("linked").alias("linked"))
+             .groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), few.alias("few")).where((F.col("n") >= min_pages) & F.col("few"))
+             .join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(outer_share)).select("host", "shape"))
+    template, outer = stored(template, "templates"), stored(outer, "outer-templates")
+    hits = (exploded.join(template, ["host", "subtree"], "left_semi").select("page_key", "subtree", F.lit(None).cast("long").alias("shape"))
+            .unionAll(shaped.join(outer, ["host", "shape"], "left_semi").select("page_key", F.lit(None).cast("long"), "shape")))
+    hits = stored(hits.groupBy("page_key").agg(F.collect_set("subtree").alias("template"), F.collect_set("shape").alias("outer")), "template-hits")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"],
-                                "text": [main_text(h, set(t) if t is not None else set()) for h, t in zip(b["html"], b["template"])]})
+                                "text": [main_text(h, set(t) if t is not None else set(), set(o) if o is not None else set()) for h, t, o in zip(b["html"], b["template"], b["outer"])]})
 
-    out = (keyed.join(hits, "page_key", "left").select(F.col("page_id").cast("long"), "url", "html", "template")
-           .mapInPandas(extract, "page_id long, url string, text string"))
+    out = (keyed.join(hits, "page_key", "left").select(F.col("page_id").cast("long"), "url", "html", "template", "outer")
+           .mapInPandas(lean(extract), "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
