@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps with the
 columns of ``documents``; the last returns their token ids. ``run`` stores each stage's
-rows as Parquet and gives them to the next. Stages keep rows with a null doc_id,
-repeated rows and further columns, and return empty tables for empty tables.
+rows as Parquet and gives them to the next. Stages decide on rows with a null doc_id
+and repeated rows like on others, keep further columns, and return empty tables for
+empty tables.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from levybook.llm.queries import PIECE_FILE, tokenizer_file
 LEAST_SCORE = 0.5
 #: Near duplicates: words of a shingle, and percent of shingles shared.
 SHINGLE, PERCENT = 5, 80
+#: A column that no table of documents has.
+GROUP_KEY = "__near_duplicate_key"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +36,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates; null doc_ids are in no group."""
-    gone = minhash.near_duplicates(docs, SHINGLE, PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of every group of near duplicates; those without a doc_id come last, in order of a hash of their text, and equal ones of them are one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+    gone = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), SHINGLE, PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias(GROUP_KEY)).distinct()
+    left = docs.withColumn(GROUP_KEY, key).join(gone, GROUP_KEY, "left_anti")
+    named = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").dropDuplicates([GROUP_KEY, "text"]))
+    return named.select(*docs.columns)
 
 
 def first_occurrences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +55,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids, decoded, round_trip of every document."""
-    return sentencepiece_codec.encode_decode(docs, tokenizer_file(PIECE_FILE))
+    """doc_id, n_bytes, n_tokens, ids, decoded, round_trip, checked of every document."""
+    return sentencepiece_codec.encode_decode(docs, tokenizer_file(PIECE_FILE), keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back, lean
 
 #: Longest context in bytes.
 ORDER = 3
@@ -57,7 +57,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOC
                 u, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": u.astype(np.int64), "n": n})
 
-    return sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return sample.mapInPandas(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class ContextTree:
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
         for t in texts:
             pred, score = sent.value.predict(t.tolist())
             yield pd.DataFrame({"lang_pred": pred, "score": score})
+        give_back()
 
     return kept.withColumn("_guess", guess("text")).select(*kept.columns, "_guess.lang_pred", "_guess.score")
 

@@ -86,6 +86,16 @@ def test_stages_leave_clean_documents(spark):
         assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(range(40)), name
 
 
+def test_rows_without_a_doc_id_are_judged(spark):
+    """Copies and leaked passages go whether they have a doc_id or not; what is clean stays."""
+    base, own = prose(1, 60), prose(2, 60)
+    docs = spark.createDataFrame([(None, base), (3, base), (None, base + " end"), (None, own), (None, own), (4, own + " more words"), (None, prose(5, 50)), (None, None), (None, "")], "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(3, base), (4, own + " more words"), (0, prose(5, 50)), (0, ""), (0, "")])
+    bench = spark.createDataFrame([(1, prose(5, 20))], "item_id long, text string")
+    assert sorted(r["text"] or "" for r in decontaminate.clean(docs, bench).collect()) == sorted(t for t in [base, base, base + " end", own, own, own + " more words", "", ""])
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None and "pipeline" not in __spark_entry__.oracle_sql()
