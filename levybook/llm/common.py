@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other byte unchanged.
@@ -51,42 +50,37 @@ def bits_for(keys: int, each: int, most: int) -> int:
 
 
 class Marks:
-    """A bitmap of fixed size over the keys of a table: what it does not hold is surely not among them.
+    """A bitmap of bounded size over the keys of a table: what it does not hold is surely not among them.
 
-    It keeps rows that cannot match out of a join's shuffle. Spark puts it together: 32
-    bits a key, but ``most_bits`` at most, so what reaches the driver and the tasks is
-    bounded; with more keys, more rows pass that match nothing, which the join then drops.
+    It keeps rows that cannot match out of a join's shuffle. The bitmap is a table of
+    cells of 64 bits: 32 bits a key, but ``most_bits`` at most, so broadcasting it is
+    safe; with more keys, more rows pass that match nothing, which the join then drops.
     """
 
     def __init__(self, keys: DataFrame, on: list[str], most_bits: int = 1 << 26):
-        self.on, self.bits = on, bits_for(keys.count(), 32, most_bits)
-        bits = self.bits
-        bit = F.xxhash64(*on).bitwiseAND(F.lit(bits - 1))
-        cells = (keys.select(F.shiftright(bit, 6).alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-                 .groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("cell_bits")).toArrow())
-        held = np.zeros(bits // 64, "<i8")
-        held[cells["cell"].to_numpy()] = cells["cell_bits"].to_numpy()
-        self.sent = keys.sparkSession.sparkContext.broadcast(held.view(np.uint8))
-
-    def hit(self):
-        """Whether a row's key may be among the keys."""
-        sent, mask = self.sent, self.bits - 1
-
-        @F.pandas_udf("boolean")
-        def may_hold(hashes: pd.Series) -> pd.Series:
-            bit = hashes.to_numpy() & mask
-            return pd.Series((sent.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
-        return may_hold(F.xxhash64(*self.on))
+        self.on, self.mask = on, bits_for(keys.count(), 32, most_bits) - 1
+        bit = self.place().bitwiseAND(F.lit(63)).cast("int")
+        self.cells = (keys.select(F.shiftright(self.place(), 6).alias("_cell"), bit.alias("_bit")).groupBy("_cell")
+                      .agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")))
+
+    def place(self) -> Column:
+        return F.xxhash64(*self.on).bitwiseAND(F.lit(self.mask))
+
+    def near(self, rows: DataFrame, hit: bool = True) -> DataFrame:
+        """The rows whose keys may be among the keys, or the others."""
+        bit = self.place().bitwiseAND(F.lit(63)).cast("int")
+        held = rows.withColumn("_cell", F.shiftright(self.place(), 6)).join(F.broadcast(self.cells), "_cell", "left")
+        return held.where(F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)) == hit).drop("_cell", "_bits")
 
     def semi(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
-        return rows.where(self.hit()).join(keys, self.on, "left_semi")
+        return self.near(rows).join(keys, self.on, "left_semi")
 
     def anti(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
-        return rows.where(~self.hit()).unionByName(rows.where(self.hit()).join(keys, self.on, "left_anti"))
+        return self.near(rows, False).unionByName(self.near(rows).join(keys, self.on, "left_anti"))
 
     def left(self, rows: DataFrame, other: DataFrame) -> DataFrame:
         """A left join; rows that match nothing stay where they are."""
-        return rows.where(~self.hit()).unionByName(rows.where(self.hit()).join(other, self.on, "left"), allowMissingColumns=True)
+        return self.near(rows, False).unionByName(self.near(rows).join(other, self.on, "left"), allowMissingColumns=True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500, megabytes: int = 8) -> None:

@@ -471,11 +471,11 @@ def removals(docs: DataFrame) -> DataFrame:
     firsts = Marks(copies, key).anti(able, copies.select(*key))
     pieces = stored(anchor_rows(firsts), "anchors")
     often = stored(pieces.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").select("piece", (F.col("n") > HOT).alias("is_hot")), "repeated-pieces")
-    repeated = pieces.where(Marks(often, ["piece"], 1 << 27).hit()).select("piece", *key).join(often, "piece")
+    repeated = Marks(often, ["piece"]).near(pieces).select("piece", *key).join(often, "piece")
     wanted = stored(repeated.groupBy(*key).agg(F.collect_set(F.when(~F.col("is_hot"), F.col("piece"))).alias("pieces"),
                                                F.collect_set(F.when(F.col("is_hot"), F.col("piece"))).alias("hot")), "wanted-pieces")
     dropped(pieces, often)
-    able_to_repeat = able.where(Marks(wanted, key).hit()).select(*key, "text")
+    able_to_repeat = Marks(wanted, key).near(able).select(*key, "text")
     found = stored(sorted_runs(able_to_repeat.join(wanted.where(F.size("pieces") > 0), key)), "runs")
     coded = merge_runs(found.where("run IS NOT NULL").select("run", "nth", "first", "last", "data")).unionAll(found.where("run IS NULL").select(*key, "start", "end"))
     hot = wanted.where(F.size("hot") > 0).drop("pieces")
