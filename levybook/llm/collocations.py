@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bits_for, bounded_batches, dropped, lean, mix, stored
+from .common import U64, bits_for, bounded_batches, lean, mix, stored
 
 #: Bytes of text that are hashed at once; a longer piece is hashed whole.
 WINDOW = 1 << 20
@@ -354,14 +354,10 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, threshold: int = 100) ->
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where("text <> ''")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // RANGE_BYTES + 1
-    grams = stored(dealt(rows, (1, 2), parts, None), "grams")
-    found = stored(survivors(grams, parts, threshold), "frequent-grams")
-    dropped(grams)
+    found = stored(survivors(dealt(rows, (1, 2), parts, None), parts, threshold), "frequent-grams")
     bits = spark.sparkContext.broadcast(bitmap(found))
     if longest > 2:
-        grams = stored(dealt(rows, tuple(range(3, longest + 1)), parts, bits), "long-grams")
-        more = stored(survivors(grams, parts, threshold), "frequent-long-grams")
-        dropped(grams)
+        more = stored(survivors(dealt(rows, tuple(range(3, longest + 1)), parts, bits), parts, threshold), "frequent-long-grams")
         bits = spark.sparkContext.broadcast(bitmap(found.unionAll(more)))
     return stored(exact_counts(counted_by_text(rows, longest, parts, bits), parts, threshold), "phrases")
 
