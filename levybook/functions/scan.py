@@ -6,7 +6,8 @@
 * ``running`` is a two-level scan.  Rows of one key are cut into chunks that
   follow the order; a chunk's total is aggregated first, the totals are scanned
   (one row per chunk), and each chunk is then scanned in its own task with the
-  carried-in value.  No task ever holds a whole hot key.
+  carried-in value.  No task holds all rows of a hot key, but one does scan all
+  of its chunk totals, so chunks should not be too small.
 """
 
 from __future__ import annotations
