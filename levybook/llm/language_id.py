@@ -38,11 +38,18 @@ def gram_counts(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOC
     """(lang, gram, n) over the training sample; a gram holds the last byte and up to ``order`` bytes before it.
 
     The sample takes up to ``train_docs`` documents a language in order of a hash of
-    their ids. Rows without lang or text do not train.
+    their ids, then of their texts; a row that is repeated whole trains once. Rows
+    without lang or text do not train. Hashes alone are ranked: a language's last place
+    in the sample is one row, fewer than the model that follows from them, and texts are
+    read again up to it.
     """
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = (docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND length(text) > 0")
-              .withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= train_docs).select("lang", "text"))
+    place = [F.xxhash64("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_text")]
+    able = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND length(text) > 0").select("lang", *place, "text")
+    ranked = Window.partitionBy("lang").orderBy("_id", "_text")
+    last = (able.select("lang", "_id", "_text").distinct().withColumn("_nth", F.row_number().over(ranked)).where(F.col("_nth") <= train_docs)
+            .groupBy("lang").agg(F.max(F.struct("_id", "_text")).alias("_last")))
+    sample = (able.join(F.broadcast(last), "lang").where(F.struct("_id", "_text") <= F.col("_last"))
+              .dropDuplicates(["lang", "_id", "_text"]).select("lang", "text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -90,12 +97,15 @@ class ContextTree:
         del parents, steps
         table = np.concatenate(tables)
         self.symbols, self.order = symbols, order
-        # a context that the tree lacks ends the walk: it steps to a twin that stays where it is
-        child = np.repeat(np.concatenate([np.arange(size) + size] * 2), symbols).reshape(2 * size, symbols)
+        # a context that the tree lacks ends the walk: it steps to a twin that stays where it is; the longest
+        # contexts, most of the tree, are reached by the last step only and have neither a twin nor children
+        inner = bases[order]
+        child = np.repeat(np.concatenate([np.arange(inner, dtype=np.int32) + inner] * 2), symbols).reshape(2 * inner, symbols)
         for up, step, to in edges:
-            child[up, step] = to
+            child[up, step] = np.where(to < inner, to, to + inner)
         self.child = (child * symbols).astype(np.int32).ravel()
-        self.bits = -np.log2(np.concatenate([table, table])).astype(np.float32).ravel()
+        bits = -np.log2(table).astype(np.float32)
+        self.bits = np.concatenate([bits[:inner], bits]).ravel()
 
     def lengths(self, x: np.ndarray) -> np.ndarray:
         """Bits of each byte from the ``order``-th on."""
