@@ -2,68 +2,133 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose, text_year
 from ..functions.shared import cut
-from ..functions.scan import (Scan, anti, coalescing_upsert, flag_in, insert_ignore, latest,
-                              running, semi)
+from ..functions.scan import anti, coalescing_upsert, flag_in, insert_ignore, latest, semi
 
 FACT_KEY = ["geoid", "category", "instrument_code"]
 
 
 # -- D1 ---------------------------------------------------------------------
 
+#: Nodes of the tree over an array of arrivals that have one parent.
+FAN_IN = 64
+
+
+def _takes(step: Column, live: Column) -> Column:
+    """Whether ``step`` displaces ``live``."""
+    return live["rank"] <= step["upto"]
+
+
+def _composed(first: Column, then: Column) -> Column:
+    """One step that does what the two do in turn."""
+    inner = F.when(_takes(then, first["row"]), then["row"]).otherwise(first["row"])
+    return F.when(then["upto"] >= first["upto"], then).otherwise(F.struct(inner.alias("row"), first["upto"].alias("upto")))
+
+
+def _steps(rows: DataFrame, keys: list[str], seq: str, bare_years: bool) -> DataFrame:
+    """Each arrival as a step: the row it makes live, and the greatest rank that it displaces.
+
+    A rank is the year, then the day; a bare year ranks before its days, a row without
+    a year before all. An undated arrival displaces everything, a bare year whatever
+    lies in it or before, a date whatever is not later.
+    """
+    c = F.col
+    day = F.when(text_year(c("effective_date")).isNotNull(), F.substring("effective_date", 1, 10))
+    year = F.coalesce(text_year(day), c("fiscal_year").cast("int")) if bare_years else text_year(day)
+    at = F.lpad((year.cast("long") + (1 << 31)).cast("string"), 10, "0")
+    upto = F.when(at.isNull(), "~").otherwise(F.concat(at, F.coalesce(day, F.lit("~"))))
+    rank = F.coalesce(F.concat(at, F.coalesce(day, F.lit(""))), F.lit(""))
+    live = F.struct(rank.alias("rank"), c(seq).cast("long").alias("seq"))
+    return rows.select(*keys, c(seq).cast("long").alias("_seq"), F.struct(live.alias("row"), upto.alias("upto")).alias("_step"))
+
+
+def _gathered(steps: DataFrame, keys: list[str], at: str, fan: int) -> DataFrame:
+    """Nodes over at most ``fan`` places each: their steps in order, and these composed."""
+    kids = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("_step").alias("step"))))
+    nodes = steps.groupBy(*keys, F.floor(F.col(at) / fan).alias("_node")).agg(kids.alias("_kids"))
+    whole = F.aggregate(F.slice("_kids", 2, fan), F.col("_kids")[0]["step"], lambda done, kid: _composed(done, kid["step"]))
+    return nodes.withColumn("_step", whole)
+
+
+def _entered(nodes: DataFrame) -> Column:
+    """Per kid of a node the live row that it meets; the node itself meets ``_live``."""
+    start = F.struct(F.col("_live").alias("live"), F.expr("cast(array() as array<struct<at:bigint,takes:boolean,live:struct<rank:string,seq:bigint>>>)").alias("out"))
+
+    def enter(acc: Column, kid: Column) -> Column:
+        takes = _takes(kid["step"], acc["live"])
+        seen = F.struct(kid["at"].alias("at"), takes.alias("takes"), acc["live"].alias("live"))
+        return F.struct(F.when(takes, kid["step"]["row"]).otherwise(acc["live"]).alias("live"), F.concat(acc["out"], F.array(seen)).alias("out"))
+
+    return F.aggregate("_kids", start, enter, lambda acc: acc["out"])
+
+
+def _next_heads(heads: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(keys, _node, _after): the first ``_head`` among the later nodes of a key; up the tree by minima, down by siblings."""
+    if not levels:
+        return heads.select(*keys, "_node", F.lit(None).cast("long").alias("_after"))
+    c = F.col
+    held = heads.withColumn("_up", F.floor(c("_node") / FAN_IN))
+    up = held.groupBy(*keys, "_up").agg(F.min("_head").alias("_head")).withColumnRenamed("_up", "_node")
+    above = _next_heads(up, keys, levels - 1).withColumnRenamed("_node", "_up").withColumnRenamed("_after", "_beyond")
+    later = Window.partitionBy(*keys, "_up").orderBy("_node").rowsBetween(1, Window.unboundedFollowing)
+    near = held.withColumn("_near", F.first("_head", ignorenulls=True).over(later))
+    return near.join(above, [*keys, "_up"]).select(*keys, "_node", F.coalesce("_near", "_beyond").alias("_after"))
+
+
 def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arrival_seq",
-              bare_years: bool = True, chunk_rows: int = 4096) -> DataFrame:
+              bare_years: bool = True, chunk_rows: int = 256) -> DataFrame:
     """Which arrivals became the live row, and what displaced each row.
 
     ``rows`` holds the arrivals of every key, the stored live row (if any) being
-    the first.  A row clearly older than the live one is filed as history and
-    points at it; every other row becomes live and is later pointed at by the
-    next one that does.  Two effective dates compare as dates; once a bare fiscal
-    year is involved only years compare, and only a strictly lower year is older;
-    a row without either is never older.
-
-    The live row is a fold over arrivals, yet it needs no per-key loop:
-    * an undated row always wins, so it opens a new *era* of its key;
-    * inside an era the live year is the running maximum of years, so a row below
-      the earlier maximum is history;
-    * among rows of the maximal year, a bare-year row always wins and opens a new
-      *stretch*, and inside a stretch the live date is the running maximum.
-    Each step is a ``running`` scan in chunks of ``chunk_rows`` arrivals, so a key
-    with any number of versions is spread over tasks; between steps the lineage is
-    cut, and only keys, order and dates are carried through them.
-    ``bare_years=False`` is the shorter plan for sources whose rows all carry full
-    dates.  An effective date that does not start with a year counts as missing.
+    the first; ``seq`` counts them per key.  A row clearly older than the live one is
+    filed as history and points at it; every other row becomes live and is later
+    pointed at by the next one that does.  Two effective dates compare as dates; once a
+    bare fiscal year is involved only years compare, and only a strictly lower year is
+    older; a row without either is never older.
+
+    The live row is a fold over arrivals.  An arrival maps the live row before it to
+    the one after it: whatever ranks up to a bound gives way, anything above stays.
+    Two such steps in turn are one again, so a key is a tree: ``chunk_rows`` arrivals
+    are one step, ``FAN_IN`` steps are one, until one is left; on the way down each
+    node learns the live row it meets.  A task sees one node and its kids, however many
+    versions a key has.  Nodes over the arrivals are stored once; keys of up to
+    ``chunk_rows`` arrivals need no other level.
+    ``bare_years=False`` is for sources without a fiscal year.  An effective date that
+    does not start with a year counts as missing.  Rows with a null key are left out.
     """
     keys, c = keys or FACT_KEY, F.col
-    chunk = F.floor(c(seq) / chunk_rows)
-    day = F.when(text_year(c("effective_date")).isNotNull(), F.substring("effective_date", 1, 10))
-    if not bare_years:
-        r = cut(rows.select(*keys, seq, day.alias("_day")))
-        r = running(r, keys, chunk, [seq], [Scan("_top", "max", c("_day"), inclusive=False)])
-        live = c("_top").isNull() | (c("_day") >= c("_top"))
+    low = cut(_gathered(_steps(rows, keys, seq, bare_years), keys, "_seq", chunk_rows))
+    least, most = low.agg(F.min("_node"), F.max("_node")).first()
+    nodes, width = [low.withColumn("_node", c("_node") - (least or 0))], (most or 0) - (least or 0)
+    while width:
+        nodes.append(_gathered(nodes[-1].select(*keys, "_node", "_step"), keys, "_node", FAN_IN))
+        width //= FAN_IN
+    none = F.struct(F.lit("").alias("rank"), F.lit(None).cast("long").alias("seq"))
+    met = nodes[-1].withColumn("_live", none)
+    for below in reversed(nodes[:-1]):
+        kids = met.select(*keys, F.explode(_entered(met)).alias("_kid")).select(*keys, c("_kid.at").alias("_node"), c("_kid.live").alias("_live"))
+        met = below.join(kids, [*keys, "_node"])
+    seen = met.select(*keys, "_node", _entered(met).alias("_seen"))
+    if len(nodes) > 1:
+        seen = cut(seen)
+        heads = seen.select(*keys, "_node", F.array_min(F.transform(F.filter("_seen", lambda r: r["takes"]), lambda r: r["at"])).alias("_head"))
+        seen = seen.join(_next_heads(heads, keys, len(nodes) - 1), [*keys, "_node"])
     else:
-        r = rows.select(*keys, seq, day.alias("_day"), "fiscal_year") \
-            .select(*keys, seq, "_day", F.coalesce(text_year(c("_day")), c("fiscal_year").cast("int")).alias("_year"))
-        r = cut(running(cut(r), keys, chunk, [seq], [Scan("_era", "sum", c("_year").isNull().cast("int"))]))
-        r = running(r, [*keys, "_era"], chunk, [seq], [Scan("_topyear", "max", c("_year"), inclusive=False)])
-        cand = c("_year").isNull() | c("_topyear").isNull() | (c("_year") >= c("_topyear"))
-        # Rows below the top year take no part further on; a group value of their own keeps them aside.
-        group = F.when(cand, F.coalesce("_year", F.lit(-1))).otherwise(F.lit(-2))
-        r = cut(r.select(*keys, seq, "_day", "_era", cand.alias("_cand"), group.alias("_grp")))
-        r = cut(running(r, [*keys, "_era", "_grp"], chunk, [seq], [Scan("_stretch", "sum", c("_day").isNull().cast("int"))]))
-        r = running(r, [*keys, "_era", "_grp", "_stretch"], chunk, [seq], [Scan("_topday", "max", c("_day"), inclusive=False)])
-        live = c("_cand") & (c("_day").isNull() | c("_topday").isNull() | (c("_day") >= c("_topday")))
-    r = cut(r.select(*keys, seq, live.alias("became_live")))
-    won = F.when(c("became_live"), c(seq))
-    r = running(r, keys, chunk, [seq], [Scan("_before", "max", won, inclusive=False),
-                                        Scan("_after", "min", won, inclusive=False, backward=True)])
-    link = F.when(c("became_live"), c("_after")).otherwise(c("_before"))
-    links = r.select(*keys, seq, "became_live", link.alias("superseded_by"))
+        seen = seen.withColumn("_after", F.lit(None).cast("long"))
+    # from the last arrival back: the next one that became live
+    start = F.struct(c("_after").alias("after"), F.expr("cast(array() as array<struct<at:bigint,takes:boolean,link:bigint>>)").alias("out"))
+
+    def linked(acc: Column, r: Column) -> Column:
+        link = F.struct(r["at"].alias("at"), r["takes"].alias("takes"), F.when(r["takes"], acc["after"]).otherwise(r["live"]["seq"]).alias("link"))
+        return F.struct(F.when(r["takes"], r["at"]).otherwise(acc["after"]).alias("after"), F.concat(acc["out"], F.array(link)).alias("out"))
+
+    flat = seen.select(*keys, F.explode(F.aggregate(F.reverse("_seen"), start, linked, lambda acc: acc["out"])).alias("_r"))
+    links = flat.select(*keys, c("_r.at").alias(seq), c("_r.takes").alias("became_live"), c("_r.link").alias("superseded_by"))
     rest = [x for x in rows.columns if x not in (*keys, seq)]
     return rows.join(links, [*keys, seq]).select(*keys, seq, *rest, "became_live", "superseded_by")
 

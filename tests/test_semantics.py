@@ -30,8 +30,8 @@ def fold(rows):
     return {k: tuple(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_supersede_equals_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk_rows"), [(1, 16), (2, 2), (4, 256)])
+def test_supersede_equals_fold(spark, seed, chunk_rows):
     rng, rows, want = random.Random(seed), [], {}
     for k in range(12):
         arr = []
@@ -43,10 +43,18 @@ def test_supersede_equals_fold(spark, seed):
         rows += [(f"k{k}", "c", "i", *a) for a in arr]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "geoid string, category string, instrument_code string, arrival_seq long, effective_date string, fiscal_year long")
-    got = {(r.geoid, r.arrival_seq): (r.became_live, r.superseded_by) for r in merge.supersede(df, chunk_rows=16).collect()}
+    got = {(r.geoid, r.arrival_seq): (r.became_live, r.superseded_by) for r in merge.supersede(df, chunk_rows=chunk_rows).collect()}
     assert got == want
 
 
+def test_supersede_without_rows_and_far_numbers(spark):
+    schema = "geoid string, category string, instrument_code string, arrival_seq long, effective_date string, fiscal_year long"
+    assert merge.supersede(spark.createDataFrame([], schema)).collect() == []
+    rows = [("k", "c", "i", s, None, y) for s, y in ((-5, 2000), (10**9, 1999), (10**9 + 40000, 2001))]
+    got = {r.arrival_seq: (r.became_live, r.superseded_by) for r in merge.supersede(spark.createDataFrame(rows, schema), chunk_rows=8).collect()}
+    assert got == {-5: (True, 10**9 + 40000), 10**9: (False, -5), 10**9 + 40000: (True, None)}
+
+
 def test_supersede_dated_path_agrees(spark):
     rng = random.Random(3)
     rows = [("k", "c", "i", s, f"{rng.randint(2000, 2003)}-0{rng.randint(1, 9)}-15", None) for s in range(1, 200)]
