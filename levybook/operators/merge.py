@@ -44,13 +44,20 @@ def _steps(rows: DataFrame, keys: list[str], seq: str, bare_years: bool) -> Data
     upto = F.when(at.isNull(), "~").otherwise(F.concat(at, F.coalesce(day, F.lit("~"))))
     rank = F.coalesce(F.concat(at, F.coalesce(day, F.lit(""))), F.lit(""))
     live = F.struct(rank.alias("rank"), c(seq).cast("long").alias("seq"))
-    return rows.select(*keys, c(seq).cast("long").alias("_seq"), F.struct(live.alias("row"), upto.alias("upto")).alias("_step"))
+    rest = F.struct(F.lit(0).alias("_"), *[x for x in rows.columns if x not in keys])
+    return rows.select(*keys, c(seq).cast("long").alias("_seq"), F.struct(live.alias("row"), upto.alias("upto")).alias("_step"), rest.alias("_rest"))
 
 
 def _gathered(steps: DataFrame, keys: list[str], at: str, fan: int) -> DataFrame:
-    """Nodes over at most ``fan`` places each: their steps in order, and these composed."""
-    kids = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("_step").alias("step"))))
-    nodes = steps.groupBy(*keys, F.floor(F.col(at) / fan).alias("_node")).agg(kids.alias("_kids"))
+    """Nodes over at most ``fan`` places each: their steps in order, and these composed; ``_rest``, if any, in the same order."""
+    held = [F.col(at).alias("at"), F.col("_step").alias("step"), *[F.col(x) for x in steps.columns if x == "_rest"]]
+    order = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+    nodes = steps.groupBy(*keys, F.floor(F.col(at) / fan).alias("_node")).agg(F.collect_list(F.struct(*held)).alias("_held"))
+    nodes = nodes.withColumn("_held", F.array_sort("_held", order))
+    parts = {"_kids": F.transform("_held", lambda x: F.struct(x["at"].alias("at"), x["step"].alias("step")))}
+    if "_rest" in steps.columns:
+        parts["_rest"] = F.transform("_held", lambda x: x["_rest"])
+    nodes = nodes.withColumns(parts).drop("_held")
     whole = F.aggregate(F.slice("_kids", 2, fan), F.col("_kids")[0]["step"], lambda done, kid: _composed(done, kid["step"]))
     return nodes.withColumn("_step", whole)
 
@@ -96,8 +103,8 @@ def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arriva
     Two such steps in turn are one again, so a key is a tree: ``chunk_rows`` arrivals
     are one step, ``FAN_IN`` steps are one, until one is left; on the way down each
     node learns the live row it meets.  A task sees one node and its kids, however many
-    versions a key has.  Nodes over the arrivals are stored once; keys of up to
-    ``chunk_rows`` arrivals need no other level.
+    versions a key has.  Nodes over the arrivals, with their other columns, are stored
+    once; keys of up to ``chunk_rows`` arrivals need no other level.
     ``bare_years=False`` is for sources without a fiscal year.  An effective date that
     does not start with a year counts as missing.  Rows with a null key are left out.
     """
@@ -113,24 +120,23 @@ def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arriva
     for below in reversed(nodes[:-1]):
         kids = met.select(*keys, F.explode(_entered(met)).alias("_kid")).select(*keys, c("_kid.at").alias("_node"), c("_kid.live").alias("_live"))
         met = below.join(kids, [*keys, "_node"])
-    seen = met.select(*keys, "_node", _entered(met).alias("_seen"))
+    seen = met.select(*keys, "_node", "_rest", _entered(met).alias("_seen"))
     if len(nodes) > 1:
-        seen = cut(seen)
-        heads = seen.select(*keys, "_node", F.array_min(F.transform(F.filter("_seen", lambda r: r["takes"]), lambda r: r["at"])).alias("_head"))
-        seen = seen.join(_next_heads(heads, keys, len(nodes) - 1), [*keys, "_node"])
+        first = F.array_min(F.transform(F.filter("_seen", lambda r: r["takes"]), lambda r: r["at"]))
+        seen = seen.join(_next_heads(seen.select(*keys, "_node", first.alias("_head")), keys, len(nodes) - 1), [*keys, "_node"])
     else:
         seen = seen.withColumn("_after", F.lit(None).cast("long"))
     # from the last arrival back: the next one that became live
-    start = F.struct(c("_after").alias("after"), F.expr("cast(array() as array<struct<at:bigint,takes:boolean,link:bigint>>)").alias("out"))
+    start = F.struct(c("_after").alias("after"), F.expr("cast(array() as array<struct<takes:boolean,link:bigint>>)").alias("out"))
 
     def linked(acc: Column, r: Column) -> Column:
-        link = F.struct(r["at"].alias("at"), r["takes"].alias("takes"), F.when(r["takes"], acc["after"]).otherwise(r["live"]["seq"]).alias("link"))
+        link = F.struct(r["takes"].alias("takes"), F.when(r["takes"], acc["after"]).otherwise(r["live"]["seq"]).alias("link"))
         return F.struct(F.when(r["takes"], r["at"]).otherwise(acc["after"]).alias("after"), F.concat(acc["out"], F.array(link)).alias("out"))
 
-    flat = seen.select(*keys, F.explode(F.aggregate(F.reverse("_seen"), start, linked, lambda acc: acc["out"])).alias("_r"))
-    links = flat.select(*keys, c("_r.at").alias(seq), c("_r.takes").alias("became_live"), c("_r.link").alias("superseded_by"))
-    rest = [x for x in rows.columns if x not in (*keys, seq)]
-    return rows.join(links, [*keys, seq]).select(*keys, seq, *rest, "became_live", "superseded_by")
+    links = F.aggregate(F.reverse("_seen"), start, linked, lambda acc: acc["out"])
+    flat = seen.select(*keys, F.explode(F.arrays_zip(F.reverse(links).alias("link"), c("_rest").alias("rest"))).alias("_r"))
+    kept = [c(x) if x in keys else c(f"_r.rest.`{x}`").alias(x) for x in dict.fromkeys([*keys, seq, *rows.columns])]
+    return flat.select(*kept, c("_r.link.takes").alias("became_live"), c("_r.link.link").alias("superseded_by"))
 
 
 # -- D2-D5 ------------------------------------------------------------------
