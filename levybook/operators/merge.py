@@ -244,16 +244,25 @@ def day_blocks(first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["out"]
 
 
+def block_code(level: Column, i: Column) -> Column:
+    """A block of days as one number."""
+    return level * (1 << LEVELS + 1) + i
+
+
 def rules_by_block(rules: DataFrame) -> DataFrame:
-    """For each scope and block of days, the rule that covers the whole block and wins there: the latest start, then the highest id."""
+    """For each scope and block of days, the rule that covers the whole block and wins there: the latest start, then the highest id.
+
+    ``level`` is the block's level, ``block`` its code.
+    """
     c = F.col
     key = [F.coalesce(k, F.lit("")).alias(f"k{i}") for i, k in enumerate(RULE_SCOPE)]
     ks = [f"k{i}" for i in range(len(RULE_SCOPE))]
     r = rules.select(*key, day_number(c("effective_from"), 0).alias("start"), day_number(c("effective_to"), (1 << LEVELS) - 1).alias("end"),
                      "id", "threshold_value", "threshold_basis")
     r = latest(r, [*ks, "start", "end"], [c("id")], ["id", "threshold_value", "threshold_basis"])
-    blocks = r.withColumn("block", F.explode(day_blocks(c("start"), c("end"))))
-    return latest(blocks, [*ks, "block"], [c("start"), c("id")], ["start", "id", "threshold_value", "threshold_basis"])
+    blocks = r.withColumn("_b", F.explode(day_blocks(c("start"), c("end"))))
+    blocks = blocks.withColumns({"level": c("_b.level"), "block": block_code(c("_b.level"), c("_b.i"))})
+    return latest(blocks, [*ks, "level", "block"], [c("start"), c("id")], ["start", "id", "threshold_value", "threshold_basis"])
 
 
 def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -262,7 +271,9 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
     Own kind beats statewide, own instrument beats general, own purpose beats
     'either' beats none.  A rule's days are written as few blocks of days, two a level
     at most; a day lies in one block a level.  So days meet rules by equality, never by
-    range, whatever the number of rules in a scope, and equal questions are asked once.
+    range, whatever the number of rules in a scope.  A scope's levels are known as bits:
+    questions first lose the scopes without rules, then each (scope, day) that is left is
+    looked up once, on the levels in use.
     """
     c = F.col
     own = places.select("geoid", c("state_usps").alias("_s"), c("kind").alias("_kd"))
@@ -281,10 +292,14 @@ def resolve_thresholds(measures: DataFrame, places: DataFrame, rules: DataFrame)
     rank = (F.when(c("k2") != "", 100).otherwise(0) + F.when(c("k3") != "", 10).otherwise(0)
             + F.when(c("k4") == "either", 1).when(c("k4") != "", 2).otherwise(0))
     asks = asks.select(c("_s").alias("k0"), c("_mc").alias("k1"), "k2", "k3", "k4", rank.alias("rank"), *q)
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda x: F.struct(
-        x.alias("level"), F.call_function("shiftright", day_number(c("_day"), 0), x).alias("i")))
-    hits = asks.withColumn("block", F.explode(levels)).join(rules_by_block(rules), [*ks, "block"]) \
-        .withColumn("held", F.struct("id", "threshold_value", "threshold_basis"))
+    blocks = rules_by_block(rules)
+    used = blocks.groupBy(*ks).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), c("level"))).alias("used"))
+    asks = asks.withColumn("day", day_number(c("_day"), 0)).join(used, ks)
+    levels = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda x: F.getbit(c("used"), x) == 1)
+    code = lambda x: block_code(x.cast("long"), F.call_function("shiftright", c("day"), x))
+    looked = asks.select(*ks, "day", "used").distinct().withColumn("block", F.explode(F.transform(levels, code)))
+    found = latest(looked.join(blocks, [*ks, "block"]), [*ks, "day"], [c("start"), c("id")], ["start", "id", "threshold_value", "threshold_basis"])
+    hits = asks.join(found, [*ks, "day"]).withColumn("held", F.struct("id", "threshold_value", "threshold_basis"))
     best = latest(hits, q, [c("rank"), c("start"), c("id")], ["held"])
     out = asked.join(best, q, "left")
     return out.select(*measures.columns, c("held.id").alias("rule_id"), c("held.threshold_value").alias("rule_value"),
