@@ -132,14 +132,19 @@ def _parse(url: str, html: str) -> tuple[str, str, list[dict]]:
     return title, "\n\n".join(parts), links
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """L1 + L2: page_id, url -> title, text, links array<struct<href, anchor>>; whole pages, one pass."""
+def parse_pages(pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """L1 + L2: page_id, url -> title, text, links array<struct<href, anchor>>; whole pages, one pass.
+
+    With ``parts`` the pages are dealt over so many tasks first, by a hash of id and
+    url; without, a task parses what its split holds, which suits tables of many files.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parsed = [_parse(u, h) for u, h in zip(b["url"], b["html"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "title": [x[0] for x in parsed],
                                 "text": [x[1] for x in parsed], "links": [x[2] for x in parsed]})
-    return pages.select("page_id", "url", "html").mapInPandas(
+    read = pages.select("page_id", "url", "html")
+    return (read.repartition(parts, "page_id", "url") if parts else read).mapInPandas(
         run, "page_id long, url string, title string, text string, links array<struct<href:string,anchor:string>>")
 
 

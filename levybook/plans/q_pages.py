@@ -34,26 +34,31 @@ SQL["made_text"] = f"""SELECT *, '# '||name||{NL}||{NL}||'TABLES:'||{NL}||repeat
 NEEDS["made_page"] = ["customer"]
 
 
+def _parsed(t, html):
+    """Pages parsed by as many tasks as a shuffle has, however few files hold them."""
+    return pages.parse_pages(html, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("l1_page_text", "SELECT page_id, url, name AS title, text FROM made_text")
 def l1(t):
-    return pages.parse_pages(t.made_page).select("page_id", "url", "title", "text")
+    return _parsed(t, t.made_page).select("page_id", "url", "title", "text")
 
 
 @query("l1_raw_page_text")
 def l1b(t):
-    return pages.parse_pages(t.pages).select("page_id", "url", "title", "text")
+    return _parsed(t, t.pages).select("page_id", "url", "title", "text")
 
 
 @query("l2_page_links", f"""SELECT page_id, url, CAST(0 AS INT) AS pos, 'https://site.example/menu' AS href, 'Menu' AS anchor FROM made_page
 UNION ALL SELECT page_id, url, CAST(1 AS INT), 'https://site.example/dir/docs/'||CAST(page_id AS STRING)||'.pdf', repeat('long ',{LONG})||name FROM made_page
 UNION ALL SELECT page_id, url, CAST(2 AS INT), 'https://other.example/'||phone, 'Foot' FROM made_page""")
 def l2(t):
-    return pages.explode_links(pages.parse_pages(t.made_page))
+    return pages.explode_links(_parsed(t, t.made_page))
 
 
 @query("l2_raw_page_links")
 def l2b(t):
-    return pages.explode_links(pages.parse_pages(t.pages))
+    return pages.explode_links(_parsed(t, t.pages))
 
 
 @derived("page_urls", """
@@ -192,7 +197,7 @@ def l10(t):
  CASE WHEN page_id%5=0 THEN 0 ELSE length(text) END AS text_chars FROM made_text""")
 def l11(t):
     fetched = t.made_page.select("page_id", "http_status", c("html").alias("body"))
-    return pages.page_record(fetched, pages.parse_pages(t.made_page.where("page_id % 5 <> 0")))
+    return pages.page_record(fetched, _parsed(t, t.made_page.where("page_id % 5 <> 0")))
 
 
 def _passage(terms):
