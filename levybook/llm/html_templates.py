@@ -321,20 +321,20 @@ def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, ou
     """
     bounded_batches(pages.sparkSession, rows=500)
     base = pages.select("page_id", "url", "html")
-    keyed = base.withColumn("page_key", F.xxhash64("html", "url", "page_id")).withColumn("host", host_of("url"))
+    keyed = base.withColumn("host", host_of("url"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [subtree_hashes(h) for h in b["html"]]
             shapes = [list(zip(*x)) or [(), (), ()] for _, _, x in found]
-            yield pd.DataFrame({"page_key": b["page_key"], "host": b["host"], "body": [body for body, _, _ in found],
+            yield pd.DataFrame({"host": b["host"], "body": [body for body, _, _ in found],
                                 "hashes": [[h for h, _ in x] for _, x, _ in found], "units": [[u for _, u in x] for _, x, _ in found],
                                 "shapes": [x[0] for x in shapes], "words": [x[1] for x in shapes], "linked": [x[2] for x in shapes]})
 
-    seen = stored(keyed.select("page_key", "host", "html").mapInPandas(lean(hashes), "page_key long, host string, body long, hashes array<long>, units array<long>, "
+    seen = stored(keyed.select("host", "html").mapInPandas(lean(hashes), "host string, body long, hashes array<long>, units array<long>, "
                                                                        "shapes array<long>, words array<int>, linked array<int>"), "subtrees")
-    exploded = seen.select("page_key", "host", "body", F.inline(F.arrays_zip(F.col("hashes").alias("subtree"), F.col("units").alias("unit"))))
-    shaped = seen.select("page_key", "host", "body", F.inline(F.arrays_zip(F.col("shapes").alias("shape"), "words", "linked")))
+    exploded = seen.select("host", "body", F.inline(F.arrays_zip(F.col("hashes").alias("subtree"), F.col("units").alias("unit"))))
+    shaped = seen.select("host", "body", F.inline(F.arrays_zip(F.col("shapes").alias("shape"), "words", "linked")))
     sizes = seen.groupBy("host").agg(F.count_distinct("body").alias("host_pages"))
     # most subtrees occur once; only those on enough rows are counted over different pages
     often = stored(exploded.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"), "frequent-subtrees")
@@ -345,15 +345,15 @@ def page_texts(pages: DataFrame, min_pages: int = 10, min_share: float = 0.5, ou
              .groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), few.alias("few")).where((F.col("n") >= min_pages) & F.col("few"))
              .join(sizes, "host").where(F.col("n") >= F.col("host_pages") * F.lit(outer_share)).select("host", "shape"))
     template, outer = stored(template, "templates"), stored(outer, "outer-templates")
-    hits = (exploded.join(template, ["host", "subtree"], "left_semi").select("page_key", "subtree", F.lit(None).cast("long").alias("shape"))
-            .unionAll(shaped.join(outer, ["host", "shape"], "left_semi").select("page_key", F.lit(None).cast("long"), "shape")))
-    hits = stored(hits.groupBy("page_key").agg(F.collect_set("subtree").alias("template"), F.collect_set("shape").alias("outer")), "template-hits")
+    # few a host: at most the mean number of a page's subtrees divided by the share that makes a template
+    cuts = template.select("host", "subtree", F.lit(None).cast("long").alias("shape")).unionAll(outer.select("host", F.lit(None).cast("long"), "shape"))
+    cuts = stored(cuts.groupBy("host").agg(F.collect_set("subtree").alias("template"), F.collect_set("shape").alias("outer")), "host-templates")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"],
                                 "text": [main_text(h, set(t) if t is not None else set(), set(o) if o is not None else set()) for h, t, o in zip(b["html"], b["template"], b["outer"])]})
 
-    out = (keyed.join(hits, "page_key", "left").select(F.col("page_id").cast("long"), "url", "html", "template", "outer")
+    out = (keyed.join(cuts, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "template", "outer")
            .mapInPandas(lean(extract), "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
