@@ -108,8 +108,10 @@ def map_rate_rows(rows: DataFrame, places: DataFrame) -> DataFrame:
         .withColumn("_want", choose({k: v[2] for k, v in fixed.RATE_FILE_TYPES.items()}, t)) \
         .withColumn("category", choose({k: v[0] for k, v in fixed.RATE_FILE_TYPES.items()}, t)) \
         .withColumn("instrument_code", choose({k: v[1] for k, v in fixed.RATE_FILE_TYPES.items()}, t))
-    p = places.select("geoid", F.col("kind").alias("_kind"))
-    r = r.join(p, "geoid", "left")
+    # rows without a geoid meet no place; a key of their own spreads them, however many they are
+    apart = F.concat(F.lit("?"), F.xxhash64("state_fips", "jtype", "jfips", *(x for x in ("path", "line_no") if x in rows.columns)).cast("string"))
+    p = places.select(F.concat(F.lit("="), "geoid").alias("_place"), F.col("kind").alias("_kind"))
+    r = r.withColumn("_place", F.coalesce(F.concat(F.lit("="), "geoid"), apart)).join(p, "_place", "left").drop("_place")
     fits = (F.col("_kind") == F.col("_want")) | ((F.col("_want") == "place") & (F.col("_kind") == "mcd"))
     reason = (F.when(t == fixed.STATE_AUTHORITY_TYPE, "state_authority")
               .when(F.col("_want").isNull(), "special_district")

@@ -18,6 +18,11 @@ c = F.col
 null = lambda k: F.lit(None).cast(k)
 
 
+def two_places(hundredths):
+    """A whole number of hundredths as text with two places, as a format string would write it."""
+    return F.coalesce((c(hundredths).cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string"), F.lit("null"))
+
+
 @derived("rate_text", """
 SELECT geoid||'/'||instrument_code||'/'||CAST(seq AS VARCHAR) AS path, seq, substr(geoid,1,2) AS st, substr(geoid,3) AS code, rate_pct, replace(effective_date,'-','') AS day FROM rate_history""")
 def rate_text(t):
@@ -30,7 +35,7 @@ def rate_text(t):
  CASE WHEN seq%2=0 THEN '9999-12-31' ELSE '2001-12-31' END AS end_date, seq%2=0 AS open_ended FROM rate_text WHERE seq%13<>0 AND seq%17<>0 AND seq%19<>0""")
 def a1(t):
     s = c("seq")
-    rate = F.format_string("%.2f", c("rate_pct") / 100.0)
+    rate = two_places("rate_pct")
     row = F.concat_ws(",", "st", F.when(s % 3 == 0, "1").otherwise("0"), "code", F.when(s % 19 == 0, "n/a").when(s % 11 == 0, "").otherwise(rate), rate, F.lit("0"), F.lit(""),
                       F.when(s % 7 == 0, "soon").otherwise(c("day")), F.when(s % 2 == 0, "99991231").otherwise("20011231"))
     text = F.when(s % 13 == 0, F.concat(F.lit("State,"), row)).when(s % 17 == 0, F.concat_ws(",", "st", "code")).otherwise(F.concat(F.lit("  "), row))
@@ -44,7 +49,7 @@ FROM (SELECT geoid, instrument_code, seq, substr(geoid,1,2) AS st, substr(geoid,
 def a1_files(t):
     """Files of a header and up to 50 lines, among them blank and short ones, which count as lines."""
     s = c("seq")
-    rate = F.format_string("%.2f", c("rate_pct") / 100.0)
+    rate = two_places("rate_pct")
     row = F.concat_ws(",", F.substring("geoid", 1, 2), F.when(s % 3 == 0, "1").otherwise("0"), F.substring("geoid", 3, 10), rate, rate, F.lit("0"), F.lit(""),
                       F.replace("effective_date", F.lit("-"), F.lit("")), F.when(s % 2 == 0, "99991231").otherwise("20011231"))
     line = F.when(s % 17 == 0, "").when(s % 19 == 0, "1,0,5").otherwise(row)
