@@ -79,8 +79,9 @@ def a5(t):
 def _documents(t):
     s = c("seq")
     row = F.to_json(F.struct("geoid", "category", "instrument_code", "rate_value", F.struct(F.concat(F.lit("https://x/"), c("source_id").cast("string")).alias("url")).alias("source")))
-    body = F.when(s % 5 == 0, '{"x": 1}').when(s % 7 != 0, F.concat(F.lit("["), row, F.lit(","), row, F.lit("]")))
-    docs = t.facts.select(c("id").alias("doc_path"), F.lit("r").alias("researcher"), F.lit("1998-06-30").alias("retrieved_at"), null("string").alias("extraction_method"), body.alias("findings"),
+    body = F.when(s % 5 == 0, '{"x": 1}').when(s % 7 != 0, F.concat(F.lit("["), F.array_join(F.array_repeat(row, 2), ","), F.lit("]")))
+    # exploded, so that each text is written once, however often the judging asks for it
+    docs = t.facts.select(c("id").alias("doc_path"), F.lit("r").alias("researcher"), F.lit("1998-06-30").alias("retrieved_at"), null("string").alias("extraction_method"), F.explode(F.array(body)).alias("findings"),
                           *[null("string").alias(x) for x in ("measures", "thresholds", "grants", "profile")])
     return files.judge_documents(docs)
 

@@ -313,7 +313,7 @@ def section_rows(docs: DataFrame, section: str) -> DataFrame:
     schema = T.ArrayType(DOCUMENT[section])
     arr = F.from_json(c(section), schema)
     rows = docs.where(c("refused").isNull()).select("doc_path", c("researcher").alias("_r"), c("retrieved_at").alias("_t"),
-                                                     c("extraction_method").alias("_m"), F.posexplode(arr).alias("pos", "row"))
+                                                     c("extraction_method").alias("_m"), F.posexplode_outer(arr).alias("pos", "row")).where(c("pos").isNotNull())
     out = rows.select("doc_path", "pos", "row.*", "_r", "_t", "_m")
     out = out.withColumn("source_url", c("source.url")).withColumn("source_type", c("source.source_type")) \
         .withColumn("authority_tier", c("source.authority_tier"))
