@@ -1,8 +1,16 @@
 """Steps that must not grow faster than their input, and what they must still give."""
+import io
 import re
+import zipfile
 
+from pyspark.sql import functions as F
 
-from levybook.operators import coverage
+from levybook.operators import changes, coverage
+from levybook.sources import files
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_item_sources_pair_last(spark):
@@ -18,3 +26,71 @@ def test_item_sources_pair_last(spark):
         ("3902", "property", "a", 1, 1, 1), ("3902", "property", "b", 2, 1, 1)]
     top = next(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
     assert re.search(r"\[scope_geoid#\d+, _deal#\d+\]", top)
+
+
+def test_rate_lines_are_cut_once(spark):
+    """A1: a line is cut once for its nine fields; quoted fields, blanks around and short lines as before."""
+    lines = ['39,0,"0,61",0.015,0.015,,0,20200101,99991231', "39,0,061,0.015,0.015,0,0,20200101", ' 39,0,7,1e-2,0.5,0,0,2020-01-01,20211231,more,"x" ', "39,0,8,0.5, ,0,0,,", '39,0,9,"0.25",0.5,0,0,,', "39,0,,,,,,,", '"State",1']
+    rows = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "path string, line_no long, line string")
+    got = files.parse_numbered_lines(rows)
+    assert sorted((r.line_no, r.jfips, r.rate_intra, r.begin_date, r.end_date, r.open_ended) for r in got.collect()) == [
+        (0, "0,61", 0.015, "2020-01-01", "9999-12-31", True), (2, "7", 0.01, "2020-01-01", "2021-12-31", False), (4, "9", 0.25, None, None, False), (5, "", None, None, None, False)]
+    whole = files.parse_rate_lines(spark.createDataFrame([("p", "\n".join(lines)), ("q", None)], "path string, text string"))
+    assert sorted(whole.collect()) == sorted(got.collect())
+    assert plan(got).count("from_csv") + plan(got).lower().count("csvtostructs") == 1 and plan(whole).count("\\r\\n|") <= 1
+
+
+def test_line_numbers_without_a_shuffle_of_lines(spark, tmp_path):
+    """A1: lines are numbered where they are read; the name of a file is read once a split."""
+    (tmp_path / "OHR2026Q1.csv").write_text("a\nb\n")
+    shape = files.rate_lines(spark, str(tmp_path / "OHR2026Q1.csv"))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in shape and "SortMergeJoin" not in shape
+
+
+def test_small_members_go_together(spark):
+    """A2: the lines of many small archives leave Python in few batches, those of a large one in parts."""
+    def pack(n):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            z.writestr("a.csv", "".join(f"{k}\n" for k in range(n)))
+        return buf.getvalue()
+    blobs = spark.createDataFrame([(f"f{i}", pack(3)) for i in range(50)] + [("large", pack(2 * files.MEMBER_LINES + 7)), ("none", pack(0))], "path string, content binary").coalesce(1)
+    out = files.member_lines(blobs)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.path, []).append((r.line_no, r.line))
+    assert {k: len(v) for k, v in got.items()} == {f"f{i}": 3 for i in range(50)} | {"large": 2 * files.MEMBER_LINES + 7}
+    assert all(sorted(v) == [(k, str(k)) for k in range(len(v))] for v in got.values())
+
+    def sizes(batches):
+        for b in batches:
+            yield b[["n"]].iloc[:1].assign(n=len(b))
+    n = [r.n for r in out.select(F.lit(1).cast("long").alias("n")).mapInPandas(sizes, "n long").collect()]
+    assert sum(n) == 150 + 2 * files.MEMBER_LINES + 7 and len(n) <= 5
+
+
+def test_sections_are_read_once(spark):
+    """A section's text is parsed once, not again to test for rows; documents without rows give none."""
+    cols = ", ".join(f"{x} string" for x in ("doc_path", "researcher", "retrieved_at", "extraction_method", *files.DOCUMENT, "profile"))
+    docs = spark.createDataFrame([("a", "r", "t", "m", '[{"geoid":"1"},{"geoid":"2"}]', None, None, None, None), ("b", "r", "t", "m", "[]", None, None, None, None),
+                                  ("c", "r", "t", "m", None, "[]", None, None, None)], cols)
+    rows = files.section_rows(files.judge_documents(docs), "findings")
+    assert sorted((r.doc_path, r.pos, r.geoid) for r in rows.collect()) == [("a", 0, "1"), ("a", 1, "2")]
+    assert plan(rows).count("from_json") == 1
+
+
+def test_rows_without_a_place_are_spread(spark):
+    """E5: rows that can have no geoid do not share one partition of the join with the registry."""
+    places = spark.createDataFrame([("39061", "county")], "geoid string, kind string")
+    rows = spark.range(4000).selectExpr("'p' AS path", "id AS line_no", "'39' AS state_fips", "CASE WHEN id % 4 = 0 THEN '00' ELSE '45' END AS jtype", "'061' AS jfips")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = changes.map_rate_rows(rows, places)
+        assert {(r.reason, r["count"]) for r in got.groupBy("reason").count().collect()} == {(None, 1000), ("state_authority", 3000)}
+        parts = [r["count"] for r in got.where("reason = 'state_authority'").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 4 and max(parts) < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
