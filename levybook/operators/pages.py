@@ -6,6 +6,8 @@ page.  Everything after that is column expressions.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -25,6 +27,10 @@ ITEM = ["geoid", "category"]
 # -- L1, L2 -----------------------------------------------------------------
 
 _WS = " "
+#: Tags without attributes: most of a page's, and nothing in them is left to read.
+_PLAIN_START, _PLAIN_END = re.compile("<([A-Za-z][A-Za-z0-9]*)>"), re.compile("</([A-Za-z][A-Za-z0-9]*)>")
+#: Tags whose content the library reads by rules of their own.
+_OWN_RULES = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
 
 
 class _Page(HTMLParser):
@@ -34,11 +40,31 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.events: list[tuple] = []
         self.open: list[tuple[str, int]] = []
+        self.n_open: Counter = Counter()
         self.closed: set[int] = set()
 
+    def parse_starttag(self, i):
+        m = _PLAIN_START.match(self.rawdata, i)
+        if m is None or (tag := m[1].lower()) in _OWN_RULES:
+            return super().parse_starttag(i)
+        self.lasttag = tag
+        self.handle_starttag(tag, ())
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
+    def updatepos(self, i, j):   # lines are not counted
+        return j
+
     def handle_starttag(self, tag, attrs):
         if tag not in fixed.VOID_TAGS:
             self.open.append((tag, len(self.events)))
+            self.n_open[tag] += 1
         self.events.append(("start", tag, dict(attrs)))
 
     def handle_startendtag(self, tag, attrs):
@@ -46,12 +72,13 @@ class _Page(HTMLParser):
         self.events.append(("end", tag, None))
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         start = None
-        if at is not None:   # tags left open inside it end here as well
-            start = self.open[at][1]
+        if self.n_open.get(tag):   # tags left open inside it end here as well
+            name = None
+            while name != tag:
+                name, start = self.open.pop()
+                self.n_open[name] -= 1
             self.closed.add(start)
-            del self.open[at:]
         self.events.append(("end", tag, start))
 
     def handle_data(self, data):

@@ -1,11 +1,14 @@
 """Steps that must not grow faster than their input, and what they must still give."""
 import io
+import random
 import re
+import time
 import zipfile
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
-from levybook.operators import changes, coverage
+from levybook.operators import changes, coverage, pages
 from levybook.sources import files
 
 
@@ -94,3 +97,43 @@ def test_rows_without_a_place_are_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+class Plainly(pages._Page):
+    """The page reader with every tag read by the library, and open tags searched one by one."""
+    parse_starttag, parse_endtag, updatepos = HTMLParser.parse_starttag, HTMLParser.parse_endtag, HTMLParser.updatepos
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        start = None
+        if at is not None:
+            start = self.open[at][1]
+            self.closed.add(start)
+            for name, _ in self.open[at:]:
+                self.n_open[name] -= 1
+            del self.open[at:]
+        self.events.append(("end", tag, start))
+
+
+def test_plain_tags_read_alike():
+    """L1: tags without attributes take a short way with the same events."""
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<P>", "</P >", "<a href='x'>", "</a>", "<script>", "</script>", "<title>", "</title>", "<textarea>", "</textarea>", "<style>", "</style>", "<br>", "<br/>", "<td>", "</td>", "<x-y>", "</x-y>",
+            "text ", "&amp;", "&#65;", "<", ">", "</", "<!-- c -->", "<!doctype html>", "</ p>", "<p", "\n", "<plaintext>", "<noscript>", "</noscript>", "</>", "<h1>", "</h1>"]
+    for _ in range(3000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 25)))
+        got, want = pages._Page(), Plainly()
+        for page in (got, want):
+            page.feed(html)
+            page.close()
+        assert (got.events, got.closed, got.open) == (want.events, want.closed, want.open), html
+
+
+def test_open_tags_are_not_searched_for_each_end():
+    """L1: the time of a page with many tags left open grows with its length."""
+    def seconds(n):
+        t = time.process_time()
+        pages._parse("u", "<p>x" * n + "</b>" * n)
+        return time.process_time() - t
+    seconds(200)
+    assert seconds(20_000) < 40 * max(seconds(2_000), 0.002)
