@@ -39,10 +39,10 @@ def _parsed(t, html):
     return pages.parse_pages(html, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _made(t):
-    """Made pages, parsed by as many tasks; their customers are dealt, before the html is written, as that is many times longer."""
+def _made(t, which="true"):
+    """Made pages, or some, parsed by as many tasks; their customers are dealt, before the html is written, as that is many times longer."""
     t.keep("customer", t.customer.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey"))
-    return pages.parse_pages(t.made_page)
+    return pages.parse_pages(t.made_page.where(which))
 
 
 @query("l1_page_text", "SELECT page_id, url, name AS title, text FROM made_text")
@@ -202,8 +202,9 @@ def l10(t):
 @query("l11_page_record", f"""SELECT page_id, http_status, CASE WHEN http_status NOT BETWEEN 200 AND 399 THEN 'HTTP '||CAST(http_status AS VARCHAR) END AS error, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size,
  CASE WHEN page_id%5=0 THEN 0 ELSE length(text) END AS text_chars FROM made_text""")
 def l11(t):
+    texts = _made(t, "page_id % 5 <> 0")
     fetched = t.made_page.select("page_id", "http_status", c("html").alias("body"))
-    return pages.page_record(fetched, _parsed(t, t.made_page.where("page_id % 5 <> 0")))
+    return pages.page_record(fetched, texts)
 
 
 def _passage(terms):
