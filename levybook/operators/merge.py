@@ -330,13 +330,12 @@ def cite_claims(existing: DataFrame, claims: DataFrame) -> DataFrame:
     ``corroborating`` array<struct<source_id, role, observed_value>>; source ids
     come from the source dimension (B11).
     """
-    prim = claims.select("claim_table", "claim_id", "source_id", F.lit("primary").alias("role"),
-                         F.col("source_quote").alias("observed_value"), F.lit(0).alias("_pos"))
-    more = claims.select("claim_table", "claim_id", F.posexplode("corroborating").alias("_pos", "_c")).select(
-        "claim_table", "claim_id", F.col("_c.source_id").alias("source_id"),
-        F.coalesce("_c.role", F.lit("corroborating")).alias("role"),
-        F.col("_c.observed_value").alias("observed_value"), (F.col("_pos") + 1).alias("_pos"))
-    rows = prim.unionByName(more).where(F.col("source_id").isNotNull()) \
+    cite = lambda source, role, value: F.struct(source.alias("source_id"), role.alias("role"), value.alias("observed_value"))
+    prim = F.array(cite(F.col("source_id"), F.lit("primary"), F.col("source_quote")))
+    more = F.transform("corroborating", lambda x: cite(x["source_id"], F.coalesce(x["role"], F.lit("corroborating")), x["observed_value"]))
+    every = F.when(F.col("corroborating").isNull(), prim).otherwise(F.concat(prim, more))   # one list, so that claims are read once
+    rows = claims.select("claim_table", "claim_id", F.posexplode_outer(every).alias("_pos", "_c")) \
+        .select("claim_table", "claim_id", "_c.*", "_pos").where(F.col("source_id").isNotNull()) \
         .withColumn("agrees", F.col("role").isin("primary", "corroborating").cast("int"))
     return insert_ignore(existing, rows, CITE_KEY, [F.col("_pos")]).drop("_pos")
 

@@ -8,7 +8,10 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
-from levybook.operators import changes, coverage, pages
+from levybook.operators import changes, coverage, merge, pages
+from levybook.plans import all_queries  # noqa: F401
+from levybook.plans.fixtures import Tables
+from levybook.plans.registry import QUERIES
 from levybook.sources import files
 
 
@@ -137,3 +140,22 @@ def test_open_tags_are_not_searched_for_each_end():
         return time.process_time() - t
     seconds(200)
     assert seconds(20_000) < 40 * max(seconds(2_000), 0.002)
+
+
+def test_claims_are_read_once(spark):
+    """The primary citation and the others come out of one list; claims without others, and others without a source or role."""
+    held = spark.createDataFrame([("t", "1", "s9", "corroborating", "x", 1)], "claim_table string, claim_id string, source_id string, role string, observed_value string, agrees int")
+    claims = spark.createDataFrame([("t", "1", "s1", "q", [("s2", None, "v"), (None, "primary", "w"), ("s9", "corroborating", "z"), ("s3", "conflicting", None)]), ("t", "2", "s1", None, None), ("t", "3", None, "q", [("s4", None, None)])],
+                                   "claim_table string, claim_id string, source_id string, source_quote string, corroborating array<struct<source_id:string,role:string,observed_value:string>>")
+    got = merge.cite_claims(held, claims)
+    assert sorted((r.claim_id, r.source_id, r.role, r.observed_value, r.agrees) for r in got.collect()) == [
+        ("1", "s1", "primary", "q", 1), ("1", "s2", "corroborating", "v", 1), ("1", "s3", "conflicting", None, 0), ("2", "s1", "primary", None, 1), ("3", "s4", "corroborating", None, 1)]
+    assert "Union" not in plan(got)
+
+
+def test_pages_are_dealt_before_they_are_written(spark):
+    """Made pages go over no shuffle before they are parsed."""
+    for name in ("l1_page_text", "l2_page_links", "l11_page_record"):
+        lines = plan(QUERIES[name].build(Tables(spark, "/root/testdata/sf0.001"))).splitlines()
+        assert not any("Repartition" in x and "html" in x for x in lines)
+        assert all("c_custkey" in x for x in lines if "Repartition" in x) and any("Repartition" in x for x in lines)
