@@ -156,7 +156,8 @@ def quote_not_archived(t):
     q = _live(t).where(~blank(c("source_quote"))).select("id", "archive_file_id", F.trim(squash(c("source_quote"))).alias("_quote")).where(c("_quote") != "")
     # each quote is searched once per file, whatever the number of facts that cite it
     asked = q.select("archive_file_id", "_quote").distinct()
-    text = t.archive_text.select("archive_file_id", squash(c("text")).alias("_text"))
+    # texts are dealt by the key of the join before they are normalised: a table may lie in one split
+    text = t.archive_text.repartition("archive_file_id").select("archive_file_id", squash(c("text")).alias("_text"))
     absent = asked.join(text, "archive_file_id").where(~c("_text").contains(c("_quote"))).select("archive_file_id", "_quote")
     return q.join(absent, ["archive_file_id", "_quote"], "left_semi").select(_key("id").alias("key"))
 
