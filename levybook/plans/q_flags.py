@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import loose
+from ..functions.shared import cut
 from ..operators import flags
 from .derived import n_documents
 from .fixtures import AS_OF, SQL
@@ -94,11 +95,11 @@ SQL["rate_codes"] = f"SELECT id, geoid, category, {_flag_list('', RATE)} AS code
 
 
 def rate_subject(t):
-    s = c("seq")
+    s, t = c("seq"), t.store("numbered")   # facts are read by several steps
     d = flags.with_displaced_date(t.facts)
     d = flags.with_place_context(d, t.jurisdiction, flags.state_rates(t.facts, t.jurisdiction))
     links = flags.host_state(_cited(t), t.spark, "link", "src_state").select(c("id").alias("source_id"), "src_state")
-    norms = t.archive_text.select("archive_file_id", loose(c("text")).alias("doc_norm"))
+    norms = t.archive_text.repartition("archive_file_id").select("archive_file_id", loose(c("text")).alias("doc_norm"))   # dealt first: texts may lie in one split
     return d.join(links, "source_id", "left").join(norms, "archive_file_id", "left").withColumn("status", F.when(s % 8 == 0, "prohibited").otherwise(c("status"))) \
         .withColumn("source_quote", F.when(s % 9 == 0, "* see New York City").otherwise(c("source_quote"))) \
         .withColumn("effective_date", F.when(s % 7 == 0, null("string")).when(s % 7 == 1, "1990-01-01").otherwise(c("effective_date"))) \
@@ -188,7 +189,7 @@ SQL["ai_answers"] = """SELECT geoid, category, CASE WHEN seq%3=0 THEN 'Flag' WHE
 
 
 def _exploded(t):
-    f = flags.rate_flags(rate_subject(t)).withColumn("row_no", c("seq"))
+    f = cut(flags.rate_flags(rate_subject(t)).select("geoid", "category", c("seq").alias("row_no"), "flags"))   # rows and their flags are both counted
     return f, flags.explode_flags(f, ["geoid", "category", "row_no"])
 
 
