@@ -374,5 +374,7 @@ def search_statutes(sections: DataFrame, state: str | None, terms: list[str] | N
 def statutes_by_category(sections: DataFrame, n: int | None = None) -> DataFrame:
     """Sections per state and category, all or the first n; every category is tested in one pass over the text."""
     cats = F.array_compact(F.array(*[F.when(_term_hit(v), F.lit(k)) for k, v in fixed.STATUTE_TERMS.items()]))
-    hits = sections.select("state_usps", "citation", "section_title", "doc_id", F.explode(cats).alias("category"))
+    # sections are dealt before their texts are searched, as a table may lie in one split; an inner explode would search them again to filter
+    dealt = sections.select("state_usps", "citation", "section_title", "doc_id", "text").repartition("doc_id")
+    hits = dealt.select("state_usps", "citation", "section_title", "doc_id", F.explode_outer(cats).alias("category")).where(c("category").isNotNull())
     return hits if n is None else first_rows(hits, ["state_usps", "category"], [c("citation"), c("doc_id")], n)

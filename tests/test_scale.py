@@ -159,3 +159,14 @@ def test_pages_are_dealt_before_they_are_written(spark):
         lines = plan(QUERIES[name].build(Tables(spark, "/root/testdata/sf0.001"))).splitlines()
         assert not any("Repartition" in x and "html" in x for x in lines)
         assert all("c_custkey" in x for x in lines if "Repartition" in x) and any("Repartition" in x for x in lines)
+
+
+def test_texts_are_dealt_before_they_are_searched(spark):
+    """A table in one split does not keep its text work in one task, and texts are searched once."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    hits = plan(pages.statutes_by_category(t.statutes))
+    assert hits.index("Generate") < hits.index("RepartitionByExpression [doc_id") and "size(" not in hits
+    for name in ("g26_quote_not_archived", "h1_rate_flags"):
+        lines = plan(QUERIES[name].build(Tables(spark, "/root/testdata/sf0.001"))).splitlines()
+        deal = next(i for i, x in enumerate(lines) if "RepartitionByExpression [archive_file_id" in x)
+        assert any("regexp_replace" in x for x in lines[:deal]) and not any("regexp_replace(" in x and "text" in x for x in lines[deal:deal + 2])
