@@ -170,3 +170,32 @@ def test_texts_are_dealt_before_they_are_searched(spark):
         lines = plan(QUERIES[name].build(Tables(spark, "/root/testdata/sf0.001"))).splitlines()
         deal = next(i for i, x in enumerate(lines) if "RepartitionByExpression [archive_file_id" in x)
         assert any("regexp_replace" in x for x in lines[:deal]) and not any("regexp_replace(" in x and "text" in x for x in lines[deal:deal + 2])
+
+
+def test_history_is_numbered_once(spark):
+    """What many steps read is stored in columns, not made of the lines again."""
+    for name in ("g27_strict_verdict", "h10_route", "d1_supersede_bare_years"):
+        t = Tables(spark, "/root/testdata/sf0.001")
+        QUERIES[name].build(t)
+        assert "l_shipdate" not in plan(t.numbered) and "kept-numbered" in t.numbered.inputFiles()[0]
+        assert "l_shipdate" not in plan(t.rate_history) + plan(t.facts)
+
+
+def test_arrivals_are_ordered_without_a_comparator(spark):
+    """Arrivals of a key come in any order, columns without an order among them; places are sorted natively."""
+    n = 200
+    rows = [("g", "c", "i", k, f"{1990 + k * 7 % 30}-01-01", None, {"k": str(k)}) for k in random.Random(3).sample(range(1, n + 1), n)]
+    df = spark.createDataFrame(rows, "geoid string, category string, instrument_code string, arrival_seq long, effective_date string, fiscal_year long, more map<string,string>")
+    got = {r.arrival_seq: r for r in merge.supersede(df, chunk_rows=4).collect()}
+    live, by, took = None, {}, set()
+    day = {r[3]: r[4] for r in rows}
+    for k in range(1, n + 1):
+        if live is None or day[k] >= day[live]:
+            if live is not None:
+                by[live] = k
+            live = k
+            took.add(k)
+        else:
+            by[k] = live
+    assert {k: (r.became_live, r.superseded_by, r.more["k"]) for k, r in got.items()} == {k: (k in took, by.get(k), str(k)) for k in range(1, n + 1)}
+    assert "lambda" not in "".join(re.findall(r"array_sort\(.*", plan(merge._gathered(merge._steps(df, merge.FACT_KEY, "arrival_seq", True), merge.FACT_KEY, "_seq", 4))))
