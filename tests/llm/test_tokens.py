@@ -46,3 +46,14 @@ def test_empty(spark):
     assert token_counts.token_counts(empty(spark), tokenizer_file(BPE_FILE)).collect() == []
     assert sentencepiece_codec.encode_decode(empty(spark), tokenizer_file(PIECE_FILE)).collect() == []
 
+
+
+def test_compared_texts_are_not_encoded_twice():
+    """op5: sentencepiece is compared with the ids and texts that the job gives out, which are not made again."""
+    path = tokenizer_file(PIECE_FILE)
+    own, lines = sentencepiece_codec.Codec(path), ["a plain line", "two  spaces", "", "naïve café 日本"]
+    ids = own.encode(lines)
+    back = [own.decode(i) for i in ids]
+    own.encode = None   # whatever encodes again fails
+    assert sentencepiece_codec.parity_errors(lines, path, own, (ids, back)) == []
+    assert sentencepiece_codec.parity_errors(lines, path, own, ([ids[1], *ids[1:]], [*back[:3], "x"])) == [0, 3]
