@@ -544,8 +544,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def kept(texts: pd.Series, stretches: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else kept_text(t, [(y["start"], y["end"]) for y in x]) for t, x in zip(texts, stretches)])
 
-    cut = F.col("stretches").isNotNull()
-    joined = Marks(lost, ["at", "variant"]).left(rows, lost).withColumn("text", F.when(cut, kept("text", "stretches")).otherwise(F.col("text"))).where(~cut | (F.length("text") > 0))
+    cut, key = F.col("stretches").isNotNull(), ["at", "variant"]
+    # Spark would cut once more for the filter, in a second Python worker of the same task; what it may not repeat it does once
+    once, marks = kept.asNondeterministic(), Marks(lost, key)
+    near = marks.near(rows).join(lost, key, "left").withColumn("text", F.when(cut, once("text", "stretches")).otherwise(F.col("text"))).where(~cut | (F.length("text") > 0))
+    joined = marks.near(rows, False).unionByName(near, allowMissingColumns=True)
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("row")["n_chars"])

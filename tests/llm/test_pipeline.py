@@ -1,9 +1,10 @@
 """The corpus pipeline against a brute-force version of its stages, and its contract."""
+import pandas as pd
 import sentencepiece
 
 import __spark_entry__
 import corpus_pipeline
-from levybook.llm import decontaminate, suffix_dedup
+from levybook.llm import decontaminate, sentencepiece_codec, suffix_dedup
 from levybook.llm.queries import PIECE_FILE, tokenizer_file
 
 from .cases import SCHEMA, documents, prose
@@ -108,3 +109,26 @@ def test_cuts_keep_whole_characters(spark):
     docs = spark.createDataFrame([(1, f"ê{shared}é"), (2, f"ô{shared}è")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
     assert got == {1: f"ê{shared}é", 2: "ôè"}
+
+
+def test_texts_are_cut_in_one_python_step(spark):
+    """A second one would hold a second worker beside the first in every task."""
+    shared = prose(8, 40)
+    docs = spark.createDataFrame([(1, f"a {shared} b", 9), (2, f"c {shared} d", 9), (3, "x", 1), (4, shared, 1), (5, None, None), (6, "", 0)], "doc_id long, text string, n_chars long")
+    got = suffix_dedup.without_repeats(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, f"a {shared} b", 9), (2, "cd", 2), (3, "x", 1), (5, None, None), (6, "", 0)]
+
+
+def test_one_rebuilt_model_a_worker(spark, monkeypatch):
+    """Threads of the tokenizers library keep their caches of every model that was built, so tasks share one."""
+    docs = spark.createDataFrame([(1, ENGLISH[0])], "doc_id long, text string")
+    steps, built = [], []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, schema: steps.append(f))
+    monkeypatch.setattr(sentencepiece_codec, "Codec", lambda path, whole=sentencepiece_codec.Codec: built.append(path) or whole(path))
+    sentencepiece_codec.codec.cache_clear()
+    corpus_pipeline.token_ids(spark, docs, "")
+    batch = pd.DataFrame({"doc_id": [1], "text": [ENGLISH[0]], "n_bytes": [len(ENGLISH[0])]})
+    one, two = (pd.concat(steps[0](iter([batch]))) for _ in range(2))
+    assert len(built) == 1 and one["ids"].iloc[0].tolist() == two["ids"].iloc[0].tolist()
+    assert one["decoded"].tolist() == [ENGLISH[0]]
