@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 from levybook.llm import sentencepiece_codec, token_counts
 from levybook.llm.queries import BPE_FILE, PIECE_FILE, tokenizer_file
 
@@ -57,3 +60,51 @@ def test_compared_texts_are_not_encoded_twice():
     own.encode = None   # whatever encodes again fails
     assert sentencepiece_codec.parity_errors(lines, path, own, (ids, back)) == []
     assert sentencepiece_codec.parity_errors(lines, path, own, ([ids[1], *ids[1:]], [*back[:3], "x"])) == [0, 3]
+
+
+def test_stretches_are_whole_words():
+    """op5: texts are cut before a mark that follows another character, and nowhere else."""
+    cut = sentencepiece_codec.stretches
+    assert list(cut("▁ab▁cd▁▁▁ef▁", 3)) == ["▁ab", "▁cd", "▁▁▁ef", "▁"]
+    assert list(cut("")) == [] and list(cut("▁" * 5000)) == ["▁" * 5000] and list(cut("x" * 5000 + "▁y")) == ["x" * 5000, "▁y"]
+    line = "▁some▁words▁▁▁and▁日本" * 700
+    assert "".join(cut(line)) == line and max(map(len, cut(line))) < 1100
+
+
+def test_stretches_equal_sentencepiece():
+    """op5: long texts whose spaces, marks, byte pieces and long words lie anywhere around a stretch's end."""
+    import random
+    draw, path = random.Random(5), tokenizer_file(PIECE_FILE)
+    words = ["the", "naïve", "日本語", "🎉", "\n", "\t", "", " ", "  ", "▁", "▁▁x", "a▁b", "x" * 300, "<s>", "<0x41>", "\u0301", "\u3000", "don't", "3.14"]
+    lines = [" ".join(draw.choices(words, k=n)) for n in (1, 2, 30, 300, 3000) for _ in range(12)] + [" " * k for k in range(1, 40)] + [" " * 5000, "x" * 5000, "a" * 1023 + "  b" * 3]
+    assert sentencepiece_codec.parity_errors(lines, path) == []
+
+
+def test_words_with_user_pieces(tmp_path):
+    """A BPE model with a piece of its own, and one that squeezes spaces, are as sentencepiece has them."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    for k, (user, squeeze) in enumerate([("[X]", False), (None, True)]):
+        m = pb.ModelProto()
+        for piece, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(f"<0x{b:02X}>", 6) for b in range(256)] + [(user, 4)] * bool(user):
+            m.pieces.add(piece=piece, score=0.0, type=kind)
+        for i, piece in enumerate(["▁a", "ab", "▁ab", "abc", "▁", "a", "b", "c"]):
+            m.pieces.add(piece=piece, score=-float(i), type=1)
+        m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.normalizer_spec.name = 2, True, "identity"
+        m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix = squeeze, not user
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(m.SerializeToString())
+        lines = ["abc ab c", "", "  abcab   cab ", "   ", "zabz é", "ab abc " * 900] + ["ab[X]c [X] a"] * bool(user)
+        assert sentencepiece_codec.parity_errors(lines, str(path)) == [], user
+
+
+def test_a_task_encodes_on_one_core():
+    """op5: the library's threads, one a core, would compete with the other tasks of the executor."""
+    import subprocess
+    import sys
+    code = ("import random, time; from levybook.llm.sentencepiece_codec import Codec; c, d = Codec(%r), random.Random(1);"
+            "texts = [' '.join(''.join(d.choices('etaoinshr', k=6)) for _ in range(400)) for _ in range(1000)]; c.encode(texts[:50]);"
+            "cpu, wall = time.process_time(), time.time(); c.encode(texts); print(time.process_time() - cpu, time.time() - wall)") % tokenizer_file(PIECE_FILE)
+    env = os.environ | {"TOKENIZERS_PARALLELISM": "true"}
+    root = str(Path(sentencepiece_codec.__file__).parents[2])
+    cpu, wall = map(float, subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, check=True).stdout.split())
+    assert cpu < 1.3 * wall
