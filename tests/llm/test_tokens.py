@@ -1,6 +1,9 @@
 import os
 from pathlib import Path
 
+import pandas as pd
+import pytest
+
 from levybook.llm import sentencepiece_codec, token_counts
 from levybook.llm.queries import BPE_FILE, PIECE_FILE, tokenizer_file
 
@@ -108,3 +111,28 @@ def test_a_task_encodes_on_one_core():
     root = str(Path(sentencepiece_codec.__file__).parents[2])
     cpu, wall = map(float, subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, check=True).stdout.split())
     assert cpu < 1.3 * wall
+
+
+def test_every_text_is_compared(spark):
+    """op5: sentencepiece encodes all texts too, whatever they hold, and a difference anywhere ends the job."""
+    rows = texts() + [(200 + i, f"line {i} of plain words") for i in range(300)]
+    got = sentencepiece_codec.encode_decode(documents(spark, rows), tokenizer_file(PIECE_FILE)).collect()
+    assert len(got) == len(rows) and all(r["checked"] for r in got)
+
+
+def test_a_difference_in_any_text_ends_the_job(spark, monkeypatch):
+    """op5: the plan's own function, on a codec that is wrong for one rare text."""
+    path, run = tokenizer_file(PIECE_FILE), []
+    docs = documents(spark, [(1, "plain")])
+    monkeypatch.setattr(sentencepiece_codec, "lean", lambda f: run.append(f) or f)
+    sentencepiece_codec.encode_decode(docs, path)
+    whole = sentencepiece_codec.Codec.encode
+    monkeypatch.setattr(sentencepiece_codec.Codec, "encode", lambda self, ts: [i[:-1] if t == "rare 17" else i for t, i in zip(ts, whole(self, ts))])
+    for rare in range(15, 20):
+        lines = [f"line {k}" for k in range(30)] + [f"rare {rare}"]
+        batch = pd.DataFrame({"doc_id": range(31), "text": lines, "n_bytes": 6})
+        if rare == 17:
+            with pytest.raises(ValueError, match="doc_id 30"):
+                list(run[0](iter([batch])))
+        else:
+            assert sum(len(b) for b in run[0](iter([batch]))) == 31
