@@ -35,6 +35,14 @@ def test_item_sources_pair_last(spark):
     assert re.search(r"\[scope_geoid#\d+, _deal#\d+\]", top)
 
 
+def test_copies_of_sources_are_not_broadcast(spark):
+    """Sources are copied for each deal, which the estimate of their size does not know; the driver would gather all copies."""
+    got = QUERIES["j18_item_sources"].build(Tables(spark, "/root/testdata/sf0.001"))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "_deal" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
 def test_rate_lines_are_cut_once(spark):
     """A1: a line is cut once for its nine fields; quoted fields, blanks around and short lines as before."""
     lines = ['39,0,"0,61",0.015,0.015,,0,20200101,99991231', "39,0,061,0.015,0.015,0,0,20200101", ' 39,0,7,1e-2,0.5,0,0,2020-01-01,20211231,more,"x" ', "39,0,8,0.5, ,0,0,,", '39,0,9,"0.25",0.5,0,0,,', "39,0,,,,,,,", '"State",1']
