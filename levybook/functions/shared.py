@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/levybook_checkpoints"
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of a step serve nobody once its rows are stored: Spark is told to drop them then; the setting stays."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a reliable checkpoint.
 
@@ -27,14 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+    drop_shuffles(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder.
 
-    For wide views that several steps read: columns are packed, and each reader takes those it needs.
+    For views that several steps read: columns are packed, and each reader takes those it needs.
+    Rows that Parquet has no type for are checkpointed.
     """
     path, schema = f"{shared_dir(df.sparkSession).rstrip('/')}/kept-{name}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    if {"void", "interval"} & set(re.findall(r"\w+", schema.simpleString())):
+        return cut(df)
+    drop_shuffles(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

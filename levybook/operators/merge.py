@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import choose, text_year
-from ..functions.shared import cut
+from ..functions.shared import kept
 from ..functions.scan import anti, coalescing_upsert, flag_in, insert_ignore, latest, semi
 
 FACT_KEY = ["geoid", "category", "instrument_code"]
@@ -15,8 +15,9 @@ FACT_KEY = ["geoid", "category", "instrument_code"]
 
 # -- D1 ---------------------------------------------------------------------
 
-#: Nodes of the tree over an array of arrivals that have one parent.
-FAN_IN = 64
+#: Nodes of the tree over an array of arrivals that have one parent; a text that follows every day of its year.
+FAN_IN, YEAR_END = 64, "\U0010ffff"
+LIVE = "struct<rank:string,seq:bigint>"
 
 
 def _takes(step: Column, live: Column) -> Column:
@@ -26,26 +27,33 @@ def _takes(step: Column, live: Column) -> Column:
 
 def _composed(first: Column, then: Column) -> Column:
     """One step that does what the two do in turn."""
-    inner = F.when(_takes(then, first["row"]), then["row"]).otherwise(first["row"])
-    return F.when(then["upto"] >= first["upto"], then).otherwise(F.struct(inner.alias("row"), first["upto"].alias("upto")))
+    inner = lambda x: F.when(_takes(then, first), then[x]).otherwise(first[x]).alias(x)
+    return F.when(then["upto"] >= first["upto"], then).otherwise(F.struct(inner("rank"), inner("seq"), first["upto"].alias("upto")))
 
 
-def _steps(rows: DataFrame, keys: list[str], seq: str, bare_years: bool) -> DataFrame:
+def _others(rows: DataFrame, keys: list[str], seq: str, only: list[str] | None) -> list[str]:
+    return [x for x in rows.columns if x not in (*keys, seq) and (only is None or x in only)]
+
+
+def _steps(rows: DataFrame, keys: list[str], seq: str, bare_years: bool, only: list[str] | None = None) -> DataFrame:
     """Each arrival as a step: the row it makes live, and the greatest rank that it displaces.
 
-    A rank is the year, then the day; a bare year ranks before its days, a row without
+    A rank is the day, or the year in the same order; a bare year ranks before its days, a row without
     a year before all. An undated arrival displaces everything, a bare year whatever
-    lies in it or before, a date whatever is not later.
+    lies in it or before, a date whatever is not later. ``only`` names the other columns that go along, all of them without it.
     """
-    c = F.col
+    c, rest = F.col, _others(rows, keys, seq, only)
     day = F.when(text_year(c("effective_date")).isNotNull(), F.substring("effective_date", 1, 10))
     year = F.coalesce(text_year(day), c("fiscal_year").cast("int")) if bare_years else text_year(day)
-    at = F.lpad((year.cast("long") + (1 << 31)).cast("string"), 10, "0")
-    upto = F.when(at.isNull(), "~").otherwise(F.concat(at, F.coalesce(day, F.lit("~"))))
-    rank = F.coalesce(F.concat(at, F.coalesce(day, F.lit(""))), F.lit(""))
-    live = F.struct(rank.alias("rank"), c(seq).cast("long").alias("seq"))
-    rest = F.struct(F.lit(0).alias("_"), *[x for x in rows.columns if x not in keys])
-    return rows.select(*keys, c(seq).cast("long").alias("_seq"), F.struct(live.alias("row"), upto.alias("upto")).alias("_step"), rest.alias("_rest"))
+    # years of four digits are as in days; '!' comes before digits, ':' behind them
+    long = lambda x: F.lpad(x.cast("string"), 10, "0")
+    at = F.when(year < 0, F.concat(F.lit("!"), long(year.cast("long") + (1 << 31)))).when(year > 9999, F.concat(F.lit(":"), long(year))) \
+        .otherwise(F.lpad(year.cast("string"), 4, "0"))
+    upto = F.when(at.isNull(), "~").otherwise(F.coalesce(day, F.concat(at, F.lit(YEAR_END))))
+    rank = F.coalesce(day, at, F.lit(""))
+    step = F.struct(rank.alias("rank"), c(seq).cast("long").alias("seq"), upto.alias("upto"))
+    held = [F.struct(*rest).alias("_rest")] if rest else []
+    return rows.select(*keys, c(seq).cast("long").alias("_seq"), step.alias("_step"), *held)
 
 
 def _gathered(steps: DataFrame, keys: list[str], at: str, fan: int) -> DataFrame:
@@ -65,12 +73,12 @@ def _gathered(steps: DataFrame, keys: list[str], at: str, fan: int) -> DataFrame
 
 def _entered(nodes: DataFrame) -> Column:
     """Per kid of a node the live row that it meets; the node itself meets ``_live``."""
-    start = F.struct(F.col("_live").alias("live"), F.expr("cast(array() as array<struct<at:bigint,takes:boolean,live:struct<rank:string,seq:bigint>>>)").alias("out"))
+    start = F.struct(F.col("_live").alias("live"), F.expr(f"cast(array() as array<struct<at:bigint,takes:boolean,live:{LIVE}>>)").alias("out"))
 
     def enter(acc: Column, kid: Column) -> Column:
-        takes = _takes(kid["step"], acc["live"])
+        takes, row = _takes(kid["step"], acc["live"]), F.struct(kid["step"]["rank"].alias("rank"), kid["step"]["seq"].alias("seq"))
         seen = F.struct(kid["at"].alias("at"), takes.alias("takes"), acc["live"].alias("live"))
-        return F.struct(F.when(takes, kid["step"]["row"]).otherwise(acc["live"]).alias("live"), F.concat(acc["out"], F.array(seen)).alias("out"))
+        return F.struct(F.when(takes, row).otherwise(acc["live"]).alias("live"), F.concat(acc["out"], F.array(seen)).alias("out"))
 
     return F.aggregate("_kids", start, enter, lambda acc: acc["out"])
 
@@ -89,7 +97,7 @@ def _next_heads(heads: DataFrame, keys: list[str], levels: int) -> DataFrame:
 
 
 def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arrival_seq",
-              bare_years: bool = True, chunk_rows: int = 256) -> DataFrame:
+              bare_years: bool = True, chunk_rows: int = 256, only: list[str] | None = None) -> DataFrame:
     """Which arrivals became the live row, and what displaced each row.
 
     ``rows`` holds the arrivals of every key, the stored live row (if any) being
@@ -106,22 +114,25 @@ def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arriva
     node learns the live row it meets.  A task sees one node and its kids, however many
     versions a key has.  Nodes over the arrivals, with their other columns, are stored
     once; keys of up to ``chunk_rows`` arrivals need no other level.
+    ``only`` names the other columns to give back, all of them without it.
     ``bare_years=False`` is for sources without a fiscal year.  An effective date that
     does not start with a year counts as missing.  Rows with a null key are left out.
     """
     keys, c = keys or FACT_KEY, F.col
-    low = cut(_gathered(_steps(rows, keys, seq, bare_years), keys, "_seq", chunk_rows))
+    rest = _others(rows, keys, seq, only)
+    low = kept(_gathered(_steps(rows, keys, seq, bare_years, only), keys, "_seq", chunk_rows), "arrivals")
     least, most = low.agg(F.min("_node"), F.max("_node")).first()
     nodes, width = [low.withColumn("_node", c("_node") - (least or 0))], (most or 0) - (least or 0)
     while width:
         nodes.append(_gathered(nodes[-1].select(*keys, "_node", "_step"), keys, "_node", FAN_IN))
         width //= FAN_IN
-    none = F.struct(F.lit("").alias("rank"), F.lit(None).cast("long").alias("seq"))
+    none = F.struct(F.lit("").alias("rank"), F.lit(None).cast("long").alias("seq"))   # no row is live yet
     met = nodes[-1].withColumn("_live", none)
     for below in reversed(nodes[:-1]):
         kids = met.select(*keys, F.explode(_entered(met)).alias("_kid")).select(*keys, c("_kid.at").alias("_node"), c("_kid.live").alias("_live"))
         met = below.join(kids, [*keys, "_node"])
-    seen = met.select(*keys, "_node", "_rest", _entered(met).alias("_seen"))
+    held = ["_rest"] if rest else []
+    seen = met.select(*keys, "_node", *held, _entered(met).alias("_seen"))
     if len(nodes) > 1:
         # until one takes, all kids of a node meet the live row that the node meets: no fold tells the first
         first = F.array_min(F.transform(F.filter("_kids", lambda kid: _takes(kid["step"], c("_live"))), lambda kid: kid["at"]))
@@ -129,16 +140,18 @@ def supersede(rows: DataFrame, keys: list[str] | None = None, seq: str = "arriva
     else:
         seen = seen.withColumn("_after", F.lit(None).cast("long"))
     # from the last arrival back: the next one that became live
-    start = F.struct(c("_after").alias("after"), F.expr("cast(array() as array<struct<takes:boolean,link:bigint>>)").alias("out"))
+    start = F.struct(c("_after").alias("after"), F.expr("cast(array() as array<struct<at:bigint,takes:boolean,link:bigint>>)").alias("out"))
 
     def linked(acc: Column, r: Column) -> Column:
-        link = F.struct(r["takes"].alias("takes"), F.when(r["takes"], acc["after"]).otherwise(r["live"]["seq"]).alias("link"))
+        link = F.struct(r["at"].alias("at"), r["takes"].alias("takes"), F.when(r["takes"], acc["after"]).otherwise(r["live"]["seq"]).alias("link"))
         return F.struct(F.when(r["takes"], r["at"]).otherwise(acc["after"]).alias("after"), F.concat(acc["out"], F.array(link)).alias("out"))
 
     links = F.aggregate(F.reverse("_seen"), start, linked, lambda acc: acc["out"])
-    flat = seen.select(*keys, F.explode(F.arrays_zip(F.reverse(links).alias("link"), c("_rest").alias("rest"))).alias("_r"))
-    kept = [c(x) if x in keys else c(f"_r.rest.`{x}`").alias(x) for x in dict.fromkeys([*keys, seq, *rows.columns])]
-    return flat.select(*kept, c("_r.link.takes").alias("became_live"), c("_r.link.link").alias("superseded_by"))
+    flat = seen.select(*keys, F.explode(F.arrays_zip(F.reverse(links).alias("link"), *[c(x).alias("rest") for x in held])).alias("_r"))
+    number = c("_r.link.at").cast(rows.schema[seq].dataType).alias(seq)
+    back = [x for x in dict.fromkeys([*keys, seq, *rows.columns]) if x in (*keys, seq, *rest)]
+    return flat.select(*[number if x == seq else c(x) if x in keys else c(f"_r.rest.`{x}`").alias(x) for x in back],
+                       c("_r.link.takes").alias("became_live"), c("_r.link.link").alias("superseded_by"))
 
 
 # -- D2-D5 ------------------------------------------------------------------

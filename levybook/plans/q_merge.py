@@ -44,7 +44,8 @@ SELECT geoid, instrument_code, n AS arrival_seq, live=n AS became_live, CASE WHE
   min(CASE WHEN live=n THEN n END) OVER (PARTITION BY geoid, instrument_code ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS superseded_by
 FROM fold WHERE n>0""")
 def d1_bare(t):
-    return merge.supersede(t.mixed_arrival, chunk_rows=32).select("geoid", "instrument_code", "arrival_seq", "became_live", "superseded_by")
+    # arrivals are stored in columns: the shuffles that number them are gone before they are gathered
+    return merge.supersede(t.store("mixed_arrival").mixed_arrival, chunk_rows=32, only=[]).select("geoid", "instrument_code", "arrival_seq", "became_live", "superseded_by")
 
 
 TH = ["state_usps", "jurisdiction_kind", "measure_class", "instrument_code", "purpose_restriction", "effective_from",
