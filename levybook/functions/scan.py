@@ -91,10 +91,10 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
     ``chunk`` must not decrease along ``order``.  ``last`` carries the previous
     non-null value, i.e. an exclusive ``last`` is a lag.
     """
-    src = df.select("*", chunk.alias("_chunk"), *[s.value.alias(f"_v_{s.name}") for s in scans])
+    src = df.select("*", chunk.alias("_chunk"))
 
     def part(s):
-        v = F.col(f"_v_{s.name}")
+        v = s.value
         if s.how == "last":
             pos = F.struct(*order)
             by = F.min_by if s.backward else F.max_by
@@ -130,7 +130,8 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], sca
         pick = F.greatest if s.how == "max" else F.least
         return pick(c, {"max": F.max, "min": F.min}[s.how](v).over(w))
 
-    joined = src.join(carry, [*keys, "_chunk"])
+    # values are made again behind the join: they need not be shuffled beside the columns that they come from
+    joined = src.join(carry, [*keys, "_chunk"]).withColumns({f"_v_{s.name}": s.value for s in scans})
     return joined.select(*df.columns, *[value(s).alias(s.name) for s in scans])
 
 

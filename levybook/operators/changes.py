@@ -50,11 +50,13 @@ def current_rates(rows: DataFrame, as_of: str) -> DataFrame:
 def rate_events(rows: DataFrame) -> DataFrame:
     """New / increase / decrease / extended between consecutive rows of a key.
 
-    The previous row is found by the two-level scan over begin months, so a key
-    with very many periods is spread over tasks.
+    The previous row is found by the two-level scan over quarters, so a key
+    with very many periods is spread over tasks, and totals are far fewer than rows.
     """
     r = rows.withColumn("_b", F.coalesce("begin_date", F.lit(""))).withColumn("_rate", percent(F.col("rate_intra")))
-    r = running(r, ["geoid", "instrument_code"], F.substring("_b", 1, 7), ["_b", "line_no"],
+    third = F.substring("_b", 7, 1)   # of a text like 1998-04-01: chunks follow the order of any text
+    quarter = F.concat(F.substring("_b", 1, 6), F.when(third == "", "").when(third < "4", "0").when(third < "7", "1").otherwise("2"))
+    r = running(r, ["geoid", "instrument_code"], quarter, ["_b", "line_no"],
                 [Scan("_prev", "last", F.struct(F.col("_rate").alias("rate"), F.col("open_ended").alias("open")),
                       inclusive=False)])
     before, now, zero = F.col("_prev.rate"), F.col("_rate"), F.lit(0.0)
