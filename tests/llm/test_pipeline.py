@@ -132,3 +132,10 @@ def test_one_rebuilt_model_a_worker(spark, monkeypatch):
     one, two = (pd.concat(steps[0](iter([batch]))) for _ in range(2))
     assert len(built) == 1 and one["ids"].iloc[0].tolist() == two["ids"].iloc[0].tolist()
     assert one["decoded"].tolist() == [ENGLISH[0]]
+
+
+def test_every_text_of_the_last_stage_is_compared(spark):
+    """Whatever the stages before leave, sentencepiece encodes all of it too."""
+    docs = spark.createDataFrame([(k, prose(k, 30)) for k in range(300)] + [(300, None), (301, ""), (None, "naïve 日本")], "doc_id long, text string")
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(got) == 303 and all(r["checked"] for r in got)
